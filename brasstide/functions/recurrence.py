@@ -39,42 +39,53 @@ def _fold(block_sums: Column, decay: float) -> Column:
     return F.aggregate(block_sums, F.lit(0.0), lambda acc, x: acc * F.lit(decay) + x)
 
 
-def smooth(df: DataFrame, specs: list[Smooth], keys: list[str], order: str) -> DataFrame:
-    """Add one smoothed column per spec. Nulls may only precede a series' first value."""
+def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Row number `_i` within the key and its block `_b`.
+
+    Windows ordered by (_b, _i) see the order of `order`, and the block windows need the same
+    sort: one sort serves every indicator.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    return (df.withColumn("_i", F.row_number().over(w) - 1)
+            .withColumn("_b", F.floor(F.col("_i") / BLOCK)))
+
+
+def smooth(df: DataFrame, specs: list[Smooth], keys: list[str]) -> DataFrame:
+    """Add one smoothed column per spec to numbered rows. Nulls may only precede a series'
+    first value."""
     if not specs:
         return df
-    keep = df.columns
-    srcs = sorted({s.src for s in specs})
     by_key = Window.partitionBy(*keys)
-    df = (df.withColumn("_i", F.row_number().over(by_key.orderBy(order)) - 1)
-            .withColumn("_b", F.floor(F.col("_i") / BLOCK))
-            .withColumn("_j", F.col("_i") % BLOCK))
+    at = F.col("_i") % BLOCK
     upto = by_key.orderBy("_b", "_i").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_n_{s}": F.count(s).over(upto) for s in srcs})
-
     in_block = (Window.partitionBy(*keys, "_b").orderBy("_i")
                 .rowsBetween(Window.unboundedPreceding, 0))
-    part: dict[str, Column] = {}
+
+    def seen(src):
+        return F.count(src).over(upto)
+
+    part: dict[str, Column] = {f"_n_{s}": seen(s) for s in sorted({x.src for x in specs})}
     for s in specs:
-        keep_share = 1.0 - s.alpha
-        if keep_share <= 0.0:
+        left = 1.0 - s.alpha
+        if left <= 0.0:
             part[f"_p_{s.out}"] = F.col(s.src)
             continue
-        weight = F.when(F.col(f"_n_{s.src}") == 1, 1.0).otherwise(F.lit(s.alpha))
-        scaled = weight * F.col(s.src) * F.pow(F.lit(keep_share), -F.col("_j"))
-        part[f"_p_{s.out}"] = F.coalesce(F.sum(scaled).over(in_block), F.lit(0.0)) * F.pow(
-            F.lit(keep_share), F.col("_j"))
+        # The first value of a series weighs 1, the others alpha.
+        weight = F.when(F.col(s.src).isNotNull() & (seen(s.src) == 1), 1.0).otherwise(s.alpha)
+        part[f"_w_{s.out}"] = weight * F.col(s.src) * F.pow(F.lit(left), -at)
     df = df.withColumns(part)
+    df = df.withColumns({
+        f"_p_{s.out}": F.coalesce(F.sum(f"_w_{s.out}").over(in_block), F.lit(0.0))
+        * F.pow(F.lit(1.0 - s.alpha), at) for s in specs if s.alpha < 1.0})
 
     level: dict[str, Column] = {}
     for s in specs:
-        keep_share = 1.0 - s.alpha
-        value = F.col(f"_p_{s.out}")
-        if keep_share > 0.0:
-            reach = max(1, math.ceil(_NEGLIGIBLE / (-math.log(keep_share) * BLOCK)))
+        left, value = 1.0 - s.alpha, F.col(f"_p_{s.out}")
+        if left > 0.0:
+            reach = max(1, math.ceil(_NEGLIGIBLE / (-math.log(left) * BLOCK)))
             before = by_key.orderBy("_b").rangeBetween(-reach, -1)
-            ends = F.collect_list(F.when(F.col("_j") == BLOCK - 1, value)).over(before)
-            value = value + _fold(ends, keep_share ** BLOCK) * F.pow(
-                F.lit(keep_share), F.col("_j") + 1)
+            ends = F.collect_list(F.when(at == BLOCK - 1, value)).over(before)
+            value = value + _fold(ends, left ** BLOCK) * F.pow(F.lit(left), at + 1)
         level[s.out] = F.when(F.col(f"_n_{s.src}") >= s.n, value)
-    return df.withColumns(level).select(*keep, *[s.out for s in specs])
+    spare = [c for s in specs for c in (f"_n_{s.src}", f"_w_{s.out}", f"_p_{s.out}")]
+    return df.withColumns(level).drop(*spare)

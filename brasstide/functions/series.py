@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 TRADING_DAYS = 252
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key at the session's shuffle width, whatever the input's size.
+
+    For plans that multiply rows after the shuffle (rules, re-timings): adaptive coalescing
+    sizes partitions by the bytes before the expansion and would leave too few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def rows(keys, order) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
 

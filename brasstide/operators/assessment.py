@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brasstide.functions.series import TRADING_DAYS, spread
 from brasstide.operators import backtest
 from brasstide.operators.signals import FIRST_BAR, NOTIONAL
 
@@ -15,30 +16,27 @@ MIN_BARS = 60
 CARRY = ["ticker", "day", "bar", "open", "close", "buy_rate", "sell_rate", "per_sale"]
 
 
-def window(wide: DataFrame, signal_rows: DataFrame, years: int = 5) -> DataFrame:
-    """Bars of the evaluated window with the signal's position; too short ones are left out."""
+def window(signal_rows: DataFrame, years: int = 5) -> DataFrame:
+    """Signal rows of the evaluated window; tickers with too few are left out."""
     whole = Window.partitionBy("ticker")
-    df = wide.join(signal_rows.select("ticker", "day", "position", "decision", "limited"),
-                   ["ticker", "day"], "left")
-    df = df.withColumn("_wanted", F.date_sub(F.max("day").over(whole), round(365.25 * years)))
-    df = df.withColumn("_from", F.greatest(F.lit(FIRST_BAR), F.min(
-        F.when(F.col("day") >= F.col("_wanted"), F.col("bar"))).over(whole)))
-    df = df.withColumns({
-        "_n": F.max("bar").over(whole) + 1,
+    wanted = F.date_sub(F.max("day").over(whole), round(365.25 * years))
+    df = signal_rows.withColumns({
+        "_wanted": wanted,
         "ahead": F.lead("close", HORIZON).over(Window.partitionBy("ticker").orderBy("day"))
         / F.col("close") - 1.0})
-    return (df.filter((F.col("bar") >= F.col("_from")) & (F.col("_n") - F.col("_from") >= MIN_BARS))
-            .drop("_wanted", "_n"))
+    df = df.filter((F.col("bar") >= FIRST_BAR) & (F.col("day") >= F.col("_wanted")))
+    n = F.count(F.lit(1)).over(whole)
+    return df.withColumn("trading_days", n).filter(F.col("trading_days") >= MIN_BARS).drop("_wanted")
 
 
-def _runs(rows: DataFrame, targets: dict[str, Column]) -> DataFrame:
+def _runs(rows: DataFrame, targets: dict[str, Column], carry=CARRY) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(n).alias("run"), e.cast("double").alias("target"))
                       for n, e in targets.items()])
-    return rows.select(*CARRY, F.explode(pairs).alias("_p")).select(*CARRY, "_p.run", "_p.target")
+    return rows.select(*carry, F.explode(pairs).alias("_p")).select(*carry, "_p.run", "_p.target")
 
 
 def curves(rows: DataFrame) -> DataFrame:
-    """Equity of the signal and of holding, on the same terms, rounded to 4 decimals."""
+    """Equity of the signal and of holding, on the same terms."""
     runs = _runs(rows, {"signal": F.col("position"), "buy_and_hold": F.lit(1.0)})
     return backtest.simulate(runs, ["ticker", "run"], cash=NOTIONAL)
 
@@ -69,48 +67,92 @@ def shift_order(k: Column) -> Column:
 
 
 def retimings(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
-    """The signal's own positions, shifted circularly by `runs` distinct offsets per ticker.
+    """The signal itself (run 0), holding (run -1), and the signal's positions shifted
+    circularly by `runs` distinct offsets (run k).
 
     A ticker's positions in the window (a few years of days at most) travel as one array next
     to its bars, so a shifted run is an index into it and needs no join on (ticker, bar).
     """
-    by_ticker = rows.groupBy("ticker").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bar", "position"))),
-                    lambda s: s["position"]).alias("_oos"), F.min("bar").alias("_b0"))
+    by_day = Window.partitionBy("ticker").orderBy("bar")
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = spread(rows, "ticker").select(*CARRY, "position", "trading_days").withColumns({
+        "_oos": F.collect_list("position").over(whole),
+        "_at": F.row_number().over(by_day) - 1})
+    m = F.size("_oos")
     shifts = F.transform(F.slice(F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.size("_oos") - 1),
+        F.sequence(F.lit(1), m - 1),
         lambda k: F.struct(shift_order(k).alias("h"), k.alias("k")))), 1, runs), lambda s: s["k"])
-    by_ticker = by_ticker.filter(F.size("_oos") > 1).withColumn("_shifts", shifts)
-    m = F.size("_oos")
-    placed = F.transform("_shifts", lambda k: F.struct(
+    placed = F.transform(shifts, lambda k: F.struct(
         k.alias("shift"),
-        F.element_at("_oos", F.pmod(F.col("bar") - F.col("_b0") - k, m).cast("int") + 1).alias("target")))
-    return (rows.select(*CARRY).join(by_ticker, "ticker")
-            .select(*CARRY, F.explode(placed).alias("_p")).select(*CARRY, "_p.shift", "_p.target"))
+        F.element_at("_oos", F.pmod(F.col("_at") - k, m).cast("int") + 1).alias("target")))
+    own = F.array(F.struct(F.lit(0).alias("shift"), F.col("position").alias("target")),
+                  F.struct(F.lit(-1).alias("shift"), F.lit(1.0).alias("target")))
+    carry = [*CARRY, "trading_days"]
+    return (df.select(*carry, F.explode(F.concat(own, placed)).alias("_p"))
+            .select(*carry, "_p.shift", "_p.target"))
 
 
-def random_stats(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
-    keys = ["ticker", "shift"]
+def run_figures(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
+    """Both Sharpe ratios, CAGR, drawdown and time in market of every run, in one pass."""
+    keys = ["ticker", "trading_days", "shift"]
     sim = backtest.simulate(retimings(rows, runs), keys, cash=NOTIONAL)
-    return backtest.run_stats(sim, keys).select(
-        *keys, F.round("sharpe_ratio", 6).alias("sharpe_ratio"), F.round("cagr", 6).alias("cagr"))
+    stats = backtest.run_stats(sim, keys)
+    return stats.select(*keys, F.round("sharpe_ratio", 6).alias("sharpe_ratio"),
+                        F.round("cagr", 6).alias("cagr"), "total_return", "annualised_volatility",
+                        "max_drawdown", "exposure", "costs_paid")
 
 
-def random_summary(random_rows: DataFrame, signal_stats: DataFrame) -> DataFrame:
+def random_summary(figures: DataFrame) -> DataFrame:
     """Where the signal's Sharpe stands among its re-timings."""
-    own = signal_stats.select("ticker", F.round("sharpe_ratio", 6).alias("own"))
+    own = F.max(F.when(F.col("shift") == 0, F.col("sharpe_ratio"))).over(Window.partitionBy("ticker"))
+    df = figures.withColumn("own", own).filter(F.col("shift") > 0)
 
     def pct(col, q):
-        return F.round(F.percentile(col, q), 4)
+        return F.percentile(col, q)
 
-    return random_rows.join(own, "ticker").groupBy("ticker").agg(
+    below = F.when(F.col("sharpe_ratio").isNotNull() & F.col("own").isNotNull(),
+                   (F.col("sharpe_ratio") < F.col("own")).cast("double"))
+    return df.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("runs"),
         *[pct("cagr", q).alias(f"cagr_{n}") for q, n in ((0.05, "p5"), (0.5, "median"), (0.95, "p95"))],
         *[pct("sharpe_ratio", q).alias(f"sharpe_{n}")
           for q, n in ((0.05, "p5"), (0.5, "median"), (0.95, "p95"))],
-        F.round(F.avg(F.when(F.col("sharpe_ratio").isNotNull() & F.col("own").isNotNull(),
-                             (F.col("sharpe_ratio") < F.col("own")).cast("double"))), 4)
-        .alias("signal_sharpe_percentile"))
+        F.round(F.avg(below), 4).alias("signal_sharpe_percentile"))
+
+
+def verdict_inputs(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
+    """Per ticker: risk of the signal and of holding, and the re-timing percentile, with every
+    run simulated once."""
+    keys = ["ticker", "trading_days", "shift"]
+    sim = backtest.simulate(retimings(rows, runs), keys, cash=NOTIONAL)
+    w = Window.partitionBy(*keys).orderBy("day")
+    exact = F.col("equity") / F.lag("equity").over(w) - 1.0
+    sim = sim.withColumns({"_x": exact, "_v": F.round("equity", 4)})
+    sim = sim.withColumns({
+        "_r": F.col("_v") / F.lag("_v").over(w) - 1.0,
+        "_peak": F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    n, root = F.count("_r"), TRADING_DAYS ** 0.5
+    grown = F.pow(F.max_by("equity", "day") / F.min_by("equity", "day"), TRADING_DAYS / n) - 1.0
+    vol, sd = F.stddev_samp("_x") * root, F.stddev_samp("_r")
+    each = sim.groupBy(*keys).agg(
+        F.round(F.when(vol > 0, grown / vol), 6).alias("ratio"), F.round(grown, 4).alias("cagr"),
+        F.round(F.when(sd > 0, F.avg("_r") / sd * root), 4).alias("sharpe"),
+        F.round(F.min(F.col("_v") / F.col("_peak") - 1.0), 4).alias("max_drawdown"),
+        F.round(F.avg(F.when(F.col("_i") > 0, (F.abs("held") > 0).cast("double"))), 4)
+        .alias("time_in_market"))
+    own = F.max(F.when(F.col("shift") == 0, F.col("ratio"))).over(Window.partitionBy("ticker"))
+    each = each.withColumn("_own", own)
+
+    def of(shift, name):
+        return F.max(F.when(F.col("shift") == shift, F.col(name)))
+
+    below = F.when((F.col("shift") > 0) & F.col("ratio").isNotNull() & F.col("_own").isNotNull(),
+                   (F.col("ratio") < F.col("_own")).cast("double"))
+    return each.groupBy("ticker", "trading_days").agg(
+        *[of(shift, m).alias(f"{short}_{m}") for shift, short in ((0, "s"), (-1, "b"))
+          for m in ("cagr", "sharpe", "max_drawdown", "time_in_market")],
+        F.sum((F.col("shift") > 0).cast("bigint")).alias("runs"),
+        F.round(F.avg(below), 4).alias("signal_sharpe_percentile"))
 
 
 def hit_rate(rows: DataFrame) -> DataFrame:
@@ -147,13 +189,8 @@ def _percent(x: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
 
 
-def verdict(risk_rows: DataFrame, summary: DataFrame, days: DataFrame) -> DataFrame:
-    """edge / no_edge, with the sentence that says why. `days`: ticker, trading_days."""
-    one = risk_rows.groupBy("ticker").agg(*[
-        F.max(F.when(F.col("run") == run, F.round(m, 4))).alias(f"{short}_{m}")
-        for run, short in (("signal", "s"), ("buy_and_hold", "b"))
-        for m in ("cagr", "sharpe", "max_drawdown", "time_in_market")])
-    df = one.join(summary, "ticker").join(days.select("ticker", "trading_days"), "ticker")
+def verdict(df: DataFrame) -> DataFrame:
+    """edge / no_edge, with the sentence that says why, from `verdict_inputs`."""
     years = F.round(F.col("trading_days") / 252, 2)
     more = F.coalesce(F.col("s_cagr") > F.col("b_cagr"), F.lit(False))
     safer = F.coalesce(F.col("s_sharpe") > F.col("b_sharpe"), F.lit(False))
@@ -180,3 +217,26 @@ def verdict(risk_rows: DataFrame, summary: DataFrame, days: DataFrame) -> DataFr
         F.concat(F.lit("The backtest shows "), F.when(edge, "an edge").otherwise("no edge"),
                  F.lit(" for "), F.col("ticker"), F.lit(": "), figures, F.lit("."), why,
                  F.coalesce(short, F.lit(""))).alias("statement"))
+
+
+def refit_spread(returns: DataFrame, refit_days, years: int = 5) -> DataFrame:
+    """How much the choice of refit day matters: spread of Sharpe and CAGR over schedules.
+
+    The schedule is part of every key, so all schedules of all tickers are one plan.
+    """
+    from brasstide.operators import signals
+    runs = returns.withColumn("schedule", F.explode(F.array(*map(F.lit, refit_days))))
+    keyed = runs.withColumns({
+        "month_day": F.col("month_day") - F.col("schedule"), "_t": F.col("ticker"),
+        "ticker": F.concat_ws("|", "ticker", F.lpad(F.col("schedule").cast("string"), 2, "0"))})
+    s = signals.signals(signals.votes(keyed.drop("_t", "schedule")))
+    m = risk(curves(window(s, years))).withColumn("name", F.substring_index("ticker", "|", 1))
+    held = m.filter("run = 'buy_and_hold'").select("ticker", F.round("sharpe", 4).alias("_hs"),
+                                                   F.round("cagr", 4).alias("_hc"))
+    df = m.filter("run = 'signal'").join(held, "ticker")
+    x, c = F.round("sharpe", 4), F.round("cagr", 4)
+    return df.groupBy(F.col("name").alias("ticker")).agg(
+        F.min(x).alias("sharpe_min"), F.percentile(x, 0.5).alias("sharpe_median"), F.max(x).alias("sharpe_max"),
+        F.min(c).alias("cagr_min"), F.percentile(c, 0.5).alias("cagr_median"), F.max(c).alias("cagr_max"),
+        F.sum(((x > F.col("_hs")) & (c > F.col("_hc"))).cast("bigint")).alias("runs_beating_hold"),
+        F.count(F.lit(1)).alias("runs"))

@@ -106,42 +106,58 @@ def capped(runs: DataFrame, keys: list[str], rates: DeliveryRates, order: str =
     return df.groupBy(*keys).applyInPandas(fold, schema)
 
 
-def trades(simulated: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
-    """One row per trade; the last may still be open."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    whole = Window.partitionBy(*keys)
-    sign, before = F.signum("held"), F.signum("_was")
-    df = simulated.withColumns({
-        "_last_i": F.max("_i").over(whole),
-        "_last_day": F.max(order).over(whole),
-        "_last_close": F.max_by("close", order).over(whole),
-        "_sign": sign,
-        "_flip": (sign != before) & (before != 0) & (sign != 0),
-    }).filter(F.signum("held") != F.signum("_was"))
+def _fills(simulated: DataFrame) -> DataFrame:
+    """Per bar: whether a trade opens or closes there, at what fill, and the fees of each."""
+    side, before = F.signum("held"), F.signum("_was")
+    turned = side != before
+    opens, closes = turned & (side != 0), turned & (before != 0)
     sale = F.col("_before") * F.col("_sell") * F.col("sell_rate") + F.col("_fixed")
     purchase = F.col("_before") * F.col("_buy") * F.col("buy_rate")
     stake = (F.col("_before") - F.col("fee")) * F.abs("held")
-    own = F.when(F.col("_sign") > 0, stake * F.col("buy_rate")).otherwise(
+    own = F.when(side > 0, stake * F.col("buy_rate")).otherwise(
         stake * F.col("sell_rate") + F.when(stake != 0, F.col("per_sale")).otherwise(0.0))
-    entry_fee = F.when(F.col("_flip"), own).when(F.col("_sign") > 0, purchase).otherwise(sale)
+    # A flip closes and opens on one bar: the new trade pays its own charges, not the bar's.
+    fees_in = F.when(opens & closes, own).when(side > 0, purchase).otherwise(sale)
+    return simulated.withColumns({
+        "_opens": opens, "_closes": closes, "_stake": stake, "_fees_in": fees_in,
+        "_fees_out": F.when(before > 0, sale).otherwise(purchase),
+        "_fill_in": F.col("open") * (1 + side * F.col("slip")),
+        "_fill_out": F.col("open") * (1 - before * F.col("slip"))})
+
+
+def _net(sign: Column, entry, exit_price: Column, fees_out: Column) -> Column:
+    return (sign * (exit_price / entry["price"] - 1)
+            - (entry["fees"] + fees_out) / (entry["stake"] + entry["fees"]))
+
+
+def trades(simulated: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
+    """One row per trade; the last may still be open. Found where a trade ends: the entry is
+    the last opening before (or, for a trade still open, at or before) that bar."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    df = _fills(simulated)
+    entry = F.when(F.col("_opens"), F.struct(
+        F.col(order).alias("day"), F.col("_i").alias("i"), F.col("_fill_in").alias("price"),
+        F.col("_fees_in").alias("fees"), F.col("_stake").alias("stake"),
+        F.signum("held").alias("sign")))
     df = df.withColumns({
-        "_fees_in": entry_fee, "_stake": stake,
-        "_exit_i": F.lead("_i").over(w), "_exit_day": F.lead(order).over(w),
-        "_exit_open": F.lead("open").over(w),
-        "_exit_sale": F.lead(sale).over(w), "_exit_purchase": F.lead(purchase).over(w),
-    }).filter(F.col("_sign") != 0)
-    s, slip, done = F.col("_sign"), F.col("slip"), F.col("_exit_i").isNotNull()
-    bought_at = F.col("open") * (1 + s * slip)
-    sold_at = F.when(done, F.col("_exit_open") * (1 - s * slip)).otherwise(F.col("_last_close"))
-    fees_out = F.when(~done, 0.0).when(s > 0, F.col("_exit_sale")).otherwise(F.col("_exit_purchase"))
-    return df.select(
-        *keys, F.when(s > 0, "long").otherwise("short").alias("side"),
-        F.col(order).alias("entry_day"), bought_at.alias("entry_price"),
-        F.coalesce("_exit_day", "_last_day").alias("exit_day"), sold_at.alias("exit_price"),
-        (F.coalesce("_exit_i", "_last_i") - F.col("_i")).alias("bars_held"),
-        (s * (sold_at / bought_at - 1) - (F.col("_fees_in") + fees_out)
-         / (F.col("_stake") + F.col("_fees_in"))).alias("net_return"),
-        F.when(done, "closed").otherwise("open").alias("status"))
+        "_prior": F.last(entry, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_current": F.last(entry, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_final": F.lead(F.lit(1)).over(w).isNull()})
+
+    def ended(e, price, fees, status):
+        return F.struct(
+            F.when(e["sign"] > 0, "long").otherwise("short").alias("side"),
+            e["day"].alias("entry_day"), e["price"].alias("entry_price"),
+            F.col(order).alias("exit_day"), price.alias("exit_price"),
+            (F.col("_i") - e["i"]).alias("bars_held"),
+            _net(e["sign"], e, price, fees).alias("net_return"), F.lit(status).alias("status"))
+
+    closed = F.when(F.col("_closes"), ended(F.col("_prior"), F.col("_fill_out"),
+                                            F.col("_fees_out"), "closed"))
+    left = F.when(F.col("_final") & (F.col("held") != 0),
+                  ended(F.col("_current"), F.col("close"), F.lit(0.0), "open"))
+    found = F.filter(F.array(closed, left), lambda x: x.isNotNull())
+    return df.select(*keys, F.explode(found).alias("_t")).select(*keys, "_t.*")
 
 
 def _with_returns(simulated: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -155,15 +171,16 @@ def _compound(last: Column, first: Column, steps: Column) -> Column:
     return F.when((steps > 0) & (last > 0), F.pow(last / first, TRADING_DAYS / steps) - 1.0)
 
 
-def run_stats(simulated: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
-    """The equity half of a backtest's figures. Sharpe here is CAGR over volatility."""
-    d = _with_returns(simulated, keys, order).groupBy(*keys).agg(
-        F.count("_r").alias("_n"), F.min_by("equity", order).alias("_v0"),
-        F.max_by("equity", order).alias("final_equity"),
-        (F.stddev_samp("_r") * TRADING_DAYS ** 0.5).alias("annualised_volatility"),
-        F.min(F.col("equity") / F.col("_peak") - 1.0).alias("max_drawdown"),
-        F.avg(F.when(F.col("_i") > 0, (F.abs("held") > 0).cast("double"))).alias("exposure"),
-        F.sum("_moved").alias("turnover"), F.sum("fee").alias("costs_paid"))
+def _equity_aggs(order: str) -> list[Column]:
+    return [F.count("_r").alias("_n"), F.min_by("equity", order).alias("_v0"),
+            F.max_by("equity", order).alias("final_equity"),
+            (F.stddev_samp("_r") * TRADING_DAYS ** 0.5).alias("annualised_volatility"),
+            F.min(F.col("equity") / F.col("_peak") - 1.0).alias("max_drawdown"),
+            F.avg(F.when(F.col("_i") > 0, (F.abs("held") > 0).cast("double"))).alias("exposure"),
+            F.sum("_moved").alias("turnover"), F.sum("fee").alias("costs_paid")]
+
+
+def _equity_figures(d: DataFrame) -> DataFrame:
     cagr = _compound(F.col("final_equity"), F.col("_v0"), F.col("_n"))
     d = d.withColumns({"total_return": F.col("final_equity") / F.col("_v0") - 1.0, "cagr": cagr})
     return d.withColumn("sharpe_ratio", F.when(
@@ -171,18 +188,27 @@ def run_stats(simulated: DataFrame, keys: list[str], order: str = "day") -> Data
     ).drop("_n", "_v0")
 
 
-def trade_stats(trade_rows: DataFrame, keys: list[str]) -> DataFrame:
-    closed = F.when(F.col("status") == "closed", F.col("net_return"))
-    return trade_rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trades"), F.count(closed).alias("closed_trades"),
-        F.avg((closed > 0).cast("double")).alias("win_rate"),
-        F.avg(closed).alias("average_trade_return"))
+def run_stats(simulated: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
+    """The equity half of a backtest's figures. Sharpe here is CAGR over volatility."""
+    return _equity_figures(_with_returns(simulated, keys, order).groupBy(*keys).agg(
+        *_equity_aggs(order)))
 
 
 def backtest_stats(simulated: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
-    counted = trade_stats(trades(simulated, keys, order), keys)
-    return (run_stats(simulated, keys, order).join(counted, keys, "left")
-            .fillna(0, ["trades", "closed_trades"]))
+    """Equity and trade figures together, in one pass over the simulated bars."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    df = _fills(_with_returns(simulated, keys, order))
+    entry = F.when(F.col("_opens"), F.struct(
+        F.col("_fill_in").alias("price"), F.col("_fees_in").alias("fees"), F.col("_stake").alias("stake")))
+    df = df.withColumn("_prior", F.last(entry, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_net", F.when(F.col("_closes"), _net(
+        F.signum("_was"), F.col("_prior"), F.col("_fill_out"), F.col("_fees_out"))))
+    return _equity_figures(df.groupBy(*keys).agg(
+        *_equity_aggs(order), F.sum(F.col("_opens").cast("bigint")).alias("trades"),
+        F.sum(F.col("_closes").cast("bigint")).alias("closed_trades"),
+        F.avg((F.col("_net") > 0).cast("double")).alias("win_rate"),
+        F.avg("_net").alias("average_trade_return")))
 
 
 def risk_metrics(equity: DataFrame, keys: list[str], order: str = "day",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brasstide.functions import series
-from brasstide.functions.recurrence import Smooth, ema_spec, smooth, wilder_spec
+from brasstide.functions.recurrence import Smooth, ema_spec, numbered, smooth, wilder_spec
 
 
 class Features:
@@ -18,7 +18,7 @@ class Features:
                  close="close", volume="volume"):
         self.keys, self.order = list(keys), order
         self.high, self.low, self.close, self.volume = high, low, close, volume
-        self.w = series.rows(self.keys, order)
+        self.w = series.rows(self.keys, ["_b", "_i"])
         self.level: dict[str, int] = {}
         self.columns: dict[str, Column] = {}
         self.scans: dict[str, Smooth] = {}
@@ -110,12 +110,13 @@ class Features:
 
     # -- computation ----------------------------------------------------------------
     def apply(self, df: DataFrame) -> DataFrame:
+        """All requested columns, plus the row number `_i` and block `_b` they are ordered by."""
+        df = numbered(df, self.keys, self.order)
         for level in range(1, max(self.level.values(), default=0) + 1):
             plain = {n: e for n, e in self.columns.items() if self.level[n] == level}
             if plain:
                 df = df.withColumns(plain)
-            scans = [s for n, s in self.scans.items() if self.level[n] == level]
-            df = smooth(df, scans, self.keys, self.order)
+            df = smooth(df, [s for n, s in self.scans.items() if self.level[n] == level], self.keys)
         return df
 
 

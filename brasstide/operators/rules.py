@@ -228,7 +228,7 @@ def wide_targets(prices: DataFrame, rules: dict[str, tuple[str, dict]], keys=("t
     built = {label: CATALOGUE[k].build(f, parameters(k, o)) for label, (k, o) in rules.items()}
     kept = carry(f) if carry else []
     base = prices.columns
-    df = f.apply(prices)
+    df = f.apply(series.spread(prices, *keys))
 
     holds = {label: b for label, b in built.items() if isinstance(b, Hold)}
     levels = {label: b.target for label, b in built.items() if isinstance(b, Level)}

@@ -32,6 +32,8 @@ ROOT = TRADING_DAYS ** 0.5
 VOTERS = [k for k in rules.CATALOGUE if k != "buy_and_hold" and k not in rules.RESTATED]
 FIRST_BAR = min(rules.CATALOGUE[k].warmup for k in VOTERS) + SHORT_TRAIN - 1
 RUN = ["ticker", "rule"]
+# Facts of the bar, not of the rule: carried with every row so that nothing is joined back.
+DAILY = ["open", "close", "exchange", "buy_rate", "sell_rate", "per_sale", "regime", *regime.MEASURES]
 
 
 def _choose(values: dict[str, object], key: str = "rule") -> Column:
@@ -66,12 +68,11 @@ def rule_targets(bars: DataFrame, names=None, with_regime: bool = True) -> DataF
     return with_market_costs(with_market(wide))
 
 
-def rule_returns(wide: DataFrame, names=None, slippage_bps: float = backtest.SLIPPAGE_BPS,
-                 extra=()) -> DataFrame:
+def rule_returns(wide: DataFrame, names=None) -> DataFrame:
     """Each rule traded alone over the whole history: net return per bar from the equity
     curve rounded to 4 decimals."""
-    carry = ["ticker", "day", "bar", "month_day", "open", "close", "exchange", "allows_short",
-             "buy_rate", "sell_rate", "per_sale", *extra]
+    carry = ["ticker", "day", "bar", "month_day", "allows_short",
+             *[c for c in DAILY if c in wide.columns]]
     runs = rules.long_targets(wide, list(names or VOTERS), carry)
     runs = runs.filter(F.col("allows_short") | (F.col("rule") != "sma_cross_long_short"))
     sim = backtest.simulate(runs, RUN, cash=NOTIONAL)
@@ -161,7 +162,7 @@ def votes(trailing: DataFrame, refit_day: int = 0) -> DataFrame:
     fit = F.struct(*[e.alias(n) for n, e in cols.items()])
     df = (trailing.withColumn("_fit", F.last(F.when(due, fit), ignorenulls=True).over(w))
           .filter(F.col("bar") >= FIRST_BAR)
-          .select("ticker", "day", "bar", "rule", "target", "allows_short", "regime",
+          .select("ticker", "day", "bar", "rule", "target", "allows_short", *DAILY,
                   *[F.col(f"_fit.{c}").alias(c) for c in cols]))
     own = F.col("allows_short") & (F.col("rule") == "sma_cross_long_short")
     mult = F.lit(1.0)
@@ -188,7 +189,7 @@ def signals(vote_rows: DataFrame, drift_downweight: bool = False, keys=("ticker"
         weight = weight * F.when(F.coalesce("drifting", F.lit(False)), DOWNWEIGHT).otherwise(1.0)
     daily = vote_rows.withColumn("_w", weight).groupBy(*keys, "day", "bar").agg(
         F.sum(F.col("_w") * F.col("vote")).alias("_num"), F.sum("_w").alias("_den"),
-        F.first("regime").alias("regime"), F.first("limited").alias("limited"),
+        *[F.first(c).alias(c) for c in DAILY], F.first("limited").alias("limited"),
         F.first("train_days").alias("train_days"), F.first("fitted_on").alias("fitted_on"),
         F.count("train_sharpe").alias("eligible"),
         F.coalesce(F.sum((F.col("weight") > 0).cast("int")), F.lit(0)).alias("counted"),
@@ -204,15 +205,19 @@ def signals(vote_rows: DataFrame, drift_downweight: bool = False, keys=("ticker"
 
 
 def walk_forward(bars: DataFrame, regime_rule: str = "slope", refit_day: int = 0,
-                 drift: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(wide targets with prices and regime, votes, signals), all tickers at once."""
+                 drift_downweight: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(votes, signals) of all tickers; the signals carry the day's prices and costs."""
+    v = votes(voting_returns(bars, regime_rule, drift_downweight), refit_day)
+    return v, signals(v, drift_downweight)
+
+
+def voting_returns(bars: DataFrame, regime_rule: str = "slope", drift: bool = False) -> DataFrame:
+    """Every voter's daily returns with trailing figures and the regime label."""
     wide = rule_targets(bars).withColumn("regime", regime.classify(regime_rule))
-    trailing = with_trailing(rule_returns(wide, extra=("regime",)), drift)
-    v = votes(trailing, refit_day)
-    return wide, v, signals(v, drift_downweight=False)
+    return with_trailing(rule_returns(wide), drift)
 
 
-def evidence(vote_rows: DataFrame, signal_rows: DataFrame, wide: DataFrame) -> DataFrame:
+def evidence(signal_rows: DataFrame) -> DataFrame:
     """The last day's signal per ticker with coverage, confidence and warnings."""
     latest = Window.partitionBy("ticker").orderBy(F.col("day").desc())
     last = (signal_rows.withColumn("_k", F.row_number().over(latest)).filter("_k = 1").drop("_k"))
@@ -223,8 +228,7 @@ def evidence(vote_rows: DataFrame, signal_rows: DataFrame, wide: DataFrame) -> D
         F.when((F.col("eligible") > 0) & (coverage < MIN_COVERAGE), "Narrow vote"),
         F.when(F.col("limited"), "Limited history"),
         F.when(F.coalesce("_den", F.lit(0.0)) == 0, "No trusted rule"))
-    measures = wide.select("ticker", "day", *regime.MEASURES)
-    return last.join(measures, ["ticker", "day"]).select(
+    return last.select(
         "ticker", F.col("day").alias("as_of"), F.col("decision").alias("signal"),
         F.round("score", 4).alias("score"),
         F.round(F.least(raw, coverage), 4).alias("confidence"),
