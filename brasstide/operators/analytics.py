@@ -47,7 +47,8 @@ def beta_and_correlation(pairs: DataFrame) -> DataFrame:
     n, var = F.count("rb"), F.var_samp("rb")
     return pairs.groupBy("ticker").agg(
         F.when((n >= 2) & (var > 0), F.covar_samp("ra", "rb") / var).alias("beta"),
-        F.when((n >= 2) & (var > 0), F.corr("ra", "rb")).alias("correlation"),
+        F.when(n >= 2, F.try_divide(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")))
+        .alias("correlation"),
         n.alias("overlapping_return_days"))
 
 

@@ -85,13 +85,16 @@ def correlations(wide: DataFrame, keys: list[str], names=VOTERS) -> DataFrame:
     """Correlation of every pair of rules per key. All pairs are aggregates of one pass over
     the wide rows, so no row is paired with another. Null where a rule never varies."""
     pairs = list(combinations(sorted(names), 2))
-    aggs = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    aggs += [F.stddev_pop(n).alias(f"_sd_{n}") for n in names]
+    aggs = [F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs]
+    aggs += [F.stddev_samp(n).alias(f"_sd_{n}") for n in names]
     df = wide.groupBy(*keys).agg(*aggs)
+
+    def sd(n):
+        return F.when(F.col(f"_sd_{n}") > 1e-12, F.col(f"_sd_{n}"))
+
     entries = F.array(*[F.struct(
         F.lit(a).alias("rule_a"), F.lit(b).alias("rule_b"),
-        F.when((F.col(f"_sd_{a}") > 1e-12) & (F.col(f"_sd_{b}") > 1e-12),
-               F.col(f"`{a}|{b}`")).alias("corr")) for a, b in pairs])
+        (F.col(f"`{a}|{b}`") / (sd(a) * sd(b))).alias("corr")) for a, b in pairs])
     return df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
 
 
@@ -180,6 +183,6 @@ def adoption(metrics: DataFrame, base: str = "regime", margin: float = 0.10,
     out = df.groupBy("ensemble").agg(
         F.percentile("sharpe", 0.5).alias("_m"), F.percentile("_base", 0.5).alias("_mb"),
         F.sum(win.cast("bigint")).alias("wins"), F.count(F.lit(1)).alias("tickers"))
-    diff = F.round(F.col("_m") - F.col("_mb"), 4)
+    diff = F.round(F.col("_m") - F.col("_mb"), 6)
     return out.select("ensemble", diff.alias("median_sharpe_difference"), "wins", "tickers",
                       ((diff >= margin) & (F.col("wins") >= wins_share * F.col("tickers"))).alias("passes"))

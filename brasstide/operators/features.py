@@ -101,8 +101,8 @@ class Features:
         # A key needs 2n rows before any of the three lines is reported.
         size = self.column("key_rows", F.count(F.lit(1)).over(Window.partitionBy(*self.keys)))
         enough = F.col(size) >= 2 * n
-        pdi = self.column(f"plus_di_{n}", F.when(enough, 100.0 * F.col(p) / F.col(rng)), p, rng, size)
-        mdi = self.column(f"minus_di_{n}", F.when(enough, 100.0 * F.col(m) / F.col(rng)), m, rng, size)
+        pdi = self.column(f"plus_di_{n}", F.when(enough, F.try_divide(100.0 * F.col(p), F.col(rng))), p, rng, size)
+        mdi = self.column(f"minus_di_{n}", F.when(enough, F.try_divide(100.0 * F.col(m), F.col(rng))), m, rng, size)
         total = F.col(pdi) + F.col(mdi)
         dx = self.column(f"dx_{n}", F.when(F.col(pdi).isNull(), None).when(
             total > 0, 100.0 * F.abs(F.col(pdi) - F.col(mdi)) / total).otherwise(0.0), pdi, mdi)

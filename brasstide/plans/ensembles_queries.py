@@ -110,13 +110,13 @@ def _metrics(spark, sf):
 @query("ensemble_adoption", """
   WITH b AS (SELECT ticker, sharpe AS base FROM ens_metrics WHERE ensemble = 'regime'),
   x AS (SELECT m.ensemble, m.sharpe, b.base FROM ens_metrics m JOIN b USING (ticker) WHERE ensemble <> 'regime')
-  SELECT ensemble, round(median(sharpe) - median(base), 4) + 0.0 AS median_sharpe_difference,
+  SELECT ensemble, round(median(sharpe) - median(base), 6) + 0.0 AS median_sharpe_difference,
     count(*) FILTER (sharpe IS NOT NULL AND (base IS NULL OR sharpe > base)) AS wins, count(*) AS tickers,
-    round(median(sharpe) - median(base), 4) >= 0.1 AND
+    round(median(sharpe) - median(base), 6) >= 0.1 AND
       count(*) FILTER (sharpe IS NOT NULL AND (base IS NULL OR sharpe > base)) >= 2 * count(*) / 3 AS passes
   FROM x GROUP BY ensemble""")
 def _adoption(spark, sf):
-    return rounded(ensembles.adoption(metric_rows(spark, sf)), {"median_sharpe_difference": 4})
+    return rounded(ensembles.adoption(metric_rows(spark, sf)), {"median_sharpe_difference": 6})
 
 
 C.add("wide_ret", "SELECT ticker, day, i, " + ", ".join(
@@ -125,7 +125,7 @@ C.add("wide_ret", "SELECT ticker, day, i, " + ", ".join(
 
 def _corr_rows(source, keys):
     items = ", ".join(
-        f"struct_pack(a := '{a}', b := '{b}', v := CASE WHEN stddev_pop({a}) > 1e-12 AND stddev_pop({b}) > 1e-12 "
+        f"struct_pack(a := '{a}', b := '{b}', v := CASE WHEN stddev_samp({a}) > 1e-12 AND stddev_samp({b}) > 1e-12 "
         f"THEN corr({a}, {b}) END)" for a, b in PAIRS)
     return f"SELECT {keys}, unnest([{items}]) AS e FROM {source} GROUP BY {keys}"
 

@@ -15,9 +15,9 @@ from brasstide.sources.derived import bars, table
 QUERIES, SQL = {}, {}
 
 # The checker has no error function: Abramowitz-Stegun's rational form would not reach 1e-9, so
-# the normal distribution is integrated by Simpson's rule on 200 steps.
-_CDF = ("(0.5 + sign({x}) * list_sum([(CASE WHEN j IN (0, 200) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * "
-        "exp(-0.5 * power(abs({x}) * j / 200, 2)) FOR j IN range(0, 201)]) * abs({x}) / 600 / sqrt(2 * pi()))")
+# the normal distribution is integrated by Simpson's rule on 400 steps.
+_CDF = ("(0.5 + sign({x}) * list_sum([(CASE WHEN j IN (0, 400) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * "
+        "exp(-0.5 * power(abs({x}) * j / 400, 2)) FOR j IN range(0, 401)]) * abs({x}) / 1200 / sqrt(2 * pi()))")
 
 
 def cdf(x: str) -> str:
@@ -66,15 +66,15 @@ def _spots(spark, sf):
 
 
 @query("option_legs", f"""
-  SELECT ticker, structure, leg_no, kind, side, strike, step, {r('premium', 3, 'premium')} FROM leg_priced""")
+  SELECT ticker, structure, leg_no, kind, side, strike, step, {r('premium', 4, 'premium')} FROM leg_priced""")
 def _legs(spark, sf):
     return rounded(options.legs(_spots(spark, sf)).select(*options.KEYS, "leg_no", "kind", "side", "strike", "step",
-                                                          "premium"), {"premium": 3})
+                                                          "premium"), {"premium": 4})
 
 
 # A price and its sensitivities for every order: spot, strike and term from its own fields.
 @query("option_greeks", f"""
-  WITH q AS (SELECT o_orderkey, o_totalprice AS s, o_totalprice * (0.8 + 0.05 * (o_custkey % 9)) AS k,
+  WITH q AS (SELECT o_orderkey, o_totalprice AS s, o_totalprice * (0.80131 + 0.050777 * (o_custkey % 9)) AS k,
       (o_orderkey % 4) / 4.0 AS t, 0.15 + 0.05 * (o_custkey % 5) AS v, o_orderpriority < '3' AS call FROM orders),
   d AS (SELECT *, CASE WHEN t > 0 THEN (ln(s / k) + (0.065 + 0.5 * v * v) * t) / (v * sqrt(t)) END AS d1 FROM q),
   n AS (SELECT *, {cdf('d1')} AS n1, {cdf('d1 - v * sqrt(t)')} AS n2, exp(-0.5 * d1 * d1) / sqrt(2 * pi()) AS pd FROM d)
@@ -85,7 +85,7 @@ def _legs(spark, sf):
 def _greeks(spark, sf):
     o = table(spark, sf, "orders").select(
         "o_orderkey", F.col("o_totalprice").alias("spot"),
-        (F.col("o_totalprice") * (0.8 + 0.05 * (F.col("o_custkey") % 9))).alias("strike"),
+        (F.col("o_totalprice") * (0.80131 + 0.050777 * (F.col("o_custkey") % 9))).alias("strike"),
         ((F.col("o_orderkey") % 4) / 4.0).alias("years"), F.lit(0.065).alias("rate"),
         (0.15 + 0.05 * (F.col("o_custkey") % 5)).alias("sigma"),
         F.when(F.col("o_orderpriority") < "3", "call").otherwise("put").alias("kind"))
@@ -124,14 +124,14 @@ def _extremes(spark, sf):
 
 
 @query("option_structures", f"""
-  SELECT ticker, structure, {r("sum(CASE WHEN kind <> 'stock' THEN -side * premium * 50 ELSE 0 END)", 1, 'net_premium')},
-    {r('sum(side * delta) * 50', 3, 'delta')}, {r('sum(side * gamma) * 50', 4, 'gamma')},
-    {r('sum(side * theta) / 365 * 50', 3, 'theta_per_day')}, {r('sum(side * vega) / 100 * 50', 3, 'vega_per_point')}
+  SELECT ticker, structure, {r("sum(CASE WHEN kind <> 'stock' THEN -side * premium * 100 ELSE 0 END)", 2, 'net_premium')},
+    {r('sum(side * delta) * 100', 4, 'delta')}, {r('sum(side * gamma) * 100', 6, 'gamma')},
+    {r('sum(side * theta) / 365 * 100', 4, 'theta_per_day')}, {r('sum(side * vega) / 100 * 100', 4, 'vega_per_point')}
   FROM leg_priced GROUP BY ticker, structure""")
 def _structures(spark, sf):
-    a = options.analyse(_spots(spark, sf), lot_size=50)
+    a = options.analyse(_spots(spark, sf), lot_size=100)
     out = a.select(*options.KEYS, "net_premium", "delta", "gamma", "theta_per_day", "vega_per_point")
-    return rounded(out, {"net_premium": 1, "delta": 3, "gamma": 4, "theta_per_day": 3, "vega_per_point": 3})
+    return rounded(out, {"net_premium": 2, "delta": 4, "gamma": 6, "theta_per_day": 4, "vega_per_point": 4})
 
 
 @query("option_payoff_grid", """
