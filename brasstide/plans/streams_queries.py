@@ -1,3 +1,153 @@
-"""placeholder"""
-QUERIES: dict = {}
-SQL: dict = {}
+"""The streaming jobs run over the supplied events, and their batch forms."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from brasstide.operators.features import Features
+from brasstide.plans.shared import rounded
+from brasstide.plans.sqltext import Ctes, r
+from brasstide.session import shared_folder
+from brasstide.sources.derived import table, written
+from brasstide.streaming import jobs
+
+QUERIES, SQL = {}, {}
+C = Ctes()
+
+
+def query(name, sql=None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = C.compose(sql)
+        return fn
+    return keep
+
+
+def _place(spark, name):
+    return f"{shared_folder(spark)}/brasstide/streams/{name}-{uuid.uuid4().hex}"
+
+
+def events_stream(spark, sf):
+    """The events as a stream of files ordered by time."""
+    stored = written(spark, sf, "events_by_time", lambda: table(spark, sf, "events").withColumn(
+        "ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts"))
+    return spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def ticks(spark, sf):
+    return events_stream(spark, sf).select(F.col("event_type").alias("ticker"), "ts", F.col("event_id").alias("seq"),
+                                           F.col("value").alias("price"))
+
+
+@query("stream_daily_bars", """
+  SELECT event_type AS ticker, CAST(ts AS DATE) AS day, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+    max_by(value, (ts, event_id)) AS close, count(*) AS volume FROM events
+  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+def _bars(spark, sf):
+    return jobs.run_to_table(jobs.daily_bars(ticks(spark, sf)), _place(spark, "bars"))
+
+
+@query("stream_enriched_bars", """
+  SELECT event_type AS ticker, CAST(ts AS DATE) AS day, count(*) AS volume, 'US' AS exchange, 'USD' AS currency FROM events
+  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+def _enriched(spark, sf):
+    s = jobs.with_market_columns(jobs.daily_bars(ticks(spark, sf))).select("ticker", "day", "volume", "exchange", "currency")
+    return jobs.run_to_table(s, _place(spark, "enriched"))
+
+
+@query("stream_late_corrections", """
+  SELECT event_type AS ticker, CAST(ts AS DATE) AS day, max_by(value, (ts, event_id)) AS close, max(ts) AS at FROM events GROUP BY 1, 2""")
+def _corrections(spark, sf):
+    place = _place(spark, "merge")
+    rows = ticks(spark, sf).select("ticker", F.to_date("ts").alias("day"), F.col("price").alias("close"), F.col("ts").alias("at"), "seq")
+    merge = jobs.TableMerge(f"{place}/table", ["ticker", "day"], ["at", "seq"])
+    q = (rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    last = max(p["batchId"] for p in q.recentProgress)
+    return spark.read.parquet(merge.version(last)).select("ticker", "day", "close", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query("stream_request_counts", """
+  WITH w AS (SELECT user_id AS key, time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL 10 SECOND * k AS start FROM events, (SELECT unnest(range(0, 6)) AS k))
+  SELECT key, start, count(*) AS requests FROM w WHERE start + INTERVAL 60 SECOND <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events) GROUP BY 1, 2""")
+def _counts(spark, sf):
+    s = jobs.request_counts(events_stream(spark, sf).select("ts", F.col("user_id").alias("key")))
+    return jobs.run_to_table(s, _place(spark, "counts")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_sessions", """
+  WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g)
+  SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, s
+  HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def _sessions(spark, sf):
+    s = jobs.activity_sessions(events_stream(spark, sf), "6 hours", "1 hour")
+    return jobs.run_to_table(s, _place(spark, "sessions")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_first_seen", "SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events")
+def _dedup(spark, sf):
+    rows = events_stream(spark, sf).select("event_type", "ts", F.to_date("ts").alias("day"))
+    out = jobs.run_to_table(jobs.first_seen(rows, ["event_type", "day"], "2 days"), _place(spark, "dedup"))
+    return out.select("event_type", "day")
+
+
+def _requests(df):
+    return df.select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"),
+                     (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
+# Admission in SQL, one request of every user at a time; the log is the last two admitted times.
+C.raw("walk", """ord AS MATERIALIZED (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (/*recursive*/
+  SELECT key, event_id, t, n, true AS allowed, t AS a, CAST(NULL AS DOUBLE) AS b FROM ord WHERE n = 1
+  UNION ALL
+  SELECT o.key, o.event_id, o.t, o.n, NOT (coalesce(w.a > o.t - 43200, false) AND coalesce(w.b > o.t - 43200, false)),
+    CASE WHEN NOT (coalesce(w.a > o.t - 43200, false) AND coalesce(w.b > o.t - 43200, false)) THEN o.t ELSE w.a END,
+    CASE WHEN NOT (coalesce(w.a > o.t - 43200, false) AND coalesce(w.b > o.t - 43200, false)) THEN w.a ELSE w.b END
+  FROM walk w JOIN ord o ON o.key = w.key AND o.n = w.n + 1)""")
+
+
+@query("sliding_log_admissions", "SELECT key, event_id AS request_id, allowed FROM walk")
+def _admit(spark, sf):
+    return jobs.admissions(_requests(table(spark, sf, "events")), 2, 43200.0).select("key", "request_id", "allowed")
+
+
+@query("stream_admissions", "SELECT key, event_id AS request_id, allowed FROM walk")
+def _admit_stream(spark, sf):
+    s = jobs.admissions_stream(_requests(events_stream(spark, sf)), 2, 43200.0)
+    return jobs.run_to_table(s, _place(spark, "admit")).select("key", "request_id", "allowed")
+
+
+@query("stream_daily_caps", """
+  SELECT event_id AS request_id, row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts, event_id) <= 2 AS admitted FROM events""")
+def _caps(spark, sf):
+    e = events_stream(spark, sf)
+    req = e.select(F.col("user_id").alias("key"), F.to_date("ts").alias("day"), F.col("event_id").alias("request_id"),
+                   (F.unix_micros("ts") / 1e6).alias("t"))
+    return jobs.run_to_table(jobs.daily_caps_stream(req, 2), _place(spark, "caps")).select("request_id", "admitted")
+
+
+C.add("seqs", "SELECT event_type AS ticker, event_id AS seq, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events")
+_EMA = f"""
+  SELECT a.ticker, a.seq, CASE WHEN a.i >= 11 THEN {r('sum(CASE WHEN b.i = 0 THEN 1.0 ELSE 2.0 / 13 END * power(11.0 / 13, a.i - b.i) * b.price)', 6, 'x').removesuffix(' AS x')} END AS ema
+  FROM seqs a JOIN seqs b ON a.ticker = b.ticker AND b.i <= a.i AND b.i > a.i - 400 GROUP BY a.ticker, a.seq, a.i"""
+
+
+@query("stream_ema", _EMA)
+def _ema(spark, sf):
+    out = jobs.run_to_table(jobs.ema_stream(ticks(spark, sf), 12), _place(spark, "ema"))
+    return rounded(out, {"ema": 6})
+
+
+@query("tick_ema", _EMA)
+def _tick_ema(spark, sf):
+    t = table(spark, sf, "events").select(F.col("event_type").alias("ticker"), F.struct("ts", "event_id").alias("day"),
+                                          F.col("event_id").alias("seq"), F.col("value").alias("price"))
+    f = Features()
+    name = f.ema("price", 12)
+    return rounded(f.apply(t).select("ticker", "seq", F.col(name).alias("ema")), {"ema": 6})
