@@ -81,8 +81,12 @@ def daily_usage(requests: DataFrame) -> DataFrame:
 
 def daily_caps(requests: DataFrame, cap: int) -> DataFrame:
     """The first `cap` requests of each (UTC day, key) are admitted."""
+    # The rank limit keeps `cap` rows per key before the shuffle; the rest are simply not in it.
     w = Window.partitionBy(F.to_date("at"), "key").orderBy("at", "request_id")
-    return requests.withColumn("admitted", F.row_number().over(w) <= cap)
+    first = (requests.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= cap)
+             .select("request_id", F.lit(True).alias("_in")))
+    return requests.join(first, "request_id", "left").withColumn(
+        "admitted", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def sessions(events: DataFrame, key: str = "user_id", gap: str = "30 minutes") -> DataFrame:

@@ -369,11 +369,17 @@ def arithmetic(requests: DataFrame, named: DataFrame) -> DataFrame:
 
 def price_earnings(eps: DataFrame, bars: DataFrame, requests: DataFrame) -> DataFrame:
     """P/E at a past close: the last close on or before the day over that year's diluted EPS."""
-    df = requests.join(bars.select("ticker", "day", "close"), "ticker").filter(F.col("day") <= F.col("on_day"))
-    last = df.groupBy("ticker", "on_day", "fiscal_year").agg(
-        F.max("day").alias("price_day"), F.max_by("close", "day").alias("close"))
+    # As-of by one ordered pass: distinct asked days and bars of a ticker share a window, so the work
+    # is their sum, not their product.
+    asked = requests.select("ticker", F.col("on_day").alias("day")).distinct().withColumns({
+        "_bar": F.lit(None).cast("struct<price_day:date,close:double>"), "_asked": F.lit(True)})
+    quoted = bars.select("ticker", "day", F.struct(F.col("day").alias("price_day"), F.col("close").cast("double").alias("close"))
+                         .alias("_bar"), F.lit(False).alias("_asked"))
+    w = Window.partitionBy("ticker").orderBy("day", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    last = quoted.unionByName(asked).withColumn("_bar", F.last("_bar", ignorenulls=True).over(w))
+    last = last.filter(F.col("_asked") & F.col("_bar").isNotNull()).select("ticker", F.col("day").alias("on_day"), "_bar.*")
     e = eps.select("ticker", "fiscal_year", F.col("value").alias("eps"))
-    return last.join(e, ["ticker", "fiscal_year"]).withColumn(
+    return requests.join(last, ["ticker", "on_day"]).join(e, ["ticker", "fiscal_year"]).withColumn(
         "pe", F.when(F.col("eps") > 0, F.col("close") / F.col("eps")))
 
 

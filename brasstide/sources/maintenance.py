@@ -102,7 +102,9 @@ def covered(requests: DataFrame, fetches: DataFrame, now: Column, ttl_hours: int
     stale = now - F.make_dt_interval(hours=F.lit(ttl_hours))
     r = r.withColumn("_cutoff", F.when(
         F.col("end_day") >= F.to_date("_close"), F.greatest(stale, F.col("_close"))).otherwise(stale))
-    f = fetches.alias("f")
+    # Only the newest fetch of a range can matter.
+    f = fetches.groupBy("ticker", "provider", "start_day", "end_day").agg(
+        F.max("fetched_at").alias("fetched_at")).alias("f")
     hit = ((F.col("r.ticker") == F.col("f.ticker")) & (F.col("r.provider") == F.col("f.provider"))
            & (F.col("f.start_day") <= F.col("r.start_day")) & (F.col("f.end_day") >= F.col("r.end_day"))
            & (F.col("f.fetched_at") >= F.col("r._cutoff")))

@@ -97,19 +97,25 @@ def _islands(requests: DataFrame, window: float) -> DataFrame:
 def admissions(requests: DataFrame, limit: int, window: float) -> DataFrame:
     """Batch form over (key, t seconds, request_id): allowed, remaining and seconds to reset.
 
-    An island is read as a stream of sorted batches; only the log (at most `limit` times) is held.
+    Islands are spread over tasks and read there in order as a stream of Arrow batches; only the
+    current island's log (at most `limit` times) is held between batches.
     """
     schema = "key bigint, request_id bigint, t double, allowed boolean, remaining int, reset double"
-    df = _islands(requests, window).repartition("key", "island").sortWithinPartitions("key", "island", "t", "request_id")
+    df = (_islands(requests, window).select("key", "island", "request_id", "t")
+          .repartition("key", "island").sortWithinPartitions("key", "island", "t", "request_id"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log: list[float] = []
+        log, last, rows = [], None, []
         for pdf in batches:
-            out, log = _admit(pdf["t"], log, limit, window)
-            yield pdf[["key", "request_id", "t"]].assign(
-                allowed=[a for a, _, _ in out], remaining=[b for _, b, _ in out], reset=[c for _, _, c in out])
-
-    return df.groupBy("key", "island").applyInPandas(decide, schema)
+            for key, island, request, t in pdf.itertuples(index=False, name=None):
+                if (key, island) != last:
+                    log, last = [], (key, island)
+                [(ok, left, reset)], log = _admit([t], log, limit, window)
+                rows.append((key, request, t, ok, left, reset))
+            yield pd.DataFrame(rows, columns=["key", "request_id", "t", "allowed", "remaining", "reset"])
+            rows = []
+
+    return df.mapInPandas(decide, schema)
 
 
 def admissions_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
