@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brasstide.operators import filings
+from brasstide.operators import filings, tables
 from brasstide.plans.shared import rounded
 from brasstide.plans.sqltext import Ctes, r
 from brasstide.sources import maintenance
@@ -258,3 +258,51 @@ def _statement_rows(spark, sf):
     c = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(
         F.struct(F.collect_list(row).alias("rows")).alias("structured"))
     return filings.statement_rows(c).select("chunk_id", "row", "absolute")
+
+
+@query("table_chunks", """
+  WITH d AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+  SELECT l_orderkey AS accession, count(*) AS lines,
+    max(CASE WHEN l_linenumber = 3 THEN concat('Gross profit ', CAST(CAST(q AS INT) AS VARCHAR)) END) AS headline FROM d GROUP BY l_orderkey""")
+def _table_chunks(spark, sf):
+    n = F.col("l_linenumber")
+    d = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    row = F.struct(n.alias("n"), F.element_at(F.array(*map(F.lit, _LABELS)), n).alias("label"),
+                   F.when(n == 7, F.array().cast("array<double>")).otherwise(F.array("q")).alias("values"))
+    s = d.groupBy(F.col("l_orderkey").cast("string").alias("accession")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    s = s.withColumns({"title": F.lit("Consolidated income statement"), "units": F.lit("in millions"), "periods": F.array(F.lit("2025"))})
+    c = tables.table_chunks(s, F.lit("Company (C)"), F.lit("FY2025"))
+    grid = F.element_at(F.split("content", "\n\n"), 2)
+    head = F.regexp_extract("content", r"Most recent period: .*?(Gross profit \d+)", 1)
+    return c.select(F.split("chunk_id", ":")[0].cast("bigint").alias("accession"), F.size(F.split(grid, "\n")).cast("bigint").alias("lines"),
+                    F.when(head != "", head).alias("headline"))
+
+
+@query("notes_above", """
+  WITH s AS (SELECT doc_id, pos, CASE WHEN length(text) BETWEEN 1 AND 120 THEN text END AS t FROM blocks)
+  SELECT doc_id, pos, coalesce(last_value(t IGNORE NULLS) OVER w, '') AS caption, count(t) OVER w AS near
+  FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""")
+def _notes(spark, sf):
+    from pyspark.sql import Window
+    b = tables.notes_above(blocks(spark, sf))
+    t = filings.normalised(F.col("text"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-8, -1)
+    near = F.count(F.when(F.length(t).between(1, 120), 1)).over(w)
+    return b.select("doc_id", "pos", "caption", near.alias("near"))
+
+
+@query("table_periods", """
+  SELECT l_orderkey, string_agg(CAST(year(l_shipdate) AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS periods FROM lineitem
+  GROUP BY l_orderkey HAVING count(*) >= 2""")
+def _periods(spark, sf):
+    cells = table(spark, sf, "lineitem").select("l_orderkey", F.lit(0).alias("row"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("col"),
+                                                F.year("l_shipdate").cast("string").alias("text"))
+    return tables.table_periods(cells, ["l_orderkey"]).select("l_orderkey", F.array_join("periods", " ").alias("periods"))
+
+
+@query("upsert_chunks", "SELECT doc_id AS chunk_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE 'old' END AS version FROM documents")
+def _upsert_chunks(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("old").alias("version"), F.lit(1).alias("at"))
+    new = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), F.lit("new").alias("version"), F.lit(2).alias("at"))
+    rows = d.unionByName(new).unionByName(new)
+    return maintenance.latest_per_key(rows, ["chunk_id"], [F.col("at").desc()]).select("chunk_id", "version")

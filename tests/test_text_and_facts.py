@@ -135,3 +135,16 @@ def test_last_close_skips_weekends(spark):
     df = spark.createDataFrame(rows, "now string, want string").withColumns({
         "now": F.to_timestamp("now"), "want": F.to_timestamp("want")})
     assert df.filter(maintenance.last_close(F.col("now"), F.lit(630)) != F.col("want")).count() == 0
+
+
+def test_sales_by_category_and_sql_functions(spark):
+    from brasstide.functions.sql import register
+    from brasstide.operators import tables
+    rows = [("Net sales:", []), ("Products", [307.0]), ("Services", [109.0]), ("Total net sales", [416.0]), ("Cost of sales:", []),
+            ("Services", [26.0])]
+    df = spark.createDataFrame([(rows,)], "rows array<struct<label:string,values:array<double>>>")
+    got = df.select(tables.by_category("rows").alias("c")).first()["c"]
+    assert got == "Net sales by category: Products net sales 307; Services net sales 109."
+    register(spark)
+    assert spark.sql("SELECT * FROM strike_ladder(101D, 2.5D, 2)").count() == 5
+    assert abs(spark.sql("SELECT normal_cdf(0D) AS x").first()["x"] - 0.5) < 1e-12
