@@ -16,7 +16,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BRASSTIDE_DRIVER_MEMORY", "12g"))
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -25,18 +25,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The folder all executors share, named in spark.checkpoint.dir.
+
+    Only a session in one process (master local[...]) may do without: it gets a folder of its own.
+    On a cluster a machine-local folder would lose data, so a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="brasstide-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
-
-
-def cut_lineage(df):
-    """Write a frame to the shared folder and read it back: survives lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
