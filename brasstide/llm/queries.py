@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import decontaminate, mixing, rules
+from brasstide.llm import decontaminate, mixing, rules, simhash
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in (
@@ -29,7 +34,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_decontamination, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality_rules, op6_decontamination, op7_mixing)}
 
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
@@ -46,6 +51,7 @@ m AS (
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
          len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop,
          len(list_filter(w, lambda x: x = '|')) AS n_bars,
+         len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter,
          length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs,
          length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper,
          length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters
@@ -59,11 +65,12 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed
        AND coalesce(word_chars / n_words BETWEEN 1.5 AND 20.0, true)
-       AND coalesce(n_symbols / n_words <= 0.25, true)
+       AND coalesce(n_symbols / n_words <= 0.1, true)
        AND coalesce(n_upper / nullif(n_letters, 0) <= 0.5, true)
-       AND coalesce(n_stop / n_words >= 0.02, true)
+       AND (n_words < 50 OR n_stop / n_words >= 0.02)
+       AND coalesce(n_stutter / n_words <= 0.2, true)
        AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5, true)
-       AND coalesce(n_bars / n_words <= 0.15, true)
+       AND coalesce(n_bars / n_words <= 0.05, true)
        AND coalesce(n_bangs / n_words <= 0.3, true) AS kept
 FROM f""",
     "op6_decontamination": f"""

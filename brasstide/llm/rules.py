@@ -15,14 +15,17 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "that", "is", "with", "for", "on",
 #: (rule, measure, lowest allowed or None, highest allowed or None). A measure that is null passes.
 THRESHOLDS = (
     ("mean_word_length", "mean_word_length", 1.5, 20.0),
-    ("symbols_per_word", "symbol_ratio", None, 0.25),
+    ("symbols_per_word", "symbol_ratio", None, 0.1),
     ("shouted_letters", "upper_ratio", None, 0.5),
     ("stop_words", "stop_ratio", 0.02, None),
     ("repeated_lines", "dup_line_ratio", None, 0.5),
-    ("cell_lines", "bar_ratio", None, 0.15),
+    ("cell_lines", "bar_ratio", None, 0.05),
+    ("stuttered_words", "stutter_ratio", None, 0.2),
     ("exclamations", "bang_ratio", None, 0.3),
 )
 MIN_WORDS = 10
+#: Shorter texts may lack stop words by chance: their stop_ratio is null and passes.
+STOP_MIN_WORDS = 50
 REPEAT_PERCENT = 20
 WINDOW = 5
 
@@ -42,6 +45,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "q_n_symbols": F.char_length(F.regexp_replace("q_text", "[^#*$%&|<>]+", "")).cast("bigint"),
         "q_lines": F.filter(F.split("q_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         "q_n_stop": F.size(F.filter(F.transform("q_words", F.lower), lambda w: w.isin(*STOP_WORDS))),
+        "q_n_stutter": F.size(F.filter("q_words", lambda w, i: F.when(
+            i > 0, w == F.col("q_words")[F.greatest(i - 1, F.lit(0))]).otherwise(False))),
         "q_n_bars": F.size(F.filter("q_words", lambda w: w == "|")),
         "q_n_bangs": F.char_length(F.regexp_replace("q_text", "[^!]+", "")),
         "q_n_upper": F.char_length(F.regexp_replace("q_text", "[^\\p{Lu}]+", "")),
@@ -74,7 +79,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "q_mean_word_length": ratio("q_word_chars", "q_n_words"),
         "q_symbol_ratio": ratio("q_n_symbols", "q_n_words"),
         "q_upper_ratio": ratio("q_n_upper", "q_n_letters"),
-        "q_stop_ratio": ratio("q_n_stop", "q_n_words"),
+        "q_stop_ratio": F.when(F.col("q_n_words") >= STOP_MIN_WORDS, ratio("q_n_stop", "q_n_words")),
+        "q_stutter_ratio": ratio("q_n_stutter", "q_n_words"),
         "q_dup_line_ratio": ratio("q_n_dup_lines", "q_n_lines"),
         "q_bar_ratio": ratio("q_n_bars", "q_n_words"),
         "q_bang_ratio": ratio("q_n_bangs", "q_n_words"),
