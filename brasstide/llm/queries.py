@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import decontaminate, mixing, rules, simhash
+from brasstide.llm import decontaminate, mixing, rules, simhash, tokens, warc
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    store = tokens.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read(*store)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,6 +30,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.write(_table(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +45,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality_rules, op6_decontamination, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op5_warc, op6_decontamination, op7_mixing)}
 
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
@@ -73,6 +84,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND coalesce(n_bars / n_words <= 0.05, true)
        AND coalesce(n_bangs / n_words <= 0.3, true) AS kept
 FROM f""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)""",
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_WS}'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_WS}'), lambda x: x <> '') AS w FROM benchmark),
