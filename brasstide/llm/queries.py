@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import decontaminate, mixing, rules, simhash, tokens, warc
+from brasstide.llm import decontaminate, mixing, ranker, rules, simhash, tokens, warc
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -30,6 +30,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ranker.fit(*ranker.training_rows(docs, _table(spark, sf_dir, "labels")))
+    return ranker.scored(docs, model)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(*warc.write(_table(spark, sf_dir, "pages"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -45,7 +51,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op5_warc, op6_decontamination, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing)}
 
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
