@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import chat_repair, decontaminate, mixing, ranker, rules, simhash, tokens, warc
+from brasstide.llm import chat_repair, decontaminate, mixing, page_text, ranker, rules, simhash, tokens, warc
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -55,7 +55,11 @@ def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repaired(_table(spark, sf_dir, "conversations")).drop("at")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair)}
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extracted(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op10_page_text)}
 
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
