@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import chat_repair, decontaminate, mixing, page_text, ranker, rules, simhash, tokens, warc
+from brasstide.llm import chat_repair, decontaminate, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -55,11 +55,17 @@ def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repaired(_table(spark, sf_dir, "conversations")).drop("at")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extracted(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op10_page_text)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text)}
 
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
