@@ -94,4 +94,4 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no item, with all their columns; rows without an id stay."""
     bad = contaminated(docs, items, key, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col(key) == F.col("bad_id"), "left_anti")
+    return docs.join(bad, docs[key] == bad["bad_id"], "left_anti")

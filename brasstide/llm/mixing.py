@@ -57,8 +57,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
         total: int | None = None, seed: int = 17, source: str = "source", key: str = "doc_id") -> DataFrame:
     """Every document as often as a Poisson number seeded by its id says, in globally shuffled order.
 
-    Columns of `docs` plus mix_copy (0-based copy), mix_copies and mix_key (the shuffle key; equal
-    keys follow their id). The count comes from inverting the distribution function at a hash of
+    Columns of `docs` plus mix_copy (0-based copy), mix_copies and mix_key (the shuffle key); columns
+    that had these names give way. The count comes from inverting the distribution function at a hash of
     (seed, id, draw), so reruns, lost tasks and other partitionings give the same rows. A null id
     hashes as "null"; rows with one id get one count; an empty table stays empty. The source table
     is joined by broadcast only while it is small; a hot source needs no group of its own.
@@ -68,16 +68,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     per_source = per_source.withColumn("mix_draws", draws).withColumn(
         "mix_cdf", _distribution(F.col("rate") / F.col("mix_draws")))
     table = per_source.select("mix_source", "mix_draws", "mix_cdf")
-    n_sources = docs.select(source).distinct().count()
-    joined = docs.join(small(table, n_sources), F.col(source).eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    # the row travels as one struct, so that its column names can't clash
+    packed = docs.select(F.col(source).alias("row_source"), F.col(key).alias("row_id"), F.struct("*").alias("row"))
+    n_sources = packed.select("row_source").distinct().count()
+    joined = packed.join(small(table, n_sources), F.col("row_source").eqNullSafe(F.col("mix_source")))
 
     def one(draw: Column) -> Column:
-        u = _uniform(seed, F.col(key), draw)
+        u = _uniform(seed, F.col("row_id"), draw)
         return F.size(F.filter(F.col("mix_cdf"), lambda c: c <= u))
 
     count = F.aggregate(F.sequence(F.lit(0), F.col("mix_draws") - 1), F.lit(0), lambda acc, d: acc + one(d))
+    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("row_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
     copied = (joined.withColumn("mix_copies", count).where("mix_copies > 0")
-              .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-              .withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))))
-              .drop("mix_draws", "mix_cdf"))
-    return copied.repartitionByRange("mix_key").sortWithinPartitions("mix_key", key)
+              .select("row", "row_id", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
+              .withColumn("mix_key", order))
+    own = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_copies", "mix_key")]
+    return (copied.repartitionByRange("mix_key", "row_id").sortWithinPartitions("mix_key", "row_id")
+            .select(*[F.col("row")[c].alias(c) for c in own], "mix_copy", "mix_copies", "mix_key"))

@@ -283,4 +283,4 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     dropped = (found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
                .join(kept, "kept_id", "left_anti"))
-    return docs.join(dropped, F.col(key) == F.col("kept_id"), "left_anti")
+    return docs.join(dropped, docs[key] == dropped["kept_id"], "left_anti")
