@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brasstide.llm import common
 from brasstide.llm.common import small, text_of, words_of
 
 SHINGLE = 5
@@ -59,8 +60,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """(doc_id, item_id, n_shingles, n_found, containment) of every document that contains an item.
 
     Words are parted at ASCII white space and compared in lower case. Documents stream past the
-    sketches (broadcast while they are few, else a shuffle on the hash); only the rows that meet
-    one carry their words on, and are verified by intersecting the shingle texts themselves. Rows
+    sketches (broadcast while they are few, else a shuffle of ids and hashes alone); only those that
+    meet one bring their words, and are verified by intersecting the shingle texts themselves. Rows
     of one doc_id give their best containment. Null and empty texts contain nothing; a null doc_id
     is reported as null; empty tables give no rows; no other column is read.
     """
@@ -69,18 +70,23 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     spark = docs.sparkSession
     probe = found.select("item_id", "size", F.explode("sketch").alias("h"))
     base = docs.select(F.col(key).alias("doc_id"), words_of(F.lower(text_of(text))).alias("words"))
+    n_rows = n_rows or 0
+    streamed = n_rows <= common.BROADCAST_ROWS  # else words would ride through a shuffle with every shingle
     hits = None
     for size in sorted(sizes or []):
         each = (base.where(F.size("words") >= size)
                 .withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - size)))
-                .select("doc_id", "words", _hash(F.col("words"), F.col("at"), size).alias("h")))
-        met = each.join(small(probe.where(F.col("size") == size), n_rows or 0), "h").drop("h")
+                .select("doc_id", *(["words"] if streamed else []), _hash(F.col("words"), F.col("at"), size).alias("h")))
+        met = each.join(small(probe.where(F.col("size") == size), n_rows), "h").drop("h", "size")
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
         return spark.createDataFrame([], f"doc_id {docs.schema[key].dataType.simpleString()}, item_id "
                                          f"{items.schema[item].dataType.simpleString()}, n_shingles int, n_found int, containment double")
+    if not streamed:
+        pairs = hits.distinct().withColumnRenamed("doc_id", "hit_id")
+        hits = base.join(pairs, base["doc_id"].eqNullSafe(pairs["hit_id"])).select("doc_id", "words", "item_id")
     checks = found.select("item_id", F.col("size").alias("item_size"), "n_shingles", "need", "shingles")
-    held = hits.join(small(checks, n_rows or 0), "item_id")
+    held = hits.join(small(checks, n_rows), "item_id")
     own = F.lit(None).cast("array<string>")
     for k in sorted(sizes):
         own = F.when(F.col("item_size") == k, _shingles(F.col("words"), k)).otherwise(own)
