@@ -366,7 +366,8 @@ def cards(texts: DataFrame) -> DataFrame:
     head = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---", 1)
     field = lambda k: F.regexp_extract(head, rf"(?m)^{k}:\s*(.+?)\s*$", 1)        # noqa: E731
     body = F.regexp_replace("text", r"(?s)^---\n.*?\n---\n?", "")
-    parts = F.slice(F.split(body, r"(?m)^## "), 2, 1000)
+    pieces = F.split(body, r"(?m)^## ")
+    parts = F.slice(pieces, F.lit(2), F.size(pieces))
     df = texts.select(field("key").alias("card_key"), field("kind").alias("kind"), field("regime").alias("regime"),
                       F.posexplode(parts).alias("section_no", "_p"))
     df = df.withColumns({"section": F.trim(F.substring_index("_p", "\n", 1)),

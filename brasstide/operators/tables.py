@@ -96,7 +96,7 @@ def by_category(rows: str) -> Column:
         stop = acc["done"] | (empty & (F.size(acc["members"]) > 0)) | (
             ~empty & (acc["heading"] != "") & F.lower(label).startswith("total"))
         heading = F.when(stop | ~empty, acc["heading"]).when(F.lower(label).isin(SALES_HEADINGS), label).otherwise("")
-        name = F.concat(F.lower(F.substring(acc["heading"], 1, 1)), F.substring(acc["heading"], 2, 1000))
+        name = F.concat(F.lower(F.substring(acc["heading"], 1, 1)), F.substr(acc["heading"], F.lit(2)))
         line = F.concat(label, F.lit(" "), name, F.lit(" "), F.array_join(F.transform(x["values"], _figure), ", "))
         members = F.when(~stop & ~empty & (acc["heading"] != ""), F.concat(acc["members"], F.array(line))).otherwise(acc["members"])
         return F.struct(heading.alias("heading"), stop.alias("done"), members.alias("members"))

@@ -179,11 +179,12 @@ def _ungrounded(spark, sf):
 
 
 @query("answer_figures", """
-  SELECT case_id, count(*) AS figures FROM (
-    SELECT case_id, q * 1e6 + 5e5 AS c, false AS p FROM li UNION SELECT case_id, no, true FROM li) GROUP BY case_id""")
+  WITH f AS (SELECT case_id, q, no, [q * 1e6 + 5e5, no, q * 1e6 + 5e5] AS c FROM li)
+  SELECT case_id, 0 AS no, q * 1e6 + 5e5 AS claim, 5e4 AS half_ulp, false AS percent FROM f UNION ALL
+  SELECT case_id, 1, no, 0.5, true FROM f""")
 def _answer_figures(spark, sf):
     f = answers.answer_figures(line_items(spark, sf), "case_id", "answer")
-    return f.groupBy("case_id").agg(F.count(F.lit(1)).alias("figures"))
+    return f.select("case_id", "no", "claim", "half_ulp", "percent")
 
 
 def _judged(spark, sf):

@@ -91,14 +91,14 @@ def _recall(spark, sf):
     return out.groupBy().agg(F.avg("recall").alias("recall_at_5"), F.sum(F.col("short").cast("int")).alias("short"))
 
 
-C.add("toks", "SELECT chunk_id, list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda w: length(w) > 1) AS w FROM doc_chunks")
+C.add("toks", "SELECT chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM doc_chunks")
 C.add("posts", "SELECT chunk_id, len(w) AS n, unnest(w) AS term FROM toks")
 C.add("tfs", "SELECT chunk_id, n, term, count(*) AS tf FROM posts GROUP BY 1, 2, 3")
 C.add("dfs", "SELECT term, count(*) AS df FROM tfs GROUP BY term")
-C.add("qterms", "SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark")
+C.add("qterms", "SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark")
 C.add("lex", """
   SELECT query_id, chunk_id, round(sum(ln(1 + (SELECT count(*) FROM documents) / df) * ln(1 + tf)) / (1 + ln(any_value(n))), 9) AS score
-  FROM qterms JOIN tfs USING (term) JOIN dfs USING (term) WHERE length(term) > 1 GROUP BY query_id, chunk_id""")
+  FROM qterms JOIN tfs USING (term) JOIN dfs USING (term) GROUP BY query_id, chunk_id""")
 C.add("lex30", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex "
       "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
 
@@ -191,11 +191,11 @@ def _section(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", retrieval.resolve_section(raw).alias("section"))
 
 
-C.add("gold", "SELECT item_id, doc_id AS chunk_id FROM benchmark JOIN documents d ON contains(d.text, substr(benchmark.text, 1, 40))")
+C.add("gold", "SELECT item_id, doc_id AS chunk_id FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)")
 
 
 def gold_rows(spark, sf):
-    m = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("marker"))
+    m = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("marker"))
     return written(spark, sf, "gold", lambda: retrieval.marker_chunks(m, chunks(spark, sf)))
 
 

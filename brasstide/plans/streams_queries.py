@@ -33,7 +33,7 @@ def _place(spark, name):
 def events_stream(spark, sf):
     """The events as a stream of files ordered by time."""
     stored = written(spark, sf, "events_by_time", lambda: table(spark, sf, "events").withColumn(
-        "ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts"))
+        "ts", F.col("ts").cast("timestamp")).repartitionByRange("ts"))
     return spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
 
 
