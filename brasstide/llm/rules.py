@@ -72,6 +72,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "q_n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
     })
 
+    # One row a row: a generator keeps a filter on the results from being rewritten, through all
+    # these layers, into an expression of the text that repeats each of them many times over.
+    counts = ["q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words", "q_n_lines", "q_n_stop",
+              "q_n_bars", "q_n_bangs", "q_n_upper", "q_n_letters", "q_n_stutter"]
+    df = df.select(*docs.columns, F.explode(F.array(F.struct(*counts))).alias("q")).select(*docs.columns, *[F.col("q")[c].alias(c) for c in counts])
+
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b).cast("double"))
 
@@ -84,7 +90,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "q_dup_line_ratio": ratio("q_n_dup_lines", "q_n_lines"),
         "q_bar_ratio": ratio("q_n_bars", "q_n_words"),
         "q_bang_ratio": ratio("q_n_bangs", "q_n_words"),
-    }).drop("q_text", "q_words", "q_lines", "q_windows", "q_placed", "q_starts", "q_repeats")
+    })
 
 
 def compiled(thresholds=THRESHOLDS) -> Column:
@@ -108,7 +114,7 @@ def judged(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFr
     windows. Null and empty texts fail. Columns of `docs` that start with q_ or carry the names
     of results would clash and are replaced. Repeated rows are judged alike; an empty table stays empty.
     """
-    clash = {"base_failed", "broken", "kept"}
+    clash = {"base_failed", "broken", "kept", "q"}
     docs = docs.select(*[c for c in docs.columns if not c.startswith("q_") and c not in clash])
     df = measures(docs, text)
     failed = (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > REPEAT_PERCENT * F.col("q_n_words"))
