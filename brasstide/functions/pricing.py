@@ -4,14 +4,33 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), na_action="ignore")
+# Rational approximation of the normal distribution function (Hart 1968), 15 digits.
+_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
+          221.213596169931, 220.206867912376)
+_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
+          637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def _polynomial(x: Column, factors) -> Column:
+    value = F.lit(factors[0])
+    for f in factors[1:]:
+        value = value * x + F.lit(f)
+    return value
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function, as a column expression: it stays in generated code."""
+    a = F.abs(x)
+    bell = F.exp(-0.5 * a * a)
+    fraction = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = a + F.lit(k) / fraction
+    tail = F.when(a > 37, F.lit(0.0)).when(a < 7.07106781186547, bell * _polynomial(a, _ABOVE) / _polynomial(a, _BELOW)).otherwise(
+        bell / fraction / 2.506628274631)
+    return F.when(x > 0, 1.0 - tail).otherwise(tail)
 
 
 def normal_pdf(x: Column) -> Column:

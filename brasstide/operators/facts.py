@@ -64,10 +64,6 @@ RATIOS = {"gross_margin": ("gross_profit", "revenue"), "operating_margin": ("ope
           "current_ratio": ("current_assets", "current_liabilities"),
           "debt_to_equity": ("total_debt", "equity")}
 PERCENT_RATIOS = ["gross_margin", "operating_margin", "net_margin", "return_on_equity"]
-RATIO_NAMES = {"gross_margin_percentage": "gross_margin", "gross_margin_pct": "gross_margin",
-               "gross_profit_margin": "gross_margin", "net_profit_margin": "net_margin",
-               "profit_margin": "net_margin", "roe": "return_on_equity", "p/e": "pe_ratio",
-               **{k: k for k in [*RATIOS, "pe_ratio"]}}
 LINE_ALIASES = {
     "revenue": ["Total Revenue", "Operating Revenue", "Revenue"],
     "gross_profit": ["Gross Profit"],

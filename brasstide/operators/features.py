@@ -124,7 +124,6 @@ class Features:
 NAMED = ("sma20", "sma50", "sma200", "ema12", "ema26", "bollinger", "rsi14", "macd", "atr14",
          "volume", "obv")
 MAX_NAMED = 8
-WARMUP_CALENDAR_DAYS = 300
 
 
 def parse_names(raw) -> list[str]:
@@ -184,11 +183,3 @@ def latest_values(series_df: DataFrame, names: list[str], keys=("ticker",)) -> D
     aggs = [F.max("day").alias("as_of"), F.max_by("close", "day").alias("last_close")]
     aggs += [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("day"))).alias(n) for n in names]
     return series_df.groupBy(*keys).agg(*aggs)
-
-
-def long_series(df: DataFrame, names: list[str], keys=("ticker",)) -> DataFrame:
-    """One row per key, day and series, undefined values left out."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).cast("double").alias("value"))
-                      for n in names])
-    return (df.select(*keys, "day", F.explode(pairs).alias("p"))
-            .select(*keys, "day", "p.series", "p.value").filter("value is not null"))

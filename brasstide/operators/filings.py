@@ -213,91 +213,97 @@ def sentences(texts: DataFrame, id_: str, text: str = "text") -> DataFrame:
     return out.filter(F.length("sentence") > 0)
 
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-
-
-def count_tokens(text: str) -> int:
-    return len(_TOKEN.findall(text))
-
-
-def pack(paragraphs: list[str], target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[str, bool]]:
-    """Paragraphs of one section to (chunk, was split mid-sentence)."""
-    units = []
-    for n, paragraph in enumerate(p.strip() for p in paragraphs):
-        if not paragraph:
-            continue
-        if count_tokens(paragraph) <= target:
-            units.append((paragraph, n, False))
-            continue
-        for s in _split(paragraph):
-            spans = [m.span() for m in _TOKEN.finditer(s)]
-            if len(spans) <= target:
-                units.append((s, n, False))
-            else:
-                units += [(s[spans[i][0]:spans[min(i + target, len(spans)) - 1][1]], n, True)
-                          for i in range(0, len(spans), target)]
-    chunks, now, size = [], [], 0
-    for unit in units:
-        tokens = count_tokens(unit[0])
-        if now and size + tokens > target:
-            title = now.pop() if len(now) > 1 and _titles(now[-1][0]) else None
-            chunks.append(now)
-            now = _carry(now, overlap) + ([title] if title else [])
-            size = sum(count_tokens(u[0]) for u in now)
-        now.append(unit)
-        size += tokens
-    if now:
-        chunks.append(now)
-    return [("".join(u[0] if i == 0 else ("\n\n" if u[1] != c[i - 1][1] else " ") + u[0] for i, u in enumerate(c)),
-             any(u[2] for u in c)) for c in chunks]
-
-
-def _split(paragraph: str) -> list[str]:
-    out: list[str] = []
-    for piece in re.split(r"(?<=[.!?;])\s+(?=[\"“'(A-Z])", paragraph):
-        words = out[-1].split() if out else []
-        if out and (words and words[-1].lower().rstrip(".") in ABBREVIATIONS or piece[:1].islower()):
-            out[-1] += " " + piece
-        else:
-            out.append(piece)
-    return [s.strip() for s in out if s.strip()]
-
-
-def _titles(text: str) -> bool:
-    t = text.strip()
-    return bool(t) and count_tokens(t) <= HEADING_TOKENS and t[0] not in "•-–" and t[-1] not in ".!?:;”\"')"
-
-
-def _carry(units, overlap):
-    def tail(items, size):
-        kept, total = [], 0
-        for x in reversed(items):
-            total += size(x)
-            if total > overlap:
-                break
-            kept.insert(0, x)
-        return kept
-
-    whole = tail(units, lambda u: count_tokens(u[0]))
-    if whole:
-        return whole
-    last = tail(_split(units[-1][0]), count_tokens)
-    return [(" ".join(last), units[-1][1], False)] if last else []
-
-
-def chunk_sections(sections: DataFrame, id_: str = "doc_id", text: str = "text", part: str = "item") -> DataFrame:
-    """Sections to overlapping chunks with ids `id:part:index`. A section is one row, so the packing
-    needs no grouping; sections are spread over the cluster as they come."""
-    schema = f"{id_} bigint, {part} string, chunk_index int, content string, hard_split boolean, token_count int"
-
-    def chunks(batches):
-        for pdf in batches:
-            rows = [(d, p, i, c, hard, count_tokens(c)) for d, p, t in zip(pdf[id_], pdf[part], pdf[text])
-                    for i, (c, hard) in enumerate(pack((t or "").split("\n\n")))]
-            yield pd.DataFrame(rows, columns=[id_, part, "chunk_index", "content", "hard_split", "token_count"])
+_TOKEN = r"(?:[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s])"
+_UNIT = "struct<text:string,part:int,tokens:int,hard:boolean>"
+
+
+def count_tokens(text: Column) -> Column:
+    """Words and punctuation marks of a text."""
+    return F.regexp_count(text, F.lit(_TOKEN)).cast("int")
+
+
+def _inner_sentences(text: Column) -> Column:
+    """Sentences of a paragraph: cut after an end mark that no abbreviation carries, before a capital or quote."""
+    short = "|".join(re.escape(a) for a in ABBREVIATIONS)
+    cut = rf"(?<!(?<![^\s])(?i:{short})\.)(?<=[.!?;])\s+(?=[\"“'(A-Z])"
+    return F.filter(F.transform(F.split(text, cut), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def _units(text: Column, target: int) -> Column:
+    """What a chunk is made of: paragraphs, or the sentences of too long ones, or token runs of too long sentences."""
+    unit = lambda t, part, hard: F.struct(t.alias("text"), part.alias("part"), count_tokens(t).alias("tokens"), F.lit(hard).alias("hard"))
+    runs = lambda s: F.regexp_extract_all(s, F.lit(rf"((?:{_TOKEN}\s*){{1,{target}}})"), 1)                       # noqa: E731
+
+    def of_sentence(s, part):
+        return F.when(count_tokens(s) <= target, F.array(unit(s, part, False))).otherwise(
+            F.transform(runs(s), lambda r: unit(F.rtrim(r), part, True)))
+
+    def of_paragraph(p, part):
+        return F.when(count_tokens(p) <= target, F.array(unit(p, part, False))).otherwise(
+            F.flatten(F.transform(_inner_sentences(p), lambda s: of_sentence(s, part))))
+
+    paragraphs = F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.flatten(F.transform(F.filter(F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
+                                          lambda x: x["p"] != ""), lambda x: of_paragraph(x["p"], x["i"])))
+
+
+def _closing(items: Column, tokens, overlap: int) -> Column:
+    """The longest run of last items that holds at most `overlap` tokens."""
+    sums = F.aggregate(F.reverse(items), F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(False).alias("full")), lambda acc, x: F.struct(
+        (acc["n"] + tokens(x)).alias("n"),
+        F.when(acc["full"] | (acc["n"] + tokens(x) > overlap), acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"),
+        (acc["full"] | (acc["n"] + tokens(x) > overlap)).alias("full")))["kept"]
+    return F.slice(items, F.size(items) - sums + 1, sums)
+
+
+def _total(units: Column) -> Column:
+    return F.aggregate(units, F.lit(0), lambda n, u: n + u["tokens"])
+
+
+def _heading_at_end(units: Column) -> Column:
+    """The last of several units, if it reads as a heading: short, no bullet, no end mark."""
+    last = F.try_element_at(units, F.lit(-1))
+    reads = (last["tokens"] <= HEADING_TOKENS) & ~last["text"].rlike("^[•\\-–]") & ~last["text"].rlike("[.!?:;”\"')]$")
+    return F.when((F.size(units) > 1) & reads, F.slice(units, -1, 1)).otherwise(F.slice(units, 1, 0))
+
+
+def packed(units: Column, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """Units folded into chunks of at most `target` tokens, as arrays of units.
+
+    A chunk opens with the closing units of the one before, up to `overlap` tokens (of a single long
+    unit, its closing sentences); a heading at a chunk's end moves on to the next.
+    """
+    none = F.slice(units, 1, 0)
+
+    def step(acc, u):
+        heading = _heading_at_end(acc["open"])
+        body = F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - F.size(heading))
+        whole = _closing(body, lambda x: x["tokens"], overlap)
+        last = F.try_element_at(body, F.lit(-1))
+        rest = F.array_join(_closing(_inner_sentences(last["text"]), count_tokens, overlap), " ")
+        part = F.when(rest != "", F.array(F.struct(rest.alias("text"), last["part"].alias("part"), count_tokens(rest).alias("tokens"), F.lit(False).alias("hard")))).otherwise(none)
+        opened = F.concat(F.when(F.size(whole) > 0, whole).otherwise(part), heading)
+        full = (F.size(acc["open"]) > 0) & (_total(acc["open"]) + u["tokens"] > target)
+        return F.struct(F.when(full, F.concat(acc["done"], F.array(body))).otherwise(acc["done"]).alias("done"),
+                        F.concat(F.when(full, opened).otherwise(acc["open"]), F.array(u)).alias("open"))
+
+    start = F.struct(F.array().cast(f"array<array<{_UNIT}>>").alias("done"), none.alias("open"))
+    return F.aggregate(units, start, step, lambda acc: F.when(
+        F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+
 
-    df = sections.select(id_, part, text).mapInPandas(chunks, schema)
-    return df.withColumn("chunk_id", F.concat_ws(":", F.col(id_).cast("string"), part, F.col("chunk_index").cast("string")))
+def chunk_sections(sections: DataFrame, id_: str = "doc_id", text: str = "text", part: str = "item",
+                   target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """Sections to overlapping chunks with ids `id:part:index`: column expressions over a section's
+    own row, without shuffle or user functions."""
+    content = F.aggregate("_c", F.struct(F.lit("").alias("t"), F.lit(-1).alias("part")), lambda acc, u: F.struct(
+        F.concat(acc["t"], F.when(acc["part"] < 0, "").when(acc["part"] != u["part"], "\n\n").otherwise(" "), u["text"]).alias("t"),
+        u["part"].alias("part")))["t"]
+    df = sections.select(id_, part, _units(F.coalesce(text, F.lit("")), target).alias("_u"))
+    df = df.select(id_, part, F.posexplode(packed(F.col("_u"), target, overlap)).alias("chunk_index", "_c"))
+    df = df.select(id_, part, "chunk_index", content.alias("content"), F.exists("_c", lambda u: u["hard"]).alias("hard_split"))
+    return df.withColumns({"token_count": count_tokens(F.col("content")),
+                           "chunk_id": F.concat_ws(":", F.col(id_).cast("string"), part, F.col("chunk_index").cast("string"))})
 
 
 def number_chunks(chunks: DataFrame, doc: str, order: list[str], period_end: Column) -> DataFrame:

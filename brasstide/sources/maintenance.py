@@ -18,13 +18,6 @@ def read_bars(bars: DataFrame, tickers: list[str], provider: str, start, end) ->
                        & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def write_bars(bars: DataFrame, path: str, buckets: int = 64) -> None:
-    """Partitioned by a hash of the ticker and sorted by day within files."""
-    (bars.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(buckets)))
-     .repartition(buckets, "bucket").sortWithinPartitions("ticker", "day")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
-
-
 def clean_rows(raw: DataFrame) -> DataFrame:
     """Drop rows with any missing or NaN price (holidays); a missing volume is 0."""
     ok = None

@@ -62,20 +62,62 @@ def test_percent_needs_percent_evidence(spark):
     assert sorted(r["no"] for r in answers.unsupported(c, e, ["turn"]).collect()) == [0, 3]
 
 
-def test_packing_respects_the_target():
+def _chunks(spark, paragraphs, **sizes):
+    df = spark.createDataFrame([(1, "7", "\n\n".join(paragraphs)), (2, "7", None), (3, "7", " \n\n ")], "doc_id bigint, item string, text string")
+    return filings.chunk_sections(df, **sizes).orderBy("chunk_index").collect()
+
+
+def test_packing_respects_the_target(spark):
     random.seed(5)
     paragraphs = [" ".join("word" for _ in range(random.randint(1, 90))) + "." for _ in range(60)] + ["x " * 1300]
-    chunks = filings.pack(paragraphs, target=120, overlap=20)
-    assert all(filings.count_tokens(c) <= 120 + 20 + 15 for c, _ in chunks)
-    assert any(hard for _, hard in chunks)
-    joined = " ".join(c for c, _ in chunks)
+    chunks = _chunks(spark, paragraphs, target=120, overlap=20)
+    assert {c.doc_id for c in chunks} == {1} and all(c.token_count <= 120 + 20 + 15 for c in chunks)
+    assert any(c.hard_split for c in chunks)
+    joined = " ".join(c.content for c in chunks)
     assert all(p.split("\n")[0][:40] in joined for p in paragraphs[:-1])
 
 
-def test_chunk_packing_overlaps_sentences():
-    text = " ".join(f"Sentence number {i} is here." for i in range(60))
-    chunks = [c for c, _ in filings.pack([text], target=60, overlap=14)]
-    assert all(b.split(". ")[0] in a for a, b in zip(chunks, chunks[1:]))
+def test_chunk_packing_overlaps_sentences_and_moves_headings(spark):
+    text = " ".join(f"Sentence number {i} of Acme Inc. is here." for i in range(60))
+    chunks = [c.content for c in _chunks(spark, [text], target=60, overlap=14)]
+    assert len(chunks) > 5 and all(b.split(" is here")[0] in a for a, b in zip(chunks, chunks[1:]))
+    parts = ["word " * 30 + ".", "A heading", "more " * 40 + "."]
+    first, second = _chunks(spark, [p.strip() for p in parts], target=50, overlap=5)
+    assert "A heading" not in first.content and second.content.startswith("A heading\n\nmore")
+
+
+def test_claims_at_band_edges_zeros_and_units(spark):
+    import random as r
+    r.seed(1)
+    pairs = [(n, v * f, v) for n, (v, f) in enumerate((10 ** r.uniform(-3, 9), r.uniform(0.99501, 1.00499)) for _ in range(2000))]
+    c = spark.createDataFrame([(n, 0, x, False) for n, x, _ in pairs] + [(-1, 0, 0.0, False)], "turn int, no int, claim double, percent boolean")
+    e = spark.createDataFrame([(n, v, False) for n, _, v in pairs] + [(-1, 0.0, False)], "turn int, value double, percent boolean")
+    assert answers.unsupported(c, e, ["turn"]).count() == 0
+    o = spark.createDataFrame([(1, 0, "0", 0.0), (1, 1, "7", 7.0)], "turn int, no int, raw string, value double")
+    z = spark.createDataFrame([(1, 0.0, False)], "turn int, value double, percent boolean")
+    assert [x["no"] for x in answers.ungrounded_operands(o, z, ["turn"]).collect()] == [1]
+    runs = spark.createDataFrame([("1,234 things", None, "furlongs"), ("1,234 things", None, "USD millions")], "answer string, final_figure string, unit string")
+    assert {x.unit: x.figure for x in answers.scored_figures(runs).collect()} == {"furlongs": None, "USD millions": 1234.0}
+
+
+def test_integers_are_claims_and_values_dedupe(spark):
+    t = spark.createDataFrame([(1, "164000 employees and 12 plants"), (2, "25% or $25"), (3, "as in its 2026 Form 10-K"), (4, "FY‑2026 up 7"),
+                               (5, "10-K (fiscal 2026) says 【3†L10-L22】 4.5 million")], "id int, text string")
+    got = {}
+    for r_ in answers.answer_figures(t, "id").collect():
+        got.setdefault(r_["id"], []).append(r_["claim"])
+    assert got == {1: [164000.0, 12.0], 2: [25.0], 4: [7.0], 5: [4.5e6]}
+
+
+def test_operands_and_markers_have_no_caps(spark):
+    o = spark.createDataFrame([(1, float(x)) for x in range(1000, 1300)], "turn int, value double")
+    c = spark.createDataFrame([(1, 0, 2500.0, 0.1)], "turn int, no int, claim double, half_ulp double")
+    assert answers.derivable(c, o, ["turn"]).count() == 1 and answers.derivable(c, o, ["turn"], operand_limit=120).count() == 0
+    from brasstide.operators import retrieval
+    chunks = spark.createDataFrame([(1, "A", "a long marker text of many words, whole"), (2, "B", "a long marker text of many words, whole"), (3, "A", "ab cd")], "chunk_id int, ticker string, content string")
+    marks = spark.createDataFrame([(1, "A", "a long marker text of many words, whole"), (2, "A", "b c")], "item_id int, ticker string, marker string")
+    got = sorted(map(tuple, retrieval.marker_chunks(marks, chunks, ("ticker",)).collect()))
+    assert got == [(1, 1), (2, 3)]
 
 
 def test_html_blocks(spark):
