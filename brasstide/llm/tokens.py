@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from brasstide.llm.common import fresh_path, open_fs, text_of, written
 
 END_ID = 0
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a worker remembers: about 150 bytes each.
+REMEMBERED = 1_200_000
 
 _ENCODERS: dict = {}
 
@@ -25,9 +25,9 @@ class Encoder:
     """Ids of whole texts, equal to the library's own, as bytes.
 
     A pre-token never reaches over a single space between two non-blank characters, except that the
-    space opens the next one. So a text is cut before such spaces and the library encodes each
-    distinct piece once. Texts with other blanks beside a space, or with a special token's mark,
-    go to the library whole.
+    space opens the next one, and a single line break between two such characters is a pre-token. So a
+    text is cut there and the library encodes each distinct piece once. Texts with other blanks beside
+    a space or a break, or with a special token's mark, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -43,25 +43,27 @@ class Encoder:
         from array import array
         return array(self.code, ids).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        good = [p for p in pieces if not (p[-1:].isspace() or p[1:2].isspace() or "<|" in p)]
+    def learn(self, pieces: set[str]) -> None:
+        # an empty piece has a blank beside a break or a space at the start of a line
+        good = [p for p in pieces if p == "\n" or p and not (p[-1].isspace() or p[:2].lstrip() == "" or p[0] != " " and p[0].isspace() or "<|" in p)]
         for at in range(0, len(good), 1000):
             part = good[at:at + 1000]
             for piece, found in zip(part, self.model.encode_batch(part, add_special_tokens=False)):
                 self.known[piece] = self.pack(found.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [" "] for t in texts]
-        need = set().union(*cut)
+        cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else [""] for t in texts]
+        need = set().union(*cut).difference(self.known)
         if len(self.known) + len(need) > REMEMBERED:
             self.known.clear()
-        self.learn(sorted(need.difference(self.known)))
+            need = set().union(*cut)
+        self.learn(need)
         out, get = [], self.known.__getitem__
         for text, pieces in zip(texts, cut):
             try:
                 out.append(b"".join(map(get, pieces)))
             except KeyError:
-                out.append(self.pack(self.model.encode(text, add_special_tokens=False).ids))
+                out.append(self.pack(self.model.encode(text, add_special_tokens=False).ids) if text else b"")
         return out
 
 
