@@ -47,6 +47,11 @@ def with_market(df: DataFrame, ticker: str = "ticker") -> DataFrame:
     return df.withColumns({n: _attribute(F.col("exchange"), i) for i, n in enumerate(names)})
 
 
+def benchmark_bars(bars: DataFrame) -> DataFrame:
+    """The bars of the markets' benchmark indices: a constant predicate that reaches the scan."""
+    return bars.filter(F.col("ticker").isin(*sorted({values[5] for values in MARKETS.values()})))
+
+
 @dataclass(frozen=True)
 class LegCosts:
     """What a buy and a sale of one unit of notional cost, plus a fixed sum per sale."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brasstide.functions.markets import with_market
+from brasstide.functions.markets import benchmark_bars, with_market
 from brasstide.functions.series import TRADING_DAYS
 
 ROOT = TRADING_DAYS ** 0.5
@@ -67,7 +67,7 @@ def summary(bars: DataFrame, risk_free: float = 0.0) -> DataFrame:
     flat = flat.filter("trading_days >= 2").withColumn("sharpe_ratio", F.when(
         F.col("annualised_volatility") > 0,
         (F.col("annualised_return") - risk_free) / F.col("annualised_volatility")))
-    index = bars.withColumnRenamed("ticker", "benchmark")
+    index = benchmark_bars(bars).withColumnRenamed("ticker", "benchmark")
     pairs = with_benchmark(marked.filter(F.col("ticker") != F.col("benchmark")), index)
     return (flat.join(max_drawdown(bars), "ticker")
             .join(beta_and_correlation(pairs), "ticker", "left"))

@@ -48,12 +48,10 @@ def risk(curve_rows: DataFrame) -> DataFrame:
 
 def index_curve(rows: DataFrame, bars: DataFrame) -> DataFrame:
     """The ticker's benchmark index held, free of cost, from the window's first day."""
-    from brasstide.functions.markets import with_market
+    from brasstide.functions.markets import benchmark_bars, with_market
     from brasstide.operators.rules import adjusted_prices
     starts = with_market(rows.groupBy("ticker").agg(F.min("day").alias("day0")))
-    # The indices are few (one per market) and their day count bounds them: checked by the
-    # optimizer's own broadcast threshold, otherwise a shuffle join on the index name.
-    index = adjusted_prices(bars).select(F.col("ticker").alias("benchmark"), "day", "open", "close")
+    index = adjusted_prices(benchmark_bars(bars)).select(F.col("ticker").alias("benchmark"), "day", "open", "close")
     runs = starts.join(index, "benchmark").filter(F.col("day") >= F.col("day0"))
     runs = runs.withColumns({"target": F.lit(1.0), "buy_rate": F.lit(0.0),
                              "sell_rate": F.lit(0.0), "per_sale": F.lit(0.0)})
