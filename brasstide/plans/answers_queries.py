@@ -212,11 +212,11 @@ def _grounded(spark, sf):
     return rounded(answers.groundedness(_judged(spark, sf), ["turn"]), {"literal_share": 6})
 
 
-@query("defang", "SELECT doc_id, length(text) + 3 + 3 + length('<Tool_Result x></ tool_result>') AS chars FROM documents")
+@query("defang", "SELECT doc_id, md5(concat('&lt;Tool_Result x>', text, '&lt;/ tool_result>')) AS text_md5 FROM documents")
 def _defang(spark, sf):
     d = table(spark, sf, "documents")
     text = F.concat(F.lit("<Tool_Result x>"), "text", F.lit("</ tool_result>"))
-    return d.select("doc_id", F.length(answers.defang(text)).cast("bigint").alias("chars"))
+    return d.select("doc_id", F.md5(answers.defang(text)).alias("text_md5"))
 
 
 _SAID = ["You should buy this stock now.", "According to Reuters, investors should buy.", "I cannot recommend that you buy now.",

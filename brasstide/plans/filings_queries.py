@@ -150,12 +150,13 @@ _ABBR = "(" + ", ".join(f"'{a}'" for a in filings.ABBREVIATIONS) + ")"
 
 
 @query("sentences", f"""
-  SELECT doc_id, count(*) FILTER (fresh) AS sentences FROM (
-    SELECT doc_id, NOT coalesce(regexp_replace(lower(regexp_extract(trim(lag(piece) OVER w), '(\\S+)$', 1)), '\\.+$', '') IN {_ABBR}
-      OR (lower(substr(piece, 1, 1)) = substr(piece, 1, 1) AND upper(substr(piece, 1, 1)) <> substr(piece, 1, 1) AND i > 0), false) AS fresh
-    FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id""")
+  WITH f AS (SELECT doc_id, i, piece, CAST(NOT coalesce(regexp_replace(lower(regexp_extract(trim(lag(piece) OVER w), '(\\S+)$', 1)), '\\.+$', '') IN {_ABBR}
+      OR (lower(substr(piece, 1, 1)) = substr(piece, 1, 1) AND upper(substr(piece, 1, 1)) <> substr(piece, 1, 1) AND i > 0), false) AS INT) AS fresh
+    FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  n AS (SELECT doc_id, i, piece, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM f)
+  SELECT doc_id, md5(trim(string_agg(piece, ' ' ORDER BY i))) AS sentence_md5 FROM n GROUP BY doc_id, s HAVING trim(string_agg(piece, ' ' ORDER BY i)) <> ''""")
 def _sentences(spark, sf):
-    return filings.sentences(table(spark, sf, "documents"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
+    return filings.sentences(table(spark, sf, "documents"), "doc_id").select("doc_id", F.md5("sentence").alias("sentence_md5"))
 
 
 @query("chunk_sections")
@@ -173,11 +174,12 @@ def _numbers(spark, sf):
 
 
 @query("token_windows", """
-  SELECT doc_id, tokens, CASE WHEN tokens <= 510 THEN 1 ELSE 1 + (tokens - 64 - 1) // 446 END AS windows FROM (
-    SELECT doc_id, len(regexp_extract_all(text, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])')) AS tokens FROM documents)""")
+  SELECT doc_id, len(t) AS tokens, k AS window_no, md5(array_to_string(t[k * 446 + 1:k * 446 + 510], ' ')) AS window_md5 FROM (
+    SELECT doc_id, t, unnest(range(CASE WHEN len(t) <= 510 THEN 1 ELSE 1 + (len(t) - 64 - 1) // 446 END)) AS k FROM (
+      SELECT doc_id, regexp_extract_all(text, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])') AS t FROM documents))""")
 def _windows(spark, sf):
     w = filings.token_windows(table(spark, sf, "documents"), "doc_id")
-    return w.groupBy("doc_id", "tokens").agg(F.count(F.lit(1)).alias("windows"))
+    return w.select("doc_id", "tokens", "window_no", F.md5("window").alias("window_md5"))
 
 
 @query("embedding_input_lengths", """
@@ -206,11 +208,11 @@ def _pool(spark, sf):
      CASE WHEN contains(h, '? ') THEN 700 - strpos(reverse(h), ' ?') - 1 ELSE -1 END,
      CASE WHEN contains(h, '! ') THEN 700 - strpos(reverse(h), ' !') - 1 ELSE -1 END,
      CASE WHEN contains(h, '; ') THEN 700 - strpos(reverse(h), ' ;') - 1 ELSE -1 END) AS cut FROM w)
-  SELECT doc_id, length(CASE WHEN tab OR length(text) <= 700 THEN text WHEN cut >= 350 THEN substr(h, 1, cut + 1) || ' …'
-    ELSE regexp_replace(h, '\\s+$', '') || ' …' END) AS chars FROM c""")
+  SELECT doc_id, md5(CASE WHEN tab OR length(text) <= 700 THEN text WHEN cut >= 350 THEN substr(h, 1, cut + 1) || ' …'
+    ELSE regexp_replace(h, '\\s+$', '') || ' …' END) AS excerpt_md5 FROM c""")
 def _excerpts(spark, sf):
     kind = F.when(F.col("doc_id") % 5 == 0, "table").otherwise("text")
-    return table(spark, sf, "documents").select("doc_id", F.length(filings.excerpt(F.col("text"), kind)).alias("chars"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(filings.excerpt(F.col("text"), kind)).alias("excerpt_md5"))
 
 
 @query("filing_catalogue", """
