@@ -9,6 +9,7 @@ table names shards, their counts and `base`, the ids of all shards before: a pre
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -55,8 +56,9 @@ class Encoder:
         cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else [""] for t in texts]
         need = set().union(*cut).difference(self.known)
         if len(self.known) + len(need) > REMEMBERED:
-            self.known.clear()
-            need = set().union(*cut)
+            # the pieces met first are the frequent ones, and stay
+            self.known = dict(islice(self.known.items(), max(0, min(REMEMBERED // 2, REMEMBERED - len(need)))))
+            need = set().union(*cut).difference(self.known)
         self.learn(need)
         out, get = [], self.known.__getitem__
         for text, pieces in zip(texts, cut):
