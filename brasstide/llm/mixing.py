@@ -32,6 +32,11 @@ def _distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["all"]
 
 
+def order_key(seed: int, key: Column, copy: Column) -> Column:
+    """Place of one copy of a row in the global shuffle: a digest of (seed, key, copy)."""
+    return F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(key.cast("string"), F.lit("null")), copy.cast("string")))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5,
           total: int | None = None, source: str = "source") -> DataFrame:
     """(source, n, rate): mean copies of each document, so that sources reach their shares.
@@ -78,7 +83,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
         return F.size(F.filter(F.col("mix_cdf"), lambda c: c <= u))
 
     count = F.aggregate(F.sequence(F.lit(0), F.col("mix_draws") - 1), F.lit(0), lambda acc, d: acc + one(d))
-    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("row_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
+    order = order_key(seed, F.col("row_id"), F.col("mix_copy"))
     copied = (joined.withColumn("mix_copies", count).where("mix_copies > 0")
               .select("row", "row_id", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
               .withColumn("mix_key", order))

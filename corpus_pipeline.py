@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brasstide.llm import decontaminate, mixing, ranker, simhash, tokens
 from brasstide.llm.common import written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Seed of the global shuffle.
+SEED = 17
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +31,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources evened out to the square roots of their sizes, in globally shuffled order."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, seed=SEED).select(docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row in flat files; per row what the files say of it."""
-    return tokens.read(*tokens.write(docs, TOKENIZER), key_type=docs.schema["doc_id"].dataType.simpleString())
+    """Token ids of every row in flat files; per row what the files say of it, in globally shuffled order.
+
+    The files hold documents in id order; the returned table is the order to read them in. Its key is
+    the mixing stage's, with a row's start, which no copy shares, as the copy's number.
+    """
+    key_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = written(tokens.read(*tokens.write(docs, TOKENIZER), key_type=key_type), "token-rows")
+    order = mixing.order_key(SEED, F.col("doc_id"), F.col("start"))
+    return rows.repartitionByRange(order, "start").sortWithinPartitions(order, "start")
 
 
 STAGES = [

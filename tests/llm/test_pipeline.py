@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
@@ -33,3 +34,13 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf, odd, nothing):
             assert docs.columns == odd.columns, name
         name, stage = corpus_pipeline.STAGES[-1]
         assert stage(spark, docs, sf).columns[0] == "doc_id"
+
+
+def test_token_rows_come_in_shuffled_order(spark):
+    docs = spark.createDataFrame([(n // 4, f"text of {n // 4}") for n in range(200)], "doc_id bigint, text string")
+    got = corpus_pipeline.token_files(spark, docs, "").collect()
+    ids = [r.doc_id for r in got]
+    assert sorted(ids) == sorted(n // 4 for n in range(200)) and len({r.start for r in got}) == 200
+    assert sum(a == b for a, b in zip(ids, ids[1:])) < 20 and ids != sorted(ids)
+    key = [hashlib.md5(f"order17|{r.doc_id}|{r.start}".encode()).hexdigest() for r in got]
+    assert key == sorted(key)
