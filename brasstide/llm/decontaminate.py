@@ -1,4 +1,4 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly."""
+"""Benchmark decontamination: exact prefix filter in MinHash order for containment, verified exactly."""
 
 from __future__ import annotations
 
@@ -30,9 +30,8 @@ def sketches(items: DataFrame, item: str = "item_id", text: str = "text",
              shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """(item_id, size, n_shingles, need, shingles, sketch) of every item with a word.
 
-    Items are partitioned by their number of shingles n. In each partition an item counts as
-    contained when `need` = ceil(containment * n) of its shingles are in a document, so at most
-    n - need are missing: its MinHash sketch keeps the n - need + 1 smallest shingle hashes, and
+    `size` is the words in a shingle. An item of n shingles counts as contained when `need` = ceil(containment * n) of its shingles are in a document, so at most
+    n - need are missing: its sketch, a prefix in hash order, keeps the n - need + 1 smallest shingle hashes, and
     a document that contains the item must hold at least one of them. The search loses nothing,
     for any document length. An item of fewer words than `shingle` is one shingle, all its words.
     """
