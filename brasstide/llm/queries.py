@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import chat_repair, decontaminate, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc
+from brasstide.llm import chat_repair, decontaminate, merkle, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -65,8 +65,47 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extracted(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text)}
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """Proofs of all rows, where every third by its id's checksum claims a text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.proofs(merkle.manifest(docs, claims={"text": F.when(tampered, lowered).otherwise(F.col("text"))}))
 
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text, op13_merkle)}
+
+#: Unsigned CRC-32 of a doc_id's decimal digits: a byte is XORed in, then eight shifts (-1) follow.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda b: -1::BIGINT))))),
+    lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END))"""
+
+
+def _merkle_leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+                                        for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+def _merkle_tree(name: str, levels: int) -> str:
+    """CTEs from {name}0 (t, at, node, total): nodes of each level above, and each level's runs of eight."""
+    return ",\n".join(f"""{name}r{k} AS (SELECT t, at // 8 AS run, list(node ORDER BY at) AS ns, any_value(total) AS total FROM {name}{k} GROUP BY t, at // 8),
+{name}{k + 1} AS (SELECT t, run AS at, CASE WHEN total > 1 THEN sha256(array_to_string(ns, '')) ELSE ns[1] END AS node, (total + 7) // 8 AS total FROM {name}r{k})"""
+                      for k in range(levels))
+
+
+def _merkle_fold(name: str, tree: str, levels: int) -> str:
+    """CTEs from {name}0 (doc_id, leaf, t, at, claim, proof): the siblings of each level joined on."""
+    left, right = "array_to_string(ns[1:at % 8], '')", "array_to_string(ns[at % 8 + 2:], '')"
+    return ",\n".join(f"""{name}{k + 1} AS (SELECT doc_id, leaf, tree, f.t, run AS at,
+  CASE WHEN total > 1 THEN sha256({left} || claim || {right}) ELSE claim END AS claim, proof || {left} || {right} AS proof
+  FROM {name}{k} f JOIN {tree}r{k} r ON f.t = r.t AND f.at // 8 = r.run)""" for k in range(levels))
+
+
+#: Levels of the SQL form: trees of up to 8 ** 7 leaves, up to 64 of them.
+_DEEP, _WIDE = 7, 2
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
 SQL = {
@@ -140,4 +179,19 @@ n AS (SELECT doc_id, source, text, sum(len(list_filter(cs, lambda x: x <= u)))::
 SELECT doc_id, source, mix_copy, copies AS mix_copies,
        md5('order17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || mix_copy) AS mix_key, md5(text) AS text_md5
 FROM (SELECT *, unnest(range(copies))::INT AS mix_copy FROM n)""",
+    "op13_merkle": f"""
+WITH d AS (SELECT *, CASE WHEN {_CRC32} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed
+  FROM documents),
+l AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {_merkle_leaf('text')} AS leaf, {_merkle_leaf('claimed')} AS claim FROM d),
+f0 AS (SELECT doc_id, leaf, tree, tree AS t, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, claim, '' AS proof,
+  count(*) OVER (PARTITION BY tree) AS total FROM l),
+n0 AS (SELECT t, at, leaf AS node, total FROM f0),
+{_merkle_tree('n', _DEEP)},
+{_merkle_fold('f', 'n', _DEEP)},
+u0 AS (SELECT '' AS t, t AS tree, row_number() OVER (ORDER BY t) - 1 AS at, node, count(*) OVER () AS total FROM n{_DEEP}),
+{_merkle_tree('u', _WIDE)},
+g0 AS (SELECT doc_id, leaf, f.tree, u.t, u.at, claim, proof FROM f{_DEEP} f JOIN u0 u ON f.tree = u.tree),
+{_merkle_fold('g', 'u', _WIDE)}
+SELECT doc_id, leaf, u0.node AS subroot, u{_WIDE}.node AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = u{_WIDE}.node AS verified
+FROM g{_WIDE} JOIN u0 USING (tree), u{_WIDE}""",
 }
