@@ -90,18 +90,18 @@ def _merkle_leaf(text: str) -> str:
 
 
 def _merkle_tree(name: str, levels: int) -> str:
-    """CTEs from {name}0 (t, at, node, total): nodes of each level above, and each level's runs of eight."""
-    return ",\n".join(f"""{name}r{k} AS (SELECT t, at // 8 AS run, list(node ORDER BY at) AS ns, any_value(total) AS total FROM {name}{k} GROUP BY t, at // 8),
-{name}{k + 1} AS (SELECT t, run AS at, CASE WHEN total > 1 THEN sha256(array_to_string(ns, '')) ELSE ns[1] END AS node, (total + 7) // 8 AS total FROM {name}r{k})"""
+    """CTEs from {name}0 (t, pos, node, total): nodes of each level above, and each level's runs of eight."""
+    return ",\n".join(f"""{name}r{k} AS (SELECT t, pos // 8 AS run, list(node ORDER BY pos) AS ns, any_value(total) AS total FROM {name}{k} GROUP BY t, pos // 8),
+{name}{k + 1} AS (SELECT t, run AS pos, CASE WHEN total > 1 THEN sha256(array_to_string(ns, '')) ELSE ns[1] END AS node, (total + 7) // 8 AS total FROM {name}r{k})"""
                       for k in range(levels))
 
 
 def _merkle_fold(name: str, tree: str, levels: int) -> str:
-    """CTEs from {name}0 (doc_id, leaf, t, at, claim, proof): the siblings of each level joined on."""
-    left, right = "array_to_string(ns[1:at % 8], '')", "array_to_string(ns[at % 8 + 2:], '')"
-    return ",\n".join(f"""{name}{k + 1} AS (SELECT doc_id, leaf, tree, f.t, run AS at,
-  CASE WHEN total > 1 THEN sha256({left} || claim || {right}) ELSE claim END AS claim, proof || {left} || {right} AS proof
-  FROM {name}{k} f JOIN {tree}r{k} r ON f.t = r.t AND f.at // 8 = r.run)""" for k in range(levels))
+    """CTEs from {name}0 (doc_id, leaf, t, pos, claim, proof): the siblings of each level joined on."""
+    left, right = "array_to_string(ns[1:pos % 8], '')", "array_to_string(ns[pos % 8 + 2:], '')"
+    return ",\n".join(f"""{name}{k + 1} AS (SELECT doc_id, leaf, tree, f.t, run AS pos,
+  CASE WHEN r.total > 1 THEN sha256({left} || claim || {right}) ELSE claim END AS claim, proof || {left} || {right} AS proof
+  FROM {name}{k} f JOIN {tree}r{k} r ON f.t = r.t AND f.pos // 8 = r.run)""" for k in range(levels))
 
 
 #: Levels of the SQL form: trees of up to 8 ** 7 leaves, up to 64 of them.
@@ -183,14 +183,14 @@ FROM (SELECT *, unnest(range(copies))::INT AS mix_copy FROM n)""",
 WITH d AS (SELECT *, CASE WHEN {_CRC32} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed
   FROM documents),
 l AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {_merkle_leaf('text')} AS leaf, {_merkle_leaf('claimed')} AS claim FROM d),
-f0 AS (SELECT doc_id, leaf, tree, tree AS t, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, claim, '' AS proof,
+f0 AS (SELECT doc_id, leaf, tree, tree AS t, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, claim, '' AS proof,
   count(*) OVER (PARTITION BY tree) AS total FROM l),
-n0 AS (SELECT t, at, leaf AS node, total FROM f0),
+n0 AS (SELECT t, pos, leaf AS node, total FROM f0),
 {_merkle_tree('n', _DEEP)},
 {_merkle_fold('f', 'n', _DEEP)},
-u0 AS (SELECT '' AS t, t AS tree, row_number() OVER (ORDER BY t) - 1 AS at, node, count(*) OVER () AS total FROM n{_DEEP}),
+u0 AS (SELECT '' AS t, t AS tree, row_number() OVER (ORDER BY t) - 1 AS pos, node, count(*) OVER () AS total FROM n{_DEEP}),
 {_merkle_tree('u', _WIDE)},
-g0 AS (SELECT doc_id, leaf, f.tree, u.t, u.at, claim, proof FROM f{_DEEP} f JOIN u0 u ON f.tree = u.tree),
+g0 AS (SELECT doc_id, leaf, f.tree, u.t, u.pos, claim, proof FROM f{_DEEP} f JOIN u0 u ON f.tree = u.tree),
 {_merkle_fold('g', 'u', _WIDE)}
 SELECT doc_id, leaf, u0.node AS subroot, u{_WIDE}.node AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = u{_WIDE}.node AS verified
 FROM g{_WIDE} JOIN u0 USING (tree), u{_WIDE}""",
