@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import chat_repair, decontaminate, merkle, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc
+from brasstide.llm import chat_repair, decontaminate, merkle, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc, whitening
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -65,6 +65,10 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def merkle_rows(docs: DataFrame) -> DataFrame:
     """Proofs of all rows, where every third by its id's checksum claims a text in lower case."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
@@ -76,7 +80,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text, op12_whitening, op13_merkle)}
 
 #: Unsigned CRC-32 of a doc_id's decimal digits: a byte is XORed in, then eight shifts (-1) follow.
 _CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
