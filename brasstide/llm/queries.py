@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brasstide.llm import chat_repair, decontaminate, merkle, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc, whitening
+from brasstide.llm import chat_repair, decontaminate, jaccard, merkle, mixing, page_text, ranker, repeats, rules, simhash, tokens, warc, whitening
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -65,6 +65,10 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
@@ -80,7 +84,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text, op12_whitening, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_quality_ranker, op5_warc, op6_decontamination, op7_mixing, op8_chat_repair, op9_repeats, op10_page_text, op11_ngram_join, op12_whitening, op13_merkle)}
 
 #: Unsigned CRC-32 of a doc_id's decimal digits: a byte is XORed in, then eight shifts (-1) follow.
 _CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
@@ -183,6 +187,16 @@ n AS (SELECT doc_id, source, text, sum(len(list_filter(cs, lambda x: x <= u)))::
 SELECT doc_id, source, mix_copy, copies AS mix_copies,
        md5('order17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || mix_copy) AS mix_key, md5(text) AS text_md5
 FROM (SELECT *, unnest(range(copies))::INT AS mix_copy FROM n)""",
+    "op11_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'),
+    lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.reached)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id FROM c LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op13_merkle": f"""
 WITH d AS (SELECT *, CASE WHEN {_CRC32} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed
   FROM documents),
