@@ -15,7 +15,7 @@ NGRAM = 3
 #: Two sets link when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (9, 10)
 #: N-grams of the sets that meet in one piece; a larger group is dealt into blocks, all of which meet.
-PIECE = 2_000_000
+PIECE = 4_000_000
 #: Words a task remembers the hash of.
 REMEMBERED = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -314,6 +314,19 @@ def _meetings(rows: DataFrame) -> DataFrame:
     return written(keys.join(small(kept, kept.count()), "h"), "ngram-meetings")
 
 
+def _together(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces of all sets that chains of shared keys connect, where one piece can hold them, so that
+    each is sent once; and the rows of `met` whose sets are too many for that."""
+    first = met.groupBy("h").agg(F.min("node").alias("b"))
+    chains = components(met.join(first, "h").select(F.col("node").alias("a"), "b"), "ngram-chains")
+    nodes = met.select("node", "n").distinct().join(chains, "node")
+    sizes = nodes.groupBy("root").agg(F.sum("n").alias("total"))
+    nodes = written(nodes.join(sizes, "root").select("node", "root", (F.col("total") <= PIECE).alias("fits")), "ngram-nodes")
+    whole = nodes.where("fits").select(F.xxhash64("root").alias("h"), F.lit(0).alias("low"), F.lit(0).alias("high"),
+                                       F.lit(False).alias("probe"), F.col("node").alias("component"), "node")
+    return whole, written(met.join(nodes.where("not fits").select("node"), "node", "left_semi"), "ngram-parts")
+
+
 def _first_round(met: DataFrame, sets: DataFrame, share) -> DataFrame:
     """Links found where each set goes to its fullest key alone, the largest groups dealt into blocks by chance
     and, as long as there are such, dealt and joined once more."""
@@ -370,9 +383,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tup
     """(doc_id, n_shingles, component_id): size of each row's n-gram set, and the least id reachable by links.
 
     Equal sets count as one row from the start. Sets that can link share a key (`meeting_keys`); keys
-    that the same sets share count once, and sets that share none are done. Of the others each goes
-    to one group and a prefix tree links what links there; then keys whose sets lie in different
-    components yet are joined in full. No group is capped: see `_last_round`. Rows without words have
+    that the same sets share count once, and sets that share none are done. The others go to one piece with all
+    that chains of keys connect them to, and a prefix tree links what links there. Where such a chain
+    is too large for a piece, each set goes to one group first; then keys whose sets lie in
+    different components yet are joined in full. No group is capped: see `_last_round`. Rows without words have
     empty sets, linked with nothing; a null id counts as larger than all others and stays null; rows
     of one id are rows of their own; an empty table gives no rows. Only `key` and `text` are read.
     N-grams are compared by 64-bit hashes, sets by 128-bit digests.
@@ -388,9 +402,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tup
     sets = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
     sets = written(sets.mapInArrow(_whole, "node binary, grams array<bigint>")
                    .join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "ngram-grams")
-    links = _first_round(met, sets, share)
-    found = components(links, "ngram-components")
-    links = links.unionByName(_last_round(met, sets, found, share))
+    whole, parts = _together(met)
+    links = written(_links(whole, sets, share), "ngram-links")
+    if not parts.isEmpty():
+        links = links.unionByName(_first_round(parts, sets, share))
+        links = links.unionByName(_last_round(parts, sets, components(links, "ngram-components"), share))
     found = components(links, "ngram-components")
     rooted = distinct.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
