@@ -13,42 +13,48 @@ from brasstide.llm.common import regrouped, written
 RADIUS = 3
 #: Rows of one bucket that are compared in one piece; larger buckets are dealt out in pairs of blocks.
 BLOCK = 4096
+#: Shingle hashes whose bits are counted at once, within a long text and over short ones.
+SLICE = 20_000
 #: Rows a comparison task holds at once, beside one bucket.
 PIECE = 65536
 
 
 def _prints(batches: Iterator) -> Iterator:
+    from array import array
+
     import numpy as np
     import pyarrow as pa
     import xxhash
     digest = xxhash.xxh64_intdigest
 
-    def majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
-        """One 64-bit fingerprint per text from the concatenated hashes of all."""
-        n = np.asarray(sizes)
-        raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(raw, axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
-
     for batch in batches:
-        out = np.zeros(batch.num_rows, dtype="<u8")
-        rows, sizes, hashes = [], [], []
+        ones = np.zeros((batch.num_rows, 64), dtype=np.uint32)
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        hashes, rows, starts = array("Q"), [], []
+
+        def count():
+            """Adds the set bits of the hashes held so far to their texts' counts; a text may come in several parts."""
+            if hashes:
+                bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[rows] += np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
+            return array("Q"), [], []
+
         for i, text in enumerate(batch.column(1)):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space parts
             if not words:
                 continue
-            grams = [b" ".join(words)] if len(words) < 3 else [b"%b %b %b" % g for g in zip(words, words[1:], words[2:])]
-            hashes += [digest(g, 42) for g in grams]
-            rows.append(i)
-            sizes.append(len(grams))
-            if len(hashes) > 500_000:
-                out[rows] = majority(hashes, sizes)
-                rows, sizes, hashes = [], [], []
-        if rows:
-            out[rows] = majority(hashes, sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view("<i8"))], names=["doc_id", "fp"])
+            sizes[i] = max(1, len(words) - 2)
+            for at in range(0, int(sizes[i]), SLICE):
+                part = words[at:at + SLICE + 2]
+                rows.append(i)
+                starts.append(len(hashes))
+                grams = zip(part, part[1:], part[2:]) if len(words) > 2 else [part]
+                hashes.extend(digest(b" ".join(g), 42) for g in grams)
+                if len(hashes) >= SLICE:
+                    hashes, rows, starts = count()
+        count()
+        prints = np.packbits(2 * ones.astype(np.int64) > sizes[:, None], axis=1, bitorder="little").reshape(-1).view("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

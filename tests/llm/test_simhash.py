@@ -100,3 +100,32 @@ def test_representatives_keep_one_of_each_group(odd):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 7 not in ids and 3 not in ids and 2 in ids and ids.count(None) == 2
+
+
+def test_texts_cut_into_slices_keep_their_print(spark, monkeypatch, odd):
+    import pyarrow as pa
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    texts = [r.text for r in odd.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = next(simhash._prints(iter([batch]))).column(1).to_pylist()
+    assert [g % 2 ** 64 for g in got] == [brute_print(t) for t in texts]
+
+
+def test_a_text_of_20_mb_stays_within_500_mb():
+    code = """
+import resource, sys
+import pyarrow as pa
+from brasstide.llm import simhash
+text = " ".join(f"word{i % 9973:07d}" for i in range(1_600_000)) + " " + "tail " * 500_000
+assert len(text) > 20_000_000
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+del text
+import numpy, xxhash
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+next(simhash._prints(iter([batch])))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import subprocess
+    import sys
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 300, out.stdout
