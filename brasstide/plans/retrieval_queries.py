@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brasstide.operators import retrieval
+from brasstide.operators import retrieval, vectors as similar
 from brasstide.plans.shared import rounded
 from brasstide.plans.sqltext import Ctes, r
 from brasstide.sources.derived import table, written
@@ -76,19 +76,31 @@ def _min_score(spark, sf):
     return rounded(hits.select("query_id", "vec_id", "score"), {"score": 6})
 
 
+def _index(spark, sf):
+    """One index per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = similar.build_index(vectors(spark, sf))
+    return _INDEXES[key]
+
+
+_INDEXES: dict = {}
+
+
 @query("vector_topk_approximate")
 def _ann(spark, sf):
-    v = vectors(spark, sf)
-    return retrieval.approximate_topk(as_queries(v), v, 10, dim=64, exclude_self=True)
+    return similar.search_index(_index(spark, sf), as_queries(vectors(spark, sf)), 10, exclude_self=True)
 
 
 @query("approximate_recall")
 def _recall(spark, sf):
-    v = vectors(spark, sf)
-    exact = retrieval.exact_topk(as_queries(v), v, 10, exclude_self=True)
-    found = retrieval.approximate_topk(as_queries(v), v, 10, dim=64, exclude_self=True)
-    out = retrieval.recall_at(exact, found, 5)
-    return out.groupBy().agg(F.avg("recall").alias("recall_at_5"), F.sum(F.col("short").cast("int")).alias("short"))
+    v, index = vectors(spark, sf), _index(spark, sf)
+    exact = retrieval.exact_topk(as_queries(v), v, 30, exclude_self=True)
+    found = similar.search_index(index, as_queries(v), 30, exclude_self=True)
+    one = [retrieval.recall_at(exact, found, k).agg(F.avg("recall").alias(f"recall_at_{k}"), F.count_if("short").alias(f"short_at_{k}"))
+           .withColumn("one", F.lit(1)) for k in (5, 10, 30)]
+    shares = similar.work_shares(index, as_queries(v), 30).withColumn("one", F.lit(1))
+    return one[0].join(one[1], "one").join(one[2], "one").join(shares, "one").drop("one")
 
 
 C.add("toks", "SELECT chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM doc_chunks")

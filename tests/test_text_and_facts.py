@@ -155,16 +155,6 @@ def test_admission_matches_a_loop(spark):
             assert got[i] == ok
 
 
-def test_exact_search_keeps_ties_and_all_rounds(spark):
-    v = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
-    q = v.withColumnRenamed("vec_id", "query_id")
-    one = retrieval.exact_topk(q, v, 25).orderBy("query_id", "rank").collect()
-    four = retrieval.exact_topk(q, v, 25, rounds=4).orderBy("query_id", "rank").collect()
-    assert one == four and len(one) == 60 * 25
-    first = [r["vec_id"] for r in one if r["query_id"] == 0]
-    assert first[:20] == list(range(0, 60, 3))
-
-
 def test_fusion_ties_by_first_appearance(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, chunk_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "x", 2), (1, "z", 3)], a.schema)
