@@ -1,4 +1,4 @@
-"""Event-time jobs: daily bars, late corrections, request limits, incremental indicators.
+"""Event-time jobs: daily bars, request counts and limits, incremental indicators.
 
 Every job takes a streaming DataFrame and returns one (or a foreachBatch writer), so sources and
 sinks are the caller's. State is kept per key and bounded by the rule it implements.
@@ -6,6 +6,7 @@ sinks are the caller's. State is kept per key and bounded by the rule it impleme
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from brasstide.functions.markets import with_market
+from brasstide.streaming.state import sliding_log
 
 
 def daily_bars(ticks: DataFrame, delay: str = "1 hour", key: str = "ticker") -> DataFrame:
@@ -47,40 +49,6 @@ def with_market_columns(bars: DataFrame) -> DataFrame:
     return with_market(bars)
 
 
-class TableMerge:
-    """foreachBatch writer that keeps the newest version of each key in a table.
-
-    Each batch writes a new version folder and the version is named by the batch, so a batch that
-    is run again after a failure rewrites its own folder. A row that arrives late replaces the
-    stored one only if its `order` value is newer; stored keys not in the batch are kept.
-    """
-
-    def __init__(self, path: str, keys: list[str], order: list[str]):
-        self.path, self.keys, self.order = path, keys, order
-
-    def version(self, batch: int) -> str:
-        return f"{self.path}/version={batch}"
-
-    def __call__(self, rows: DataFrame, batch: int) -> None:
-        if batch > 0:
-            rows = rows.sparkSession.read.parquet(self.version(batch - 1)).unionByName(rows)
-        w = Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc() for c in self.order])
-        newest = rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
-        newest.write.mode("overwrite").parquet(self.version(batch))
-
-
-def _admit(times, stamps: list[float], limit: int, window: float):
-    """Sliding-log admission of ordered times; denied requests leave no trace."""
-    out = []
-    for t in times:
-        stamps = [s for s in stamps if s > t - window]
-        ok = len(stamps) < limit
-        if ok:
-            stamps.append(t)
-        out.append((ok, limit - len(stamps), (stamps[0] + window - t) if stamps else window))
-    return out, stamps
-
-
 def _islands(requests: DataFrame, window: float) -> DataFrame:
     """Runs of requests with no gap of a whole window: the log is empty at their start, so they are
     decided independently. Found from one row per (key, window-long slice), so a busy key sends
@@ -105,49 +73,18 @@ def admissions(requests: DataFrame, limit: int, window: float) -> DataFrame:
           .repartition("key", "island").sortWithinPartitions("key", "island", "t", "request_id"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log, last, rows = [], None, []
+        log, last, rows = deque(), None, []
         for pdf in batches:
             for key, island, request, t in pdf.itertuples(index=False, name=None):
                 if (key, island) != last:
-                    log, last = [], (key, island)
-                [(ok, left, reset)], log = _admit([t], log, limit, window)
-                rows.append((key, request, t, ok, left, reset))
+                    log, last = deque(), (key, island)
+                rows.append((key, request, t, *sliding_log(log, round(t * 1e6), limit, round(window * 1e6))))
             yield pd.DataFrame(rows, columns=["key", "request_id", "t", "allowed", "remaining", "reset"])
             rows = []
 
     return df.mapInPandas(decide, schema)
 
 
-def admissions_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same rule with the log as state. A batch's requests of one key are put in time order."""
-    schema = "key bigint, request_id bigint, t double, allowed boolean"
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "request_id"])
-        out, log = _admit(rows["t"], log, limit, window)
-        state.update((log,))
-        yield rows[["key", "request_id", "t"]].assign(allowed=[a for a, _, _ in out])
-
-    return requests.groupBy("key").applyInPandasWithState(
-        decide, schema, "log array<double>", "append", "NoTimeout")
-
-
-def daily_caps_stream(requests: DataFrame, cap: int) -> DataFrame:
-    """The first `cap` requests of each (UTC day, key) are admitted; state is one count."""
-    schema = "key bigint, day date, request_id bigint, admitted boolean"
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["t", "request_id"])
-        order = range(used, used + len(rows))
-        state.update((min(cap, used + len(rows)),))
-        yield rows[["key", "day", "request_id"]].assign(admitted=[i < cap for i in order])
-
-    return requests.groupBy("key", "day").applyInPandasWithState(
-        decide, schema, "used int", "append", "NoTimeout")
-
-
 def ema_stream(ticks: DataFrame, n: int) -> DataFrame:
     """EMA per ticker with its level as state; equals the batch scan over the same rows."""
     alpha = 2.0 / (n + 1)
