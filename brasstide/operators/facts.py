@@ -289,9 +289,9 @@ def snapshot(named: DataFrame, years: int = 3) -> DataFrame:
     return df.filter(F.col("_k") <= years).drop("_k")
 
 
+# Patterns of operands, operation aliases and scale words.
 _REFERENCE = r"^\s*([A-Za-z][A-Za-z0-9.\-]*)\s*[:/]\s*([A-Za-z_&][\w &\-]*?)\s*[:/]\s*(?:[Ff][Yy])?\s*(\d{4})\s*$"
 _NUMBER = r"^\s*\(?\s*([-+]?)\s*\$?\s*([\d,]*\.?\d+(?:[eE][-+]?\d+)?)\s*(%|[A-Za-z]+)?\s*\)?\s*$"
-# Operation aliases and scale words.
 OPERATIONS = ["add", "subtract", "multiply", "divide", "percent_change", "percent_of"]
 OPERATION_ALIASES = {
     "+": "add", "plus": "add", "sum": "add", "addition": "add", "-": "subtract", "minus": "subtract",
