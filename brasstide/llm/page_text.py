@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -29,14 +30,21 @@ _MAIN = frozenset(("article", "main"))
 _MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
                    "sidebar side cookie cookies consent notice popup modal newsletter subscribe comment comments disqus reply replies respond "
                    "share social related breadcrumb breadcrumbs footer masthead pagination contentinfo complementary search".split())
-#: Words that say where or in what a marked thing stands.
-_PLAIN = frozenset("area article bar block bottom box button buttons container entry global icons left link links list main page panel "
-                   "post posts primary right secondary section site slot top unit widget wrap wrapper".split())
+#: Such words on pages outside of articles only; within one they are the names of its own parts.
+_OUTER_MARKS = frozenset("header menu".split())
+#: The marks of adverts: the only ones that count on a paragraph of an article.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
+#: The marks of reader comments: the only ones that count in an id within an article.
+_COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Words that say where, in what or whose a marked thing stands.
+_PLAIN = frozenset("area article articles bar block bottom box button buttons container content count entry form global google icons inner "
+                   "item items left link links list main outer page panel post posts primary reader readers right row secondary section "
+                   "signup site slot stories thread threads top unit user users visitor visitors widget widgets wrap wrapper".split())
 _ROLES = frozenset("banner navigation menu menubar search contentinfo complementary".split())
 #: Only in these is an id the name of a place; elsewhere it is the slug of a heading.
 _PLACES = frozenset("div ul ol table td".split())
 #: The article's own text, whatever its class.
-_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def blocks_of(html: str) -> tuple[list[str], list[str], bool]:
@@ -49,6 +57,7 @@ def blocks_of(html: str) -> tuple[list[str], list[str], bool]:
     """
     from html import unescape
     stack: list[tuple[str, bool, bool]] = []  # (tag, beside the article, in a main element)
+    opened: Counter = Counter()  # of the stack by tag: an end tag without its start looks at nothing
     found: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     beside = inside = named = False
@@ -86,11 +95,10 @@ def blocks_of(html: str) -> tuple[list[str], list[str], bool]:
             continue
         end_block()
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    beside, inside = stack[k][1], stack[k][2]
-                    del stack[k:]
-                    break
+            ended = None
+            while opened[name] and ended != name:
+                ended, beside, inside = stack.pop()
+                opened[ended] -= 1
             continue
         if name in _RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
@@ -100,9 +108,11 @@ def blocks_of(html: str) -> tuple[list[str], list[str], bool]:
             continue
         if name == "body":
             stack.clear()
+            opened.clear()
             beside = inside = False
             continue
         stack.append((name, beside, inside))
+        opened[name] += 1
         if name in _MAIN and not inside:
             beside, inside, named = False, True, True
         elif not beside:
@@ -115,19 +125,31 @@ def blocks_of(html: str) -> tuple[list[str], list[str], bool]:
 
 
 def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether class, role or id say that an element, in an article or not, is something beside the text."""
-    if inside and name in _PROSE:
+    """Whether class, role or id say that an element, in an article or not, is something beside the text.
+
+    A class or id does so by consisting of marks and plain words, whole. Headings of an article never
+    are, its paragraphs only as adverts; an id within it tells reader comments alone, since ids there
+    are slugs of its sections.
+    """
+    if inside and name in _HEADINGS:
         return False
+    prose = inside and name == "p"
     for kind, *value in _NAMES.findall(attributes):
         kind = kind.lower()
+        if kind == "id":
+            if name not in _PLACES and not (inside and name in ("section", "aside")):
+                continue
+            marks = _COMMENTS if inside else _MARKS | _OUTER_MARKS
+        else:
+            marks = _ADVERTS if prose else _MARKS if inside else _MARKS | _OUTER_MARKS
         for token in "".join(value).lower().split():
             if kind == "role":
-                if token in _ROLES:
-                    return True
-            elif kind == "class" or name in _PLACES and not inside:
-                words = [w for w in re.split("[_-]+", token) if w]
-                if any(w in _MARKS for w in words) and all(w in _MARKS or w in _PLAIN for w in words):
+                if token in _ROLES and not prose:
                     return True
+                continue
+            words = [w for w in re.split("[_-]+", token) if w]
+            if any(w in marks for w in words) and all(w in marks or w in _PLAIN for w in words):
+                return True
     return False
 
 

@@ -60,11 +60,35 @@ def test_repeats_beside_articles_are_counted(spark):
      "<section id=\"search\">d</section><section aria-label=\"Social history\">e</section><p class=notice>f</p>"
      "<div class=\"share\">no</div><div class=\"post-comments\">no</div></article>", ["a", "b", "c", "d", "e", "f"]),
     ("<div class=\"content no-sidebar\"><h2 id=search>a</h2><p>b</div><div class=\"right-sidebar\">no</div>", ["a", "b"]),
-    ("<div data-role=navigation>a</div><div class='x social'>no</div>", ["a"])])
+    ("<div data-role=navigation>a</div><div class='x social'>no</div>", ["a"]),
+    ("<article><p class='menu'>a</p><div class=header><h1>b</h1></div><div class='share-price'>c</div><p id=comments>d</p>"
+     "<h2 class=comments>e</h2></article>", ["a", "b", "c", "d", "e"])])
 def test_names_that_only_contain_a_mark_lose_no_text(page, blocks):
     assert page_text.blocks_of(page)[0] == blocks
 
 
+@pytest.mark.parametrize("block", [
+    "<div id=\"comments\">x</div>", "<section id=comments><p>x</section>", "<div class='reader-comments'><p>x</p></div>",
+    "<div class=newsletter-signup>x</div>", "<ul class='related-articles'><li>x</ul>", "<div class='google-ad'>x</div>",
+    "<p class=\"advert\">x</p>", "<div id=disqus_thread>x</div>", "<div class='comments-thread'>x</div>"])
+def test_comments_and_adverts_go_within_and_beside_articles(block):
+    assert page_text.blocks_of(f"<article><p>a</p>{block}<p>b</p></article>")[0] == ["a", "b"]
+    assert page_text.blocks_of(f"<p>a</p>{block}<p>b</p>")[0] == ["a", "b"] or "section id" in block
+
+
+@pytest.mark.parametrize("name", ["header", "menu-item", "footer-widgets", "comments-thread"])
+def test_places_outside_of_articles_go(name):
+    assert page_text.blocks_of(f"<div class='{name}'>x</div><p>a</p>")[0] == ["a"]
+
+
+def test_end_tags_without_starts_take_linear_time():
+    import time
+    page = "<p>a" * 60_000 + "</center>" * 60_000 + "</p>" * 60_000
+    start = time.process_time()
+    assert len(page_text.blocks_of(page)[0]) == 60_000
+    assert time.process_time() - start < 5
+
+
 def test_quotes_and_near_copies_without_an_article_stay(spark):
     quote = "these are the ten words that some pages quote whole"
     foot = "all rights to these pages are held by the house"
