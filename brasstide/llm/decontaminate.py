@@ -74,8 +74,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     hits = None
     for size in sorted(sizes or []):
         each = (base.where(F.size("words") >= size)
-                .withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - size)))
-                .select("doc_id", *(["words"] if streamed else []), _hash(F.col("words"), F.col("at"), size).alias("h")))
+                # each hash once a document: a document that repeats an item is verified no more often
+                .withColumn("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - size), _hasher(size)))))
+                .select("doc_id", *(["words"] if streamed else []), "h"))
         met = each.join(small(probe.where(F.col("size") == size), n_rows), "h").drop("h", "size")
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:

@@ -74,3 +74,13 @@ def test_plan_has_no_python(spark, documents):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     plan = decontaminate.contaminated(documents, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_document_that_repeats_an_item_is_verified_a_few_times_only(spark):
+    import time
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = [(n, f"{item} " * n) for n in (1, 800)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    start = time.time()
+    assert found(df, it) == {(1, 7, 26, 26), (800, 7, 26, 26)}
+    assert time.time() - start < 15
