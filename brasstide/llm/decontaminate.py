@@ -14,7 +14,7 @@ CONTAINMENT = 0.8
 def _shingles(words: Column, size: int) -> Column:
     """Distinct word shingles as text; an empty array for fewer words than `size`."""
     texts = F.transform(F.sequence(F.lit(0), F.size(words) - size),
-                        lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+                        lambda i: F.concat_ws(" ", *[words[i + k] for k in range(size)]))
     return F.when(F.size(words) >= size, F.array_distinct(texts)).otherwise(F.array().cast("array<string>"))
 
 
