@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brasstide.llm import common
-from brasstide.llm.common import small, text_of, words_of
+from brasstide.llm.common import small, text_of, words_of, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -60,7 +59,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     Words are parted at ASCII white space and compared in lower case. Documents stream past the
     sketches (broadcast while they are few, else a shuffle of ids and hashes alone); only those that
-    meet one bring their words, and are verified by intersecting the shingle texts themselves. Rows
+    meet one are read again, once an item, and are verified by intersecting the shingle texts themselves. Rows
     of one doc_id give their best containment. Null and empty texts contain nothing; a null doc_id
     is reported as null; empty tables give no rows; no other column is read.
     """
@@ -68,23 +67,23 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     n_rows, sizes = found.agg(F.sum(F.size("sketch")), F.collect_set("size")).first()  # one row, sizes 1 to `shingle`
     spark = docs.sparkSession
     probe = found.select("item_id", "size", F.explode("sketch").alias("h"))
-    base = docs.select(F.col(key).alias("doc_id"), words_of(F.lower(text_of(text))).alias("words"))
+    base = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
+    split = words_of(F.lower("text"))
     n_rows = n_rows or 0
-    streamed = n_rows <= common.BROADCAST_ROWS  # else words would ride through a shuffle with every shingle
-    hits = None
+    met = None
     for size in sorted(sizes or []):
-        each = (base.where(F.size("words") >= size)
-                # each hash once a document: a document that repeats an item is verified no more often
-                .withColumn("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - size), _hasher(size)))))
-                .select("doc_id", *(["words"] if streamed else []), "h"))
-        met = each.join(small(probe.where(F.col("size") == size), n_rows), "h").drop("h", "size")
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
+        each = (base.select("doc_id", split.alias("words")).where(F.size("words") >= size)
+                .withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - size)))
+                .select("doc_id", _hash(F.col("words"), F.col("at"), size).alias("h")))
+        hit = each.join(small(probe.where(F.col("size") == size), n_rows), "h").select("doc_id", "item_id")
+        met = hit if met is None else met.unionByName(hit)
+    if met is None:
         return spark.createDataFrame([], f"doc_id {docs.schema[key].dataType.simpleString()}, item_id "
                                          f"{items.schema[item].dataType.simpleString()}, n_shingles int, n_found int, containment double")
-    if not streamed:
-        pairs = hits.distinct().withColumnRenamed("doc_id", "hit_id")
-        hits = base.join(pairs, base["doc_id"].eqNullSafe(pairs["hit_id"])).select("doc_id", "words", "item_id")
+    # one row a document and item, however often the document repeats it
+    pairs = written(met.distinct(), "met-items").withColumnRenamed("doc_id", "hit_id")
+    hits = (base.join(small(pairs, pairs.count()), base["doc_id"].eqNullSafe(pairs["hit_id"]))
+            .select("doc_id", "item_id", split.alias("words")))
     checks = found.select("item_id", F.col("size").alias("item_size"), "n_shingles", "need", "shingles")
     held = hits.join(small(checks, n_rows), "item_id")
     own = F.lit(None).cast("array<string>")
