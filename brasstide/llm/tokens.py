@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brasstide.llm.common import fresh_path, open_fs, text_of, written
 
@@ -124,11 +124,12 @@ def _writer(folder: str, tokenizer: str, end_id: int, slice_chars: int = 4_000_0
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id",
-          text: str = "text", end_id: int = END_ID) -> tuple[str, DataFrame]:
+          text: str = "text", end_id: int = END_ID, order: Column | None = None) -> tuple[str, DataFrame]:
     """Encode every whole text and store the ids, each document closed by `end_id`.
 
     Returns the store's folder and its manifest (shard, docs, ids, width, base). Order: ascending
-    key, nulls first; rows of one key by their text's hash. A null text is an empty one. Documents
+    `order`, an expression over `docs` (none: the key), then key, nulls first; rows of one key by
+    their text's hash. A null text is an empty one. Documents
     are range-partitioned and each task streams its range to one shard: temporary names first, then
     renamed, so lost tasks repeat without a trace; the manifest, written last, commits the store.
     """
@@ -136,9 +137,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str =
     folder = folder or fresh_path(spark, "tokens")
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
-    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    tie = F.xxhash64("text")
-    ranged = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    place = [] if order is None else [order.alias("place")]
+    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"), *place)
+    by = [*(["place"] if place else []), "doc_id", F.xxhash64("text")]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     shards = written(ranged.mapInArrow(_writer(folder, tokenizer, end_id), "shard bigint, docs bigint, ids bigint, width int"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     manifest = shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))

@@ -32,6 +32,13 @@ def test_documents(documents):
     assert [tuple(r) for r in got] == brute([(r.doc_id, r.text) for r in rows])
 
 
+def test_files_in_a_given_order(documents):
+    rows = sorted(documents.collect(), key=lambda r: -r.doc_id)
+    folder, manifest = tokens.write(documents, PATH, order=-F.col("doc_id"))
+    got = tokens.read(folder, manifest).orderBy("start").collect()
+    assert [tuple(r) for r in got] == brute([(r.doc_id, r.text) for r in rows])
+
+
 def test_empty_table(nothing):
     assert tokens.read(*tokens.write(nothing, PATH)).count() == 0
 
