@@ -35,15 +35,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row in flat files; per row what the files say of it, in globally shuffled order.
+    """Token ids of every row in flat files, in globally shuffled order; per row what the files say of it.
 
-    The files hold documents in id order; the returned table is the order to read them in. Its key is
-    the mixing stage's, with a row's start, which no copy shares, as the copy's number.
+    The mixing stage's shuffle is drawn again, since Parquet is not read back in order: the place is a
+    digest of (seed, id, place of the row in `docs`), so copies of a document lie apart. `docs` must be
+    stored rows, whose places a repeated task finds unchanged.
     """
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(tokens.read(*tokens.write(docs, TOKENIZER), key_type=key_type), "token-rows")
-    order = mixing.order_key(SEED, F.col("doc_id"), F.col("start"))
-    return rows.repartitionByRange(order, "start").sortWithinPartitions(order, "start")
+    order = mixing.order_key(SEED, F.col("doc_id"), F.monotonically_increasing_id())
+    return tokens.read(*tokens.write(docs, TOKENIZER, order=order), key_type=key_type)
 
 
 STAGES = [
