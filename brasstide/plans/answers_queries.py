@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brasstide.operators import answers
+from brasstide.operators import answers, evidence
 from brasstide.plans.shared import rounded
 from brasstide.plans.sqltext import Ctes, r
 from brasstide.sources.derived import table
@@ -133,7 +133,65 @@ def _violations(spark, sf):
   SELECT event_id, '$.k' AS path, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value, false AS percent FROM events WHERE event_type <> 'error'""")
 def _evidence(spark, sf):
     steps = table(spark, sf, "events").select("event_id", F.col("props").alias("result"), (F.col("event_type") != "error").alias("ok"))
-    return answers.evidence_values(steps, ["event_id"], ["margin"])
+    return evidence.evidence_values(steps, ["event_id"], ["margin"])
+
+
+def tool_steps(spark, sf):
+    """One successful tool result per line item: nested fields, units beside values, figures in a sentence."""
+    li = line_items(spark, sf)
+    n, q = F.col("no"), F.col("q").cast("int").cast("string")
+    unit = F.when(n % 3 == 0, "percent").when(n % 3 == 1, "pure").otherwise("USD")
+    note = F.concat(F.lit("Margin fell to -"), q, F.lit(".5% on revenue of $"), q, F.lit(",500 thousand, Item 7"))
+    body = F.struct(
+        F.when(n == 2, -F.col("disc")).otherwise(F.col("disc")).alias("value"), unit.alias("unit"), (F.col("q") / 4).alias("change_pct"),
+        n.alias("count"), F.array(F.struct((F.col("disc") / 2).alias("share"), F.col("q").alias("adx"))).alias("votes"), note.alias("note"))
+    return li.select("turn", "uid", F.when(n % 2 == 0, "ratios").otherwise("facts").alias("tool"), F.lit(True).alias("ok"),
+                     F.to_json(body).alias("result"))
+
+
+def field_units(spark):
+    return spark.createDataFrame([("ratios", "$.value", "unit_field"), ("facts", "$.value", "fact"), ("ratios", "$.votes[].adx", "level"),
+                                  ("facts", "$.votes[].adx", "level")], "tool string, path string, unit string")
+
+
+C.add("nums", """
+  SELECT turn, uid, no, q, disc, unnest(['$.value', '$.change_pct', '$.count', '$.votes[].share', '$.votes[].adx', '$.note', '$.note']) AS path,
+    unnest([CASE no WHEN 2 THEN -disc ELSE disc END, q / 4, no, disc / 2, q, -(q + 0.5), (q * 1000 + 500) * 1000]) AS value,
+    unnest([1, 2, 3, 4, 5, 6, 7]) AS place FROM li""")
+C.add("pcts", """
+  SELECT turn, uid, path, unnest(CASE WHEN p < 0 THEN [p, -p] ELSE [p] END) AS value FROM (
+    SELECT turn, uid, path, CASE place WHEN 1 THEN CASE WHEN no % 3 = 0 THEN value WHEN no % 3 = 1 OR no % 2 = 0 THEN value * 100 END
+      WHEN 4 THEN value * 100 WHEN 2 THEN value WHEN 6 THEN value END AS p FROM nums) WHERE p IS NOT NULL""")
+
+
+@query("result_values", f"""
+  SELECT DISTINCT uid, turn, path, {r('value', 6, 'value')}, place = 6 AS percent FROM nums UNION
+  SELECT uid, turn, '$.note', 7.0, false FROM li""")
+def _result_values(spark, sf):
+    return rounded(evidence.evidence_values(tool_steps(spark, sf), ["turn", "uid"]), {"value": 6})
+
+
+@query("percent_evidence", f"SELECT DISTINCT uid, turn, path, {r('value', 6, 'value')} FROM pcts")
+def _percent_evidence(spark, sf):
+    return rounded(evidence.percent_evidence(tool_steps(spark, sf), ["turn", "uid"], field_units(spark)), {"value": 6})
+
+
+@query("derivation_operands", f"SELECT DISTINCT uid, turn, path, {r('value', 6, 'value')} FROM nums WHERE place <> 3")
+def _derivation_operands(spark, sf):
+    return rounded(evidence.derivation_operands(tool_steps(spark, sf), ["turn", "uid"]), {"value": 6})
+
+
+@query("unsupported_percentages", """
+  WITH c AS (SELECT turn, uid AS no, CASE WHEN no % 2 = 0 THEN disc * 100 ELSE q END AS claim FROM li)
+  SELECT turn, no, claim FROM c WHERE NOT EXISTS (SELECT 1 FROM pcts p WHERE p.turn = c.turn
+    AND CASE WHEN p.value = 0 THEN abs(claim) < 1e-12 ELSE abs(claim - p.value) <= abs(p.value) * 0.005 END)""")
+def _unsupported_percentages(spark, sf):
+    steps = tool_steps(spark, sf)
+    claims = line_items(spark, sf).select("turn", F.col("uid").alias("no"), F.when(F.col("no") % 2 == 0, F.col("disc") * 100).otherwise(
+        F.col("q")).alias("claim"), F.lit(True).alias("percent"))
+    found = answers.unsupported(claims, evidence.evidence_values(steps, ["turn"]), ["turn"],
+                                evidence.percent_evidence(steps, ["turn"], field_units(spark)))
+    return found.select("turn", "no", "claim")
 
 
 def _claims(spark, sf):
