@@ -225,6 +225,39 @@ def _derivable(spark, sf):
     return answers.derivable(claims, li.select("turn", F.col("q").alias("value")), ["turn"]).select("turn", "no", "claim")
 
 
+def _stated(spark, sf):
+    """Answers of an order that state some prices in thousands to one decimal, and quantities."""
+    li = line_items(spark, sf)
+    odd = F.col("no") % 2 == 1
+    claims = li.select("turn", F.col("uid").alias("no"), F.when(odd, F.round(F.col("price") / 1000, 1)).otherwise(F.col("q")).alias("claim"),
+                       F.when(odd, 0.05).otherwise(0.5).alias("half_ulp"))
+    return claims, li.select("turn", (F.col("price") / 1000).alias("value"))
+
+
+C.add("stated", """
+  SELECT turn, uid AS no, CASE WHEN no % 2 = 1 THEN round(price / 1000, 1) ELSE q END AS claim, CASE WHEN no % 2 = 1 THEN 0.05 ELSE 0.5 END::DOUBLE AS h FROM li""")
+C.add("shown", """
+  SELECT s.turn, s.no, min_by(claim / f, place) AS shown FROM stated s JOIN li o ON o.turn = s.turn,
+    (VALUES (0, 1.0::DOUBLE), (1, 100.0::DOUBLE), (2, 0.01::DOUBLE)) k(place, f)
+  WHERE abs(claim - o.price / 1000 * f) <= h + abs(claim) * 1e-9::DOUBLE GROUP BY s.turn, s.no""")
+
+
+@query("shown_roundings", f"SELECT turn, no, {r('shown', 6, 'shown')} FROM shown")
+def _shown(spark, sf):
+    return rounded(answers.shown_roundings(*_stated(spark, sf), ["turn"]), {"shown": 6})
+
+
+@query("stated_derivations", """
+  WITH p AS (SELECT c.turn, c.no, c.claim, c.h, a.shown AS x, b.shown AS y FROM stated c JOIN shown a ON a.turn = c.turn AND a.no <> c.no
+      JOIN shown b ON b.turn = c.turn AND b.no <> c.no AND a.shown < b.shown
+    WHERE NOT (abs(a.shown - b.shown) <= b.shown * 0.005 OR abs(a.shown * 100 - b.shown) <= b.shown * 0.005 OR abs(a.shown * 0.01 - b.shown) <= b.shown * 0.005)),
+  s AS (SELECT turn, no, claim, h, unnest([x * y, x + y, x - y, y - x, x / y, y / x]) AS z FROM p)
+  SELECT DISTINCT turn, no, claim FROM s WHERE abs(claim - z) <= h + abs(claim) * 1e-9 OR abs(claim - z * 100) <= h + abs(claim) * 1e-9
+    OR abs(claim - z * 0.01) <= h + abs(claim) * 1e-9""")
+def _stated_derivations(spark, sf):
+    return answers.stated_derivations(*_stated(spark, sf), ["turn"]).select("turn", "no", "claim")
+
+
 @query("ungrounded_operands", """
   SELECT turn, uid AS no FROM li WHERE NOT EXISTS (SELECT 1 FROM ev, (SELECT unnest([1.0, 100.0, 0.01, 1e-3, 1e3, 1e-6, 1e6, 1e-9, 1e9]) AS f) k
     WHERE ev.turn = li.turn AND abs(round(q * 1.1111, 2) - v * f) <= 0.005 + abs(round(q * 1.1111, 2)) * 1e-9)""")
