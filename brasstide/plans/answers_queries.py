@@ -78,6 +78,21 @@ def _summary(spark, sf):
     return rounded(answers.evaluation_summary(rows, "no"), {"accuracy": 6, "mean_latency_ms": 4})
 
 
+@query("evaluation_breakdown", f"""
+  WITH l AS (SELECT *, 'all' AS grouping, NULL AS label FROM scored UNION ALL SELECT *, 'unit', CAST(no AS VARCHAR) FROM scored
+    UNION ALL SELECT *, 'via', 'tool' FROM scored UNION ALL SELECT *, 'via', 'text' FROM scored WHERE q > 25)
+  SELECT grouping, label, count(*) AS cases, count(*) FILTER (verdict = 'pass') AS pass, count(*) FILTER (verdict = 'wrong') AS wrong,
+    count(*) FILTER (verdict = 'no_number') AS no_number, count(*) FILTER (verdict = 'error') AS error,
+    {r("avg(CAST(verdict = 'pass' AS INT))", 6, 'accuracy')}, {r('avg(price)', 4, 'mean_latency_ms')}, {r('avg(no)', 6, 'mean_tool_calls')},
+    CAST(sum(no * 10) AS BIGINT) AS sum_tokens FROM l GROUP BY grouping, label""")
+def _breakdown(spark, sf):
+    ways = F.when(F.col("q") > 25, F.array(F.lit("tool"), F.lit("text"), F.lit("tool"))).otherwise(F.array(F.lit("tool")))
+    rows = _scored(spark, sf).withColumns({"latency_ms": F.col("price"), "tool_calls": F.col("no"), "tokens": F.col("no") * 10,
+                                           "unit": F.col("no"), "via": ways})
+    out = answers.evaluation_breakdown(rows, ["unit", "via[]"], ["latency_ms", "tool_calls"], ["tokens"])
+    return rounded(out.withColumn("sum_tokens", F.col("sum_tokens").cast("bigint")), {"accuracy": 6, "mean_latency_ms": 4, "mean_tool_calls": 6})
+
+
 def _runs(spark, sf):
     lab = table(spark, sf, "labels")
     verdict = lambda c: F.when(F.col(c) == 1, "pass").otherwise("wrong")        # noqa: E731

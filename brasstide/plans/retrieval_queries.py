@@ -227,6 +227,20 @@ def _metrics(spark, sf):
     return rounded(out, {"recall": 6})
 
 
+@query("retrieval_summary", f"""
+  WITH m AS (SELECT gold.item_id, count(*) FILTER (rank <= 5) / count(*) AS recall, count(*) FILTER (rank <= 5) > 0 AS hit, min(rank) AS first
+      FROM gold LEFT JOIN lex30 ON query_id = item_id AND lex30.chunk_id = gold.chunk_id GROUP BY gold.item_id),
+  c AS (SELECT m.*, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS kind FROM m JOIN benchmark USING (item_id)),
+  l AS (SELECT *, 'all' AS grouping, NULL AS label FROM c UNION ALL SELECT *, 'kind', kind FROM c)
+  SELECT grouping, label, count(*) AS cases, {r('avg(recall)', 6, 'recall')}, {r('avg(CAST(hit AS INT))', 6, 'hit')}, count(first) AS found,
+    {r('median(first)', 6, 'median_rank')}, {r('avg(first)', 6, 'mean_rank')} FROM l GROUP BY grouping, label""")
+def _retrieval_summary(spark, sf):
+    ranked = retrieval.text_search(questions(spark, sf), chunks(spark, sf))
+    metrics = retrieval.retrieval_metrics(ranked, gold_rows(spark, sf).withColumnRenamed("item_id", "query_id"))
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.length("text") > 200, "long").otherwise("short").alias("kind"))
+    return rounded(retrieval.retrieval_summary(metrics, cases, ["kind"]), {"recall": 6, "hit": 6, "median_rank": 6, "mean_rank": 6})
+
+
 @query("corpus_stats", """
   SELECT ticker, section, fiscal_period, count(*) AS chunks, count(*) FILTER (content_type = 'table') AS tables
   FROM doc_chunks GROUP BY GROUPING SETS ((ticker, section, fiscal_period), ())""")
