@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brasstide.functions.series import TRADING_DAYS, spread
@@ -59,45 +63,68 @@ def index_curve(rows: DataFrame, bars: DataFrame) -> DataFrame:
     return out.withColumn("run", F.lit("index"))
 
 
-def shift_order(k: Column) -> Column:
-    """A fixed shuffle of the possible shifts (a multiplicative generator's step)."""
-    return (k.cast("bigint") * 48271) % 2147483647
+def shifts(m: int, runs: int = RANDOM_RUNS) -> np.ndarray:
+    """Up to `runs` of the possible shifts of m rows, by a fixed shuffle (a multiplicative generator's step)."""
+    k = np.arange(1, m, dtype=np.int64)
+    return k[np.argsort((k * 48271) % 2147483647, kind="stable")][:runs]
 
 
-def retimings(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
-    """The signal itself (run 0), holding (run -1), and the signal's positions shifted
-    circularly by `runs` distinct offsets (run k).
+def _retimed(rows: DataFrame, runs: int, figures: Callable[[dict], dict], schema: str) -> DataFrame:
+    """`figures` of the signal itself (run 0), of holding (run -1), and of the signal's positions shifted
+    circularly by `runs` distinct offsets (run k): one row per ticker and run.
 
-    A ticker's positions in the window (a few years of days at most) travel as one array next
-    to its bars, so a shifted run is an index into it and needs no join on (ticker, bar).
+    A ticker's window (a few years of days at most) is read once, its runs are columns beside each
+    other; only a run's figures leave the task.
     """
-    by_day = Window.partitionBy("ticker").orderBy("bar")
-    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = spread(rows, "ticker").select(*CARRY, "position", "trading_days").withColumns({
-        "_oos": F.collect_list("position").over(whole),
-        "_at": F.row_number().over(by_day) - 1})
-    m = F.size("_oos")
-    shifts = F.transform(F.slice(F.array_sort(F.transform(
-        F.sequence(F.lit(1), m - 1),
-        lambda k: F.struct(shift_order(k).alias("h"), k.alias("k")))), 1, runs), lambda s: s["k"])
-    placed = F.transform(shifts, lambda k: F.struct(
-        k.alias("shift"),
-        F.element_at("_oos", F.pmod(F.col("_at") - k, m).cast("int") + 1).alias("target")))
-    own = F.array(F.struct(F.lit(0).alias("shift"), F.col("position").alias("target")),
-                  F.struct(F.lit(-1).alias("shift"), F.lit(1.0).alias("target")))
-    carry = [*CARRY, "trading_days"]
-    return (df.select(*carry, F.explode(F.concat(own, placed)).alias("_p"))
-            .select(*carry, "_p.shift", "_p.target"))
+    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar")
+        n, position = len(pdf), pdf["position"].to_numpy(float)
+        offsets = shifts(n, runs)
+        at = (np.arange(n)[:, None] - offsets[None, :]) % n
+        targets = np.column_stack([position, np.ones(n), position[at]])
+        columns = [pdf[c].to_numpy(float) for c in ("buy_rate", "sell_rate", "per_sale")]
+        with np.errstate(all="ignore"):
+            sim = backtest.simulate_key(pdf["open"].to_numpy(float), pdf["close"].to_numpy(float), targets, *columns, cash=NOTIONAL)
+            found = figures(sim)
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "trading_days": pdf["trading_days"].iloc[0],
+                             "shift": np.concatenate([[0, -1], offsets]), **found})
+
+    types = f"ticker string, trading_days bigint, shift bigint, {schema}"
+    return (spread(rows, "ticker").select(*CARRY, "position", "trading_days")
+            .groupBy("ticker", "trading_days").applyInPandas(per_ticker, types))
+
+
+def _steps(equity: np.ndarray) -> np.ndarray:
+    return equity[1:] / equity[:-1] - 1.0
+
+
+def _drawdown(equity: np.ndarray) -> np.ndarray:
+    return (equity / np.maximum.accumulate(equity, axis=0) - 1.0).min(axis=0)
+
+
+def _inside(held: np.ndarray) -> np.ndarray:
+    return (np.abs(held[1:]) > 0).mean(axis=0)
+
+
+def _defined(*names: str) -> dict[str, Column]:
+    """What is not a number in a task is null in a table."""
+    return {n: F.when(~F.isnan(n), F.col(n)) for n in names}
 
 
 def run_figures(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
     """Both Sharpe ratios, CAGR, drawdown and time in market of every run, in one pass."""
-    keys = ["ticker", "trading_days", "shift"]
-    sim = backtest.simulate(retimings(rows, runs), keys, cash=NOTIONAL)
-    stats = backtest.run_stats(sim, keys)
-    return stats.select(*keys, F.round("sharpe_ratio", 6).alias("sharpe_ratio"),
-                        F.round("cagr", 6).alias("cagr"), "total_return", "annualised_volatility",
-                        "max_drawdown", "exposure", "costs_paid")
+    def figures(sim: dict) -> dict:
+        equity = sim["equity"]
+        r = _steps(equity)
+        grown = np.where(equity[-1] > 0, (equity[-1] / equity[0]) ** (TRADING_DAYS / len(r)) - 1.0, np.nan)
+        volatility = r.std(axis=0, ddof=1) * TRADING_DAYS ** 0.5
+        return {"sharpe_ratio": np.where(volatility > 0, grown / volatility, np.nan), "cagr": grown,
+                "total_return": equity[-1] / equity[0] - 1.0, "annualised_volatility": volatility,
+                "max_drawdown": _drawdown(equity), "exposure": _inside(sim["held"]), "costs_paid": np.nansum(sim["fee"], axis=0)}
+
+    names = ["sharpe_ratio", "cagr", "total_return", "annualised_volatility", "max_drawdown", "exposure", "costs_paid"]
+    stats = _retimed(rows, runs, figures, ", ".join(f"{n} double" for n in names)).withColumns(_defined(*names))
+    return stats.withColumns({n: F.round(n, 6) for n in ("sharpe_ratio", "cagr")})
 
 
 def random_summary(figures: DataFrame) -> DataFrame:
@@ -121,23 +148,18 @@ def random_summary(figures: DataFrame) -> DataFrame:
 def verdict_inputs(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
     """Per ticker: risk of the signal and of holding, and the re-timing percentile, with every
     run simulated once."""
-    keys = ["ticker", "trading_days", "shift"]
-    sim = backtest.simulate(retimings(rows, runs), keys, cash=NOTIONAL)
-    w = Window.partitionBy(*keys).orderBy("day")
-    exact = F.col("equity") / F.lag("equity").over(w) - 1.0
-    sim = sim.withColumns({"_x": exact, "_v": F.round("equity", 4)})
-    sim = sim.withColumns({
-        "_r": F.col("_v") / F.lag("_v").over(w) - 1.0,
-        "_peak": F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    n, root = F.count("_r"), TRADING_DAYS ** 0.5
-    grown = F.pow(F.max_by("equity", "day") / F.min_by("equity", "day"), TRADING_DAYS / n) - 1.0
-    vol, sd = F.stddev_samp("_x") * root, F.stddev_samp("_r")
-    each = sim.groupBy(*keys).agg(
-        F.round(F.when(vol > 0, grown / vol), 6).alias("ratio"), F.round(grown, 4).alias("cagr"),
-        F.round(F.when(sd > 0, F.avg("_r") / sd * root), 4).alias("sharpe"),
-        F.round(F.min(F.col("_v") / F.col("_peak") - 1.0), 4).alias("max_drawdown"),
-        F.round(F.avg(F.when(F.col("_i") > 0, (F.abs("held") > 0).cast("double"))), 4)
-        .alias("time_in_market"))
+    def figures(sim: dict) -> dict:
+        exact, value = sim["equity"], np.round(sim["equity"], 4)
+        r, root = _steps(value), TRADING_DAYS ** 0.5
+        grown = (exact[-1] / exact[0]) ** (TRADING_DAYS / len(r)) - 1.0
+        volatility, sd = _steps(exact).std(axis=0, ddof=1) * root, r.std(axis=0, ddof=1)
+        return {"ratio": np.where(volatility > 0, grown / volatility, np.nan), "cagr": grown,
+                "sharpe": np.where(sd > 0, r.mean(axis=0) / sd * root, np.nan), "max_drawdown": _drawdown(value),
+                "time_in_market": _inside(sim["held"])}
+
+    names = ["ratio", "cagr", "sharpe", "max_drawdown", "time_in_market"]
+    each = _retimed(rows, runs, figures, ", ".join(f"{n} double" for n in names)).withColumns(_defined(*names))
+    each = each.withColumns({n: F.round(n, 6 if n == "ratio" else 4) for n in names})
     own = F.max(F.when(F.col("shift") == 0, F.col("ratio"))).over(Window.partitionBy("ticker"))
     each = each.withColumn("_own", own)
 

@@ -8,6 +8,7 @@ sale), so a run's equity is a product window and a sum window; no run is walked
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -63,6 +64,33 @@ def simulate(runs: DataFrame, keys: list[str], order: str = "day", cash: float =
     return df.withColumn("fee", F.col("_before") * F.col("_share") + F.col("_fixed"))
 
 
+def _later(x: np.ndarray, n: int, first) -> np.ndarray:
+    """`x` moved down by n rows, the first rows filled."""
+    return np.concatenate([np.full((min(n, len(x)), *x.shape[1:]), first, dtype=float), x[:max(0, len(x) - n)]])
+
+
+def simulate_key(open_: np.ndarray, close: np.ndarray, targets: np.ndarray, buy_rate: np.ndarray, sell_rate: np.ndarray,
+                 per_sale: np.ndarray, cash: float = START_CASH, slippage_bps: float = SLIPPAGE_BPS) -> dict[str, np.ndarray]:
+    """`simulate` for many runs over the ordered bars of one key: `targets` has a row per bar, a column per run.
+
+    The runs share their bars, so these are read once for all of them. NaN stands for null.
+    """
+    held, was = (np.nan_to_num(_later(targets, n, 0.0)) for n in (1, 2))
+    bought, sold = np.maximum(0.0, held - was), np.maximum(0.0, was - held)
+    selling = np.minimum(sold, np.maximum(was, 0.0)) + np.minimum(bought, np.maximum(-was, 0.0))
+    moved = bought + sold
+    night = 1.0 + was * (open_ / _later(close, 1, np.nan) - 1.0)[:, None]
+    day = 1.0 + held * (close / open_ - 1.0)[:, None]
+    night[:1] = day[:1] = 1.0
+    share = selling * sell_rate[:, None] + (moved - selling) * buy_rate[:, None] + moved * (slippage_bps / 1e4)
+    fixed = np.where(selling > 0, per_sale[:, None], 0.0)
+    factor = night * (1.0 - share) * day
+    growth = np.cumprod(np.where(np.isnan(factor), 1.0, factor), axis=0)
+    charge = np.where(fixed > 0, -fixed * day / growth, 0.0)
+    equity = growth * (cash + np.cumsum(np.where(np.isnan(charge), 0.0, charge), axis=0))
+    return {"held": held, "equity": equity, "fee": _later(equity, 1, cash) * night * share + fixed}
+
+
 def capped(runs: DataFrame, keys: list[str], rates: DeliveryRates, order: str = "day",
            cash: float = START_CASH, slippage_bps: float = SLIPPAGE_BPS) -> DataFrame:
     """`simulate` where brokerage is the lesser of a rate and a cap per leg.

@@ -11,7 +11,10 @@ Trailing sums are differences of running sums, so a 504-row window costs the sam
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from brasstide.functions.markets import with_market, with_market_costs
 from brasstide.functions.series import TRADING_DAYS
@@ -82,44 +85,69 @@ def rule_returns(wide: DataFrame, names=None) -> DataFrame:
     return sim.select(*carry, "rule", "target", "held", "equity", ret.alias("ret"))
 
 
-def _window_sharpe(total: str, square: str, n: int, w) -> Column:
+def _window_sharpe(total: np.ndarray, square: np.ndarray, n: int) -> np.ndarray:
     """Daily Sharpe over the last n rows from running sums; no variation gives 0."""
-    s = F.col(total) - F.coalesce(F.lag(total, n).over(w), F.lit(0.0))
-    q = F.col(square) - F.coalesce(F.lag(square, n).over(w), F.lit(0.0))
+    s, q = total - _before(total, n), square - _before(square, n)
     variance = (q - s * s / n) / (n - 1)
-    return F.when(variance > 1e-18, s / n / F.sqrt(variance) * ROOT).otherwise(0.0)
+    with np.errstate(all="ignore"):
+        return np.where(variance > 1e-18, s / n / np.sqrt(variance) * ROOT, 0.0)
 
 
-def with_trailing(returns: DataFrame, drift: bool = True) -> DataFrame:
-    """Per bar and rule: Sharpe over both training windows and the drift statistic."""
-    w = Window.partitionBy(*RUN).orderBy("day")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = returns.withColumns({"_s": F.sum("ret").over(upto),
-                              "_q": F.sum(F.col("ret") * F.col("ret")).over(upto)})
-    df = df.withColumns({"sharpe_long": _window_sharpe("_s", "_q", TRAIN, w),
-                         "sharpe_short": _window_sharpe("_s", "_q", SHORT_TRAIN, w)})
-    if not drift:
-        return df.drop("_s", "_q")
-    # Blocks of 5 returns ending at this bar are rows 5 apart: one phase of the bar number.
-    df = df.withColumns({
-        "_five": F.when(F.col("bar") >= BLOCK - 1,
-                        F.col("_s") - F.coalesce(F.lag("_s", BLOCK).over(w), F.lit(0.0))),
-        "_phase": F.col("bar") % BLOCK})
+def _before(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([np.zeros(min(n, len(x))), x[:max(0, len(x) - n)]])
+
+
+def _cusum(total: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """The drift statistic at each row, NaN where the history is too short or does not vary."""
+    out = np.full(len(bar), np.nan)
+    five = np.where(bar >= BLOCK - 1, total - _before(total, BLOCK), np.nan)
     recent, history = RECENT // BLOCK, (TRAIN - RECENT) // BLOCK
-    p = Window.partitionBy(*RUN, "_phase").orderBy("bar")
-    past = p.rowsBetween(-(recent + history) + 1, -recent)
-    df = df.withColumns({
-        "_mean": F.avg("_five").over(past), "_sd": F.stddev_samp("_five").over(past),
-        "_recent": F.collect_list("_five").over(p.rowsBetween(-recent + 1, 0))})
-    shortfall = F.aggregate(
-        "_recent", F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("worst")),
-        lambda a, x: F.struct(
-            F.greatest(F.lit(0.0), a.now - (x - F.col("_mean")) / F.col("_sd") - ALLOWANCE).alias("now"),
-            F.greatest(a.worst, a.now - (x - F.col("_mean")) / F.col("_sd") - ALLOWANCE).alias("worst")),
-        lambda a: a.worst)
-    assessed = F.col("bar") + 1 >= MIN_HISTORY + RECENT
-    df = df.withColumn("cusum", F.when(assessed & (F.col("_sd") > 1e-15), shortfall))
-    return df.drop("_s", "_q", "_five", "_phase", "_mean", "_sd", "_recent")
+    # Blocks of 5 returns ending at a bar are rows 5 apart: one phase of the bar number.
+    for phase in range(BLOCK):
+        at = np.nonzero(bar % BLOCK == phase)[0]
+        if not len(at):
+            continue
+        padded = np.concatenate([np.full(recent + history - 1, np.nan), five[at]])
+        spans = np.lib.stride_tricks.sliding_window_view(padded, recent + history)
+        past, known = spans[:, :history], ~np.isnan(spans[:, :history])
+        n = known.sum(axis=1)
+        with np.errstate(all="ignore"):
+            mean = np.where(known, past, 0.0).sum(axis=1) / n
+            sd = np.sqrt((np.where(known, past - mean[:, None], 0.0) ** 2).sum(axis=1) / (n - 1))
+            now, worst = np.zeros(len(at)), np.zeros(len(at))
+            for x in spans[:, history:].T:
+                step = now - (x - mean) / sd - ALLOWANCE
+                now, worst = np.maximum(0.0, step), np.maximum(worst, step)
+            fit = (bar[at] + 1 >= MIN_HISTORY + RECENT) & (n > 1) & (sd > 1e-15)
+        out[at] = np.where(fit, worst, np.nan)
+    return out
+
+
+def _trailed(runs: pa.Table, drift: bool) -> pa.Table:
+    """One ticker's rows by rule and day, with trailing figures."""
+    parts = []
+    for rule in pc.unique(runs["rule"]):
+        one = runs.filter(pc.equal(runs["rule"], rule) if rule.is_valid else pc.is_null(runs["rule"]))
+        one = one.take(pc.sort_indices(one, sort_keys=[("day", "ascending")], null_placement="at_start"))
+        ret = one["ret"].to_numpy()
+        total, square = np.cumsum(ret), np.cumsum(ret * ret)
+        one = one.append_column("sharpe_long", pa.array(_window_sharpe(total, square, TRAIN)))
+        one = one.append_column("sharpe_short", pa.array(_window_sharpe(total, square, SHORT_TRAIN)))
+        if drift:
+            one = one.append_column("cusum", pa.array(_cusum(total, one["bar"].to_numpy()), from_pandas=True))
+        parts.append(one)
+    return pa.concat_tables(parts)
+
+
+def with_trailing(returns: DataFrame, drift: bool = True) -> DataFrame:
+    """Per bar and rule: Sharpe over both training windows and the drift statistic.
+
+    Rows must carry the bar number of their ticker. A ticker's bars are bounded, so each is one
+    Arrow table; a long window costs one pass over the rows of a rule.
+    """
+    added = ["sharpe_long", "sharpe_short", *(["cusum"] if drift else [])]
+    schema = T.StructType(returns.schema.fields + [T.StructField(n, T.DoubleType()) for n in added])
+    return returns.groupBy("ticker").applyInArrow(lambda table: _trailed(table, drift), schema)
 
 
 def _fit_columns(trailing: DataFrame, refit_day: int) -> tuple[Column, dict[str, Column]]:
