@@ -89,7 +89,7 @@ def _retimed(rows: DataFrame, runs: int, figures: Callable[[dict], dict], schema
         return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "trading_days": pdf["trading_days"].iloc[0],
                              "shift": np.concatenate([[0, -1], offsets]), **found})
 
-    types = f"ticker string, trading_days bigint, shift bigint, {schema}"
+    types = f"ticker string, trading_days bigint, shift int, {schema}"
     return (spread(rows, "ticker").select(*CARRY, "position", "trading_days")
             .groupBy("ticker", "trading_days").applyInPandas(per_ticker, types))
 
