@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brasstide.functions.series import TRADING_DAYS, spread
-from brasstide.operators import backtest
+from brasstide.operators import backtest, signals
 from brasstide.operators.signals import FIRST_BAR, NOTIONAL
 
 # Evaluation settings.
@@ -106,11 +106,6 @@ def _inside(held: np.ndarray) -> np.ndarray:
     return (np.abs(held[1:]) > 0).mean(axis=0)
 
 
-def _defined(*names: str) -> dict[str, Column]:
-    """What is not a number in a task is null in a table."""
-    return {n: F.when(~F.isnan(n), F.col(n)) for n in names}
-
-
 def run_figures(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
     """Both Sharpe ratios, CAGR, drawdown and time in market of every run, in one pass."""
     def figures(sim: dict) -> dict:
@@ -123,7 +118,7 @@ def run_figures(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
                 "max_drawdown": _drawdown(equity), "exposure": _inside(sim["held"]), "costs_paid": np.nansum(sim["fee"], axis=0)}
 
     names = ["sharpe_ratio", "cagr", "total_return", "annualised_volatility", "max_drawdown", "exposure", "costs_paid"]
-    stats = _retimed(rows, runs, figures, ", ".join(f"{n} double" for n in names)).withColumns(_defined(*names))
+    stats = _retimed(rows, runs, figures, ", ".join(f"{n} double" for n in names)).withColumns(backtest.defined(*names))
     return stats.withColumns({n: F.round(n, 6) for n in ("sharpe_ratio", "cagr")})
 
 
@@ -158,7 +153,7 @@ def verdict_inputs(rows: DataFrame, runs: int = RANDOM_RUNS) -> DataFrame:
                 "time_in_market": _inside(sim["held"])}
 
     names = ["ratio", "cagr", "sharpe", "max_drawdown", "time_in_market"]
-    each = _retimed(rows, runs, figures, ", ".join(f"{n} double" for n in names)).withColumns(_defined(*names))
+    each = _retimed(rows, runs, figures, ", ".join(f"{n} double" for n in names)).withColumns(backtest.defined(*names))
     each = each.withColumns({n: F.round(n, 6 if n == "ratio" else 4) for n in names})
     own = F.max(F.when(F.col("shift") == 0, F.col("ratio"))).over(Window.partitionBy("ticker"))
     each = each.withColumn("_own", own)
@@ -239,23 +234,37 @@ def verdict(df: DataFrame) -> DataFrame:
                  F.coalesce(short, F.lit(""))).alias("statement"))
 
 
-def refit_spread(returns: DataFrame, refit_days, years: int = 5) -> DataFrame:
+def refit_spread(runs: DataFrame, refit_days, years: int = 5) -> DataFrame:
     """How much the choice of refit day matters: spread of Sharpe and CAGR over schedules.
 
-    The schedule is part of every key, so all schedules of all tickers are one plan.
+    A ticker's bars are bounded and read once for all schedules: the schedules' positions and holding are
+    simulated beside each other, and one row per schedule leaves the task.
     """
-    from brasstide.operators import signals
-    runs = returns.withColumn("schedule", F.explode(F.array(*map(F.lit, refit_days))))
-    keyed = runs.withColumns({
-        "month_day": F.col("month_day") - F.col("schedule"), "_t": F.col("ticker"),
-        "ticker": F.concat_ws("|", "ticker", F.lpad(F.col("schedule").cast("string"), 2, "0"))})
-    s = signals.signals(signals.votes(keyed.drop("_t", "schedule")))
-    m = risk(curves(window(s, years))).withColumn("name", F.substring_index("ticker", "|", 1))
-    held = m.filter("run = 'buy_and_hold'").select("ticker", F.round("sharpe", 4).alias("_hs"),
-                                                   F.round("cagr", 4).alias("_hc"))
-    df = m.filter("run = 'signal'").join(held, "ticker")
-    x, c = F.round("sharpe", 4), F.round("cagr", 4)
-    return df.groupBy(F.col("name").alias("ticker")).agg(
+    schedules = list(refit_days)
+
+    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar")
+        position = signals.positions_of_schedules(pdf, schedules)
+        day = pd.to_datetime(pdf["day"])
+        at = ((pdf["bar"] >= FIRST_BAR) & (day >= day.max() - pd.Timedelta(days=round(365.25 * years)))).to_numpy()
+        if at.sum() < MIN_BARS:
+            return pd.DataFrame(columns=["ticker", "schedule", *figures])
+        targets = np.column_stack([position[at], np.ones(at.sum())])
+        columns = [pdf[c].to_numpy(float)[at] for c in ("open", "close", "buy_rate", "sell_rate", "per_sale")]
+        with np.errstate(all="ignore"):
+            sim = backtest.simulate_key(columns[0], columns[1], targets, *columns[2:], cash=NOTIONAL)
+            found = backtest.risk_figures(np.round(sim["equity"], 4), sim["held"])
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "schedule": schedules, "sharpe": found["sharpe"][:-1], "cagr": found["cagr"][:-1],
+                             "_hs": found["sharpe"][-1], "_hc": found["cagr"][-1]})
+
+    figures = ["sharpe", "cagr", "_hs", "_hc"]
+    rows = runs.select(*CARRY, "month_day", "allows_short", "regime", *[F.col(f"runs.{c}").alias(c) for c in (
+        "rule", "target", "sharpe_long", "sharpe_short")])
+    df = spread(rows, "ticker").groupBy("ticker").applyInPandas(
+        per_ticker, "ticker string, schedule int, " + ", ".join(f"{n} double" for n in figures)).withColumns(backtest.defined(*figures))
+    df = df.withColumns({n: F.round(n, 4) for n in figures})
+    x, c = F.col("sharpe"), F.col("cagr")
+    return df.groupBy("ticker").agg(
         F.min(x).alias("sharpe_min"), F.percentile(x, 0.5).alias("sharpe_median"), F.max(x).alias("sharpe_max"),
         F.min(c).alias("cagr_min"), F.percentile(c, 0.5).alias("cagr_median"), F.max(c).alias("cagr_max"),
         F.sum(((x > F.col("_hs")) & (c > F.col("_hc"))).cast("bigint")).alias("runs_beating_hold"),

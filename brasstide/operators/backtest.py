@@ -91,6 +91,25 @@ def simulate_key(open_: np.ndarray, close: np.ndarray, targets: np.ndarray, buy_
     return {"held": held, "equity": equity, "fee": _later(equity, 1, cash) * night * share + fixed}
 
 
+def risk_figures(equity: np.ndarray, held: np.ndarray) -> dict[str, np.ndarray]:
+    """`risk_metrics` of equity curves beside each other, a column per run. NaN stands for null."""
+    r, root, none = equity[1:] / equity[:-1] - 1.0, TRADING_DAYS ** 0.5, np.full(equity.shape[1], np.nan)
+    if not len(r):
+        return {"cagr": none, "max_drawdown": (equity / equity).min(axis=0) - 1.0, "sharpe": none, "sortino": none, "time_in_market": none}
+    mean, sd = r.mean(axis=0), r.std(axis=0, ddof=1) if len(r) > 1 else none
+    down = np.sqrt((np.minimum(r, 0.0) ** 2).sum(axis=0) / len(equity))      # the first bar counts as no loss
+    return {"cagr": np.where(equity[-1] > 0, (equity[-1] / equity[0]) ** (TRADING_DAYS / len(r)) - 1.0, np.nan),
+            "max_drawdown": (equity / np.maximum.accumulate(equity, axis=0) - 1.0).min(axis=0),
+            "sharpe": np.where(sd > 0, mean / sd * root, np.nan),
+            "sortino": np.where(down > 0, mean * TRADING_DAYS / (down * root), np.nan),
+            "time_in_market": (np.abs(held[1:]) > 0).mean(axis=0)}
+
+
+def defined(*names: str) -> dict[str, Column]:
+    """What is not a number in a task is null in a table."""
+    return {n: F.when(~F.isnan(n), F.col(n)) for n in names}
+
+
 def capped(runs: DataFrame, keys: list[str], rates: DeliveryRates, order: str = "day",
            cash: float = START_CASH, slippage_bps: float = SLIPPAGE_BPS) -> DataFrame:
     """`simulate` where brokerage is the lesser of a rate and a cap per leg.

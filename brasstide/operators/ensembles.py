@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brasstide.functions.series import TRADING_DAYS
 from brasstide.operators import backtest
-from brasstide.operators.signals import BUY_AT, NOTIONAL, SELL_AT, VOTERS, hold_between
+from brasstide.operators.signals import BUY_AT, NOTIONAL, SELL_AT, VOTERS, hold_between, total
 
 ENSEMBLES = ("regime", "performance", "equal", "majority", "best_rule")
 SIMILAR = 0.80
@@ -18,18 +21,22 @@ def _mean_vote(weight: Column) -> Column:
     return F.round(F.when(den > 0, F.sum(weight * F.col("vote")) / den).otherwise(0.0), 12)
 
 
-def ensemble_positions(vote_rows: DataFrame) -> DataFrame:
-    """(ticker, day, ensemble, position) for every way of combining, in one aggregation."""
-    eligible = F.col("skipped").isNull()
-    w = F.col("weight")
-    daily = vote_rows.groupBy("ticker", "day", "bar").agg(
-        F.sum(eligible.cast("int")).alias("_n"),
-        _mean_vote(w * F.col("multiplier")).alias("regime"),
-        _mean_vote(w).alias("performance"),
-        _mean_vote(F.when(eligible, 1.0)).alias("equal"),
-        F.sum((eligible & (F.col("target") > 0)).cast("int")).alias("_ins"),
-        F.max_by("target", F.when(eligible, F.struct(F.round("train_sharpe", 4).alias("s"), "rule")))
-        .alias("_best"))
+def _mean_of(weight) -> Column:
+    """`_mean_vote` over the votes of one row."""
+    den = total("votes", weight)
+    return F.round(F.when(den > 0, total("votes", lambda x: weight(x) * x["vote"]) / den).otherwise(0.0), 12)
+
+
+def ensemble_positions(votes: DataFrame) -> DataFrame:
+    """(ticker, day, bar, runs): the position of every way of combining, from the day's own votes."""
+    eligible = lambda x: x["skipped"].isNull()                                        # noqa: E731
+    trusted = F.array_max(F.transform(F.filter("votes", eligible), lambda x: F.struct(
+        F.round(x["train_sharpe"], 4).alias("s"), x["rule"].alias("rule"), x["target"].alias("target"))))
+    daily = votes.select(
+        "ticker", "day", "bar", total("votes", lambda x: eligible(x).cast("int")).alias("_n"),
+        _mean_of(lambda x: x["weight"] * x["multiplier"]).alias("regime"), _mean_of(lambda x: x["weight"]).alias("performance"),
+        _mean_of(lambda x: F.when(eligible(x), 1.0)).alias("equal"),
+        total("votes", lambda x: (eligible(x) & (x["target"] > 0)).cast("int")).alias("_ins"), trusted["target"].alias("_best"))
     voted = F.col("_n") > 0
     order = Window.partitionBy("ticker").orderBy("day")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -45,40 +52,47 @@ def ensemble_positions(vote_rows: DataFrame) -> DataFrame:
     cols["majority"] = keep((F.col("_ins") > F.col("_n") / 2).cast("double"))
     cols["best_rule"] = keep((F.col("_best") > 0).cast("double"))
     pairs = F.array(*[F.struct(F.lit(k).alias("ensemble"), e.alias("position")) for k, e in cols.items()])
-    return (daily.withColumn("_p", pairs).select("ticker", "day", "bar", F.explode("_p").alias("_p"))
-            .select("ticker", "day", "bar", "_p.ensemble", "_p.position"))
-
-
-def full_metrics(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Net figures of each run and what costs took (gross less net CAGR), in one plan."""
-    carry = [*keys, "day", "open", "close", "target"]
-    both = runs.withColumn("_c", F.explode(F.array(
-        F.struct(F.lit("net").alias("basis"), F.col("buy_rate"), F.col("sell_rate"), F.col("per_sale"),
-                 F.lit(backtest.SLIPPAGE_BPS / 1e4).alias("slip_rate")),
-        F.struct(F.lit("gross").alias("basis"), F.lit(0.0).alias("buy_rate"),
-                 F.lit(0.0).alias("sell_rate"), F.lit(0.0).alias("per_sale"),
-                 F.lit(0.0).alias("slip_rate"))))).select(*carry, "_c.*")
-    k = [*keys, "basis"]
-    sim = backtest.simulate(both, k, cash=NOTIONAL, slippage_bps=F.col("slip_rate"))
-    sim = sim.withColumn("equity", F.round("equity", 4))
-    m = backtest.risk_metrics(sim, k).join(backtest.turnover_per_year(sim, k), k)
-    net = F.col("basis") == "net"
-
-    def of(name):
-        return F.max(F.when(net, F.col(name)))
-
-    gross = F.round(F.max(F.when(~net, F.col("cagr"))), 4)
-    return m.groupBy(*keys).agg(
-        *[F.round(of(n), 4).alias(n) for n in ("cagr", "max_drawdown", "sharpe", "sortino")],
-        F.round(of("time_in_market"), 4).alias("exposure"),
-        F.round(of("turnover_per_year"), 2).alias("turnover_per_year"),
-        F.round(gross - F.round(of("cagr"), 4), 4).alias("cost_drag"))
-
-
-def wide_returns(returns: DataFrame, names=VOTERS) -> DataFrame:
-    """One column of daily returns per rule; stays partitioned by ticker."""
-    return returns.groupBy("ticker", "day", "bar").agg(*[
-        F.max(F.when(F.col("rule") == k, F.col("ret"))).alias(k) for k in names])
+    return daily.select("ticker", "day", "bar", pairs.alias("runs"))
+
+
+def full_metrics(days: DataFrame, name: str) -> DataFrame:
+    """Net figures of each run of each ticker and what costs took (gross less net CAGR).
+
+    `days`: ticker, day, open, close, buy_rate, sell_rate, per_sale, and `runs`, an array of (name,
+    target) structs; a ticker's days list the same runs in the same order. A ticker's days are bounded
+    and read once for all its runs, net and gross; only a run's figures leave the task.
+    """
+    figures = ["cagr", "max_drawdown", "sharpe", "sortino", "time_in_market", "turnover_per_year", "gross"]
+
+    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        targets = np.array(pdf["targets"].tolist(), dtype=float)
+        prices = [pdf[c].to_numpy(float) for c in ("open", "close")]
+        rates = [pdf[c].to_numpy(float) for c in ("buy_rate", "sell_rate", "per_sale")]
+        with np.errstate(all="ignore"):
+            net = backtest.simulate_key(*prices, targets, *rates, cash=NOTIONAL)
+            gross = backtest.simulate_key(*prices, targets, *(r * 0.0 for r in rates), cash=NOTIONAL, slippage_bps=0.0)
+            found = backtest.risk_figures(np.round(net["equity"], 4), net["held"])
+            changes = (net["held"][1:] != net["held"][:-1]).sum(axis=0) / (len(pdf) / TRADING_DAYS)
+            whole = backtest.risk_figures(np.round(gross["equity"], 4), gross["held"])["cagr"]
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], name: pdf["names"].iloc[0], **{n: found[n] for n in figures[:5]},
+                             "turnover_per_year": changes, "gross": whole})
+
+    rows = days.select("ticker", "day", "open", "close", "buy_rate", "sell_rate", "per_sale",
+                       F.col(f"runs.{name}").alias("names"), F.col("runs.target").alias("targets"))
+    m = rows.groupBy("ticker").applyInPandas(per_ticker, f"ticker string, {name} string, " + ", ".join(f"{n} double" for n in figures))
+    m = m.withColumns(backtest.defined(*figures))
+    return m.select(
+        "ticker", name, *[F.round(n, 4).alias(n) for n in ("cagr", "max_drawdown", "sharpe", "sortino")],
+        F.round("time_in_market", 4).alias("exposure"), F.round("turnover_per_year", 2).alias("turnover_per_year"),
+        F.round(F.round("gross", 4) - F.round("cagr", 4), 4).alias("cost_drag"))
+
+
+def wide_returns(runs: DataFrame, names=VOTERS) -> DataFrame:
+    """One column of daily returns per rule, from the day's own runs: nothing is shuffled."""
+    found = F.map_from_arrays(F.col("runs.rule"), F.col("runs.ret"))
+    return runs.select("ticker", "day", "bar", found.alias("_r")).select(
+        "ticker", "day", "bar", *[F.try_element_at("_r", F.lit(k)).alias(k) for k in names])
 
 
 def correlations(wide: DataFrame, keys: list[str], names=VOTERS) -> DataFrame:

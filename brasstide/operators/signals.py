@@ -1,17 +1,19 @@
 """Walk-forward signals: rules vote, weighted by their own past, refitted monthly.
 
-    targets   one row per (ticker, day, rule): what each rule holds
-    returns   the rule traded alone, net of costs
+    targets   one row per (ticker, day): what each rule holds
+    runs      the rules traded alone, net of costs, beside each other in an array of the day
     fits      at each refit row, each rule's trailing Sharpe, weight, drift
+    votes     the fit in force, again an array of the day
     signals   one row per (ticker, day): score, decision, position
 
 Trailing sums are differences of running sums, so a 504-row window costs the same as a
-5-row one. All stages are keyed by ticker or (ticker, rule).
+5-row one. All stages are keyed by ticker, and what a day's rules share is held once.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -39,10 +41,10 @@ RUN = ["ticker", "rule"]
 DAILY = ["open", "close", "exchange", "buy_rate", "sell_rate", "per_sale", "regime", *regime.MEASURES]
 
 
-def _choose(values: dict[str, object], key: str = "rule") -> Column:
+def _choose(values: dict[str, object], key: Column) -> Column:
     out = None
     for name, value in values.items():
-        hit = F.col(key) == name
+        hit = key == name
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out
 
@@ -71,18 +73,60 @@ def rule_targets(bars: DataFrame, names=None, with_regime: bool = True) -> DataF
     return with_market_costs(with_market(wide))
 
 
-def rule_returns(wide: DataFrame, names=None) -> DataFrame:
-    """Each rule traded alone over the whole history: net return per bar from the equity
-    curve rounded to 4 decimals."""
-    carry = ["ticker", "day", "bar", "month_day", "allows_short",
-             *[c for c in DAILY if c in wide.columns]]
-    runs = rules.long_targets(wide, list(names or VOTERS), carry)
-    runs = runs.filter(F.col("allows_short") | (F.col("rule") != "sma_cross_long_short"))
-    sim = backtest.simulate(runs, RUN, cash=NOTIONAL)
-    w = Window.partitionBy(*RUN).orderBy("day")
-    sim = sim.withColumn("equity", F.round("equity", 4))
-    ret = F.coalesce(F.col("equity") / F.lag("equity").over(w) - 1.0, F.lit(0.0))
-    return sim.select(*carry, "rule", "target", "held", "equity", ret.alias("ret"))
+def _traded(bars: pa.Table, names: list[str], kept: list[str], drift: bool) -> pa.Table:
+    """One ticker's bars in order, each with the rules' runs beside each other.
+
+    A run is its rule traded alone over the whole history: net return per bar from the equity curve
+    rounded to 4 decimals, and its trailing figures.
+    """
+    bars = bars.take(pc.sort_indices(bars, sort_keys=[("bar", "ascending")]))
+    names = [k for k in names if k != "sma_cross_long_short" or bars["allows_short"][0].as_py()]
+    targets = np.column_stack([_doubles(bars, k) for k in names])
+    with np.errstate(all="ignore"):
+        sim = backtest.simulate_key(*(_doubles(bars, c) for c in ("open", "close")), targets,
+                                    *(_doubles(bars, c) for c in ("buy_rate", "sell_rate", "per_sale")), cash=NOTIONAL)
+        equity = np.round(sim["equity"], 4)
+        ret = np.zeros_like(equity)
+        ret[1:] = equity[1:] / equity[:-1] - 1.0
+    total, square = np.cumsum(ret, axis=0), np.cumsum(ret * ret, axis=0)
+    columns = {"target": targets, "held": sim["held"], "equity": equity, "ret": ret,
+               "sharpe_long": _each(_window_sharpe, total, square, TRAIN),
+               "sharpe_short": _each(_window_sharpe, total, square, SHORT_TRAIN)}
+    if drift:
+        columns["cusum"] = np.column_stack([_cusum(t, bars["bar"].to_numpy()) for t in total.T])
+    rows, k = targets.shape
+    runs = pa.StructArray.from_arrays(
+        [pa.array(names * rows), *(pa.array(c.ravel(), from_pandas=True) for c in columns.values())], names=["rule", *columns])
+    offsets = pa.array(np.arange(0, (rows + 1) * k, k, dtype=np.int32))
+    return bars.select(kept).append_column("runs", pa.ListArray.from_arrays(offsets, runs))
+
+
+def _doubles(table: pa.Table, name: str) -> np.ndarray:
+    return pc.cast(table[name], pa.float64()).to_numpy()
+
+
+def _each(figure, total: np.ndarray, square: np.ndarray, n: int) -> np.ndarray:
+    return np.column_stack([figure(t, q, n) for t, q in zip(total.T, square.T)])
+
+
+def rule_runs(wide: DataFrame, names=None, drift: bool = True) -> DataFrame:
+    """One row per bar, `runs` holding each rule traded alone with its trailing figures.
+
+    A ticker's bars are bounded and read once for all rules, so each ticker is one Arrow table; a
+    bar's prices, costs and regime leave the task once, not once per rule.
+    """
+    names = list(names or VOTERS)
+    kept = ["ticker", "day", "bar", "month_day", "allows_short", *[c for c in DAILY if c in wide.columns]]
+    fields = ["target", "held", "equity", "ret", "sharpe_long", "sharpe_short", *(["cusum"] if drift else [])]
+    run = T.StructType([T.StructField("rule", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in fields)])
+    rows = wide.select(*kept, *names)
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("runs", T.ArrayType(run))])
+    return rows.groupBy("ticker").applyInArrow(lambda bars: _traded(bars, names, kept, drift), schema)
+
+
+def run_rows(runs: DataFrame) -> DataFrame:
+    """One row per bar and rule."""
+    return runs.select(*[c for c in runs.columns if c != "runs"], F.inline("runs"))
 
 
 def _window_sharpe(total: np.ndarray, square: np.ndarray, n: int) -> np.ndarray:
@@ -150,57 +194,108 @@ def with_trailing(returns: DataFrame, drift: bool = True) -> DataFrame:
     return returns.groupBy("ticker").applyInArrow(lambda table: _trailed(table, drift), schema)
 
 
-def _fit_columns(trailing: DataFrame, refit_day: int) -> tuple[Column, dict[str, Column]]:
-    """(rows where weights are set, the fit made on such a row).
+def _due(refit_day: int) -> Column:
+    """Rows where weights are set."""
+    return (F.col("bar") >= FIRST_BAR) & ((F.col("bar") == FIRST_BAR) | (F.col("month_day") == refit_day))
+
+
+def _fit_columns(run: Column | None = None, drift: bool = True) -> dict[str, Column]:
+    """The fit made on a row, of the run in its columns or of one of its `runs`.
 
     Everything is decided from the bars up to the row: a short history trains on fewer bars
     and leaves out rules whose warm-up is more than a third of it.
     """
+    of = F.col if run is None else lambda name: run[name]
     size = F.col("bar") + 1
-    warm = _choose({k: rules.CATALOGUE[k].warmup for k in VOTERS})
+    warm = _choose({k: rules.CATALOGUE[k].warmup for k in VOTERS}, of("rule"))
     limited = size < FULL_HISTORY
     train = F.when(limited, SHORT_TRAIN).otherwise(TRAIN)
     skipped = F.when(limited & (warm > size / 3), "limited history").when(
         warm + train > size, "warming up")
-    sharpe = F.when(skipped.isNull(), F.when(limited, F.col("sharpe_short"))
-                    .otherwise(F.col("sharpe_long")))
-    due = (F.col("bar") >= FIRST_BAR) & ((F.col("bar") == FIRST_BAR)
-                                         | (F.col("month_day") == refit_day))
+    sharpe = F.when(skipped.isNull(), F.when(limited, of("sharpe_short"))
+                    .otherwise(of("sharpe_long")))
     cols = {"fitted_on": F.col("day"), "fit_bar": F.col("bar"), "limited": limited,
             "train_days": train, "skipped": skipped, "train_sharpe": sharpe,
             "weight": F.greatest(sharpe, F.lit(0.0)) + F.lit(0.0)}
     cols["weight"] = F.when(sharpe.isNotNull(), cols["weight"])
-    if "cusum" in trailing.columns:
-        cusum = F.when(skipped.isNull() & ~limited, F.col("cusum"))
+    if drift:
+        cusum = F.when(skipped.isNull() & ~limited, of("cusum"))
         cols |= {"cusum": cusum, "drifting": F.coalesce(cusum >= THRESHOLD, F.lit(False))}
-    return due, cols
-
-
-def fits(trailing: DataFrame, refit_day: int = 0) -> DataFrame:
-    """One row per (ticker, refit, rule): training Sharpe, weight, drift, or why it is skipped."""
-    due, cols = _fit_columns(trailing, refit_day)
-    return trailing.filter(due).select(*RUN, *[e.alias(n) for n, e in cols.items()])
-
-
-def votes(trailing: DataFrame, refit_day: int = 0) -> DataFrame:
-    """One row per (ticker, day, rule) from the first signal on: the fit in force, the vote
-    and the regime multiplier. Needs the `regime` label on every row."""
-    due, cols = _fit_columns(trailing, refit_day)
-    w = Window.partitionBy(*RUN).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    fit = F.struct(*[e.alias(n) for n, e in cols.items()])
-    df = (trailing.withColumn("_fit", F.last(F.when(due, fit), ignorenulls=True).over(w))
-          .filter(F.col("bar") >= FIRST_BAR)
-          .select("ticker", "day", "bar", "rule", "target", "allows_short", *DAILY,
-                  *[F.col(f"_fit.{c}").alias(c) for c in cols]))
-    own = F.col("allows_short") & (F.col("rule") == "sma_cross_long_short")
-    mult = F.lit(1.0)
-    style = _choose({k: rules.CATALOGUE[k].style for k in VOTERS})
+    return cols
+
+
+def fits(runs: DataFrame, refit_day: int = 0) -> DataFrame:
+    """One row per (ticker, refit, rule): training Sharpe, weight, drift, or why it is skipped.
+    Only the refit rows' runs are unfolded."""
+    rows = run_rows(runs.filter(_due(refit_day)))
+    return rows.select(*RUN, *[e.alias(n) for n, e in _fit_columns(drift="cusum" in rows.columns).items()])
+
+
+def _has(runs: DataFrame, name: str) -> bool:
+    return name in runs.schema["runs"].dataType.elementType.names
+
+
+def vote_runs(runs: DataFrame, refit_day: int = 0) -> DataFrame:
+    """One row per (ticker, day) from the first signal on; `votes` holds each rule's fit in force,
+    vote and regime multiplier. Needs the `regime` label on every row.
+
+    The rules of a ticker are refitted on the same days, so their fits travel along the days together.
+    """
+    w = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    drift = _has(runs, "cusum")
+    fit = F.transform("runs", lambda run: F.struct(*[e.alias(n) for n, e in _fit_columns(run, drift).items()]))
+    names = list(_fit_columns(drift=drift))
+    df = runs.withColumn("_fit", F.last(F.when(_due(refit_day), fit), ignorenulls=True).over(w)).filter(F.col("bar") >= FIRST_BAR)
+    styles = {k: rules.CATALOGUE[k].style for k in VOTERS}
+
+    def vote(run: Column, fitted: Column) -> Column:
+        style, mult = _choose(styles, run["rule"]), F.lit(1.0)
+        for (label, kind), value in FIT.items():
+            if value != 1.0:
+                mult = F.when((F.col("regime") == label) & (style == kind), value).otherwise(mult)
+        own = F.col("allows_short") & (run["rule"] == "sma_cross_long_short")
+        said = F.when(own, run["target"]).otherwise(2.0 * run["target"] - 1.0)
+        return F.struct(run["rule"].alias("rule"), run["target"].alias("target"), *[fitted[n].alias(n) for n in names],
+                        style.alias("style"), mult.alias("multiplier"), said.alias("vote"))
+
+    return df.select("ticker", "day", "bar", "allows_short", *DAILY, F.zip_with("runs", "_fit", vote).alias("votes"))
+
+
+def vote_rows(votes: DataFrame) -> DataFrame:
+    """One row per (ticker, day, rule)."""
+    return votes.select(*[c for c in votes.columns if c != "votes"], F.inline("votes"))
+
+
+def total(votes: str, value) -> Column:
+    """The sum of `value(vote)` over a day's votes; what is null adds nothing."""
+    return F.aggregate(votes, F.lit(0.0), lambda acc, x: acc + F.coalesce(value(x).cast("double"), F.lit(0.0)))
+
+
+def positions_of_schedules(bars: pd.DataFrame, refit_days: list[int]) -> np.ndarray:
+    """The signal's positions over one ticker's ordered bars, a column per refit day: `vote_runs` and
+    `signals` beside each other. Before the first signal a position is 0."""
+    names, size = list(bars["rule"].iloc[0]), bars["bar"].to_numpy() + 1
+    target, long, short = (np.array(bars[c].tolist(), dtype=float) for c in ("target", "sharpe_long", "sharpe_short"))
+    warm, limited = np.array([rules.CATALOGUE[k].warmup for k in names]), (size < FULL_HISTORY)[:, None]
+    skipped = (limited & (warm > size[:, None] / 3)) | (warm + np.where(limited, SHORT_TRAIN, TRAIN) > size[:, None])
+    weight = np.where(skipped, 0.0, np.maximum(np.where(limited, short, long), 0.0))
+    regimes, mult = bars["regime"].to_numpy(), np.ones_like(target)
     for (label, kind), value in FIT.items():
-        if value != 1.0:
-            mult = F.when((F.col("regime") == label) & (style == kind), value).otherwise(mult)
-    return df.withColumns({
-        "style": style, "multiplier": mult,
-        "vote": F.when(own, F.col("target")).otherwise(2.0 * F.col("target") - 1.0)})
+        mult[np.ix_(regimes == label, [rules.CATALOGUE[k].style == kind for k in names])] = value
+    own = np.array([k == "sma_cross_long_short" for k in names]) & bars["allows_short"].to_numpy(bool)[:, None]
+    vote = np.where(own, target, 2.0 * target - 1.0)
+    rows, month_day, out = np.arange(len(bars)), bars["month_day"].to_numpy(), []
+    for day in refit_days:
+        due = (size > FIRST_BAR) & ((size == FIRST_BAR + 1) | (month_day == day))
+        fitted = np.maximum.accumulate(np.where(due, rows, -1))
+        w = np.where(fitted[:, None] >= 0, weight[fitted], 0.0) * mult
+        den = w.sum(axis=1)
+        with np.errstate(all="ignore"):
+            score = np.round(np.where(den > 0, (w * vote).sum(axis=1) / den, 0.0), 12)
+        said = np.where(fitted < 0, np.nan, np.where(score >= BUY_AT, 1.0, np.where(score <= SELL_AT, 0.0, np.nan)))
+        last = np.maximum.accumulate(np.where(np.isnan(said), -1, rows))
+        out.append(np.where(last >= 0, said[last], 0.0))
+    return np.column_stack(out)
 
 
 def hold_between(score: Column, w) -> Column:
@@ -210,21 +305,24 @@ def hold_between(score: Column, w) -> Column:
         w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
 
 
-def signals(vote_rows: DataFrame, drift_downweight: bool = False, keys=("ticker",)) -> DataFrame:
-    """Score, decision and position per key and day."""
-    weight = F.col("weight") * F.col("multiplier")
-    if drift_downweight:
-        weight = weight * F.when(F.coalesce("drifting", F.lit(False)), DOWNWEIGHT).otherwise(1.0)
-    daily = vote_rows.withColumn("_w", weight).groupBy(*keys, "day", "bar").agg(
-        F.sum(F.col("_w") * F.col("vote")).alias("_num"), F.sum("_w").alias("_den"),
-        *[F.first(c).alias(c) for c in DAILY], F.first("limited").alias("limited"),
-        F.first("train_days").alias("train_days"), F.first("fitted_on").alias("fitted_on"),
-        F.count("train_sharpe").alias("eligible"),
-        F.coalesce(F.sum((F.col("weight") > 0).cast("int")), F.lit(0)).alias("counted"),
-        F.sum(F.col("skipped").isNotNull().cast("int")).alias("left_out"))
+def signals(votes: DataFrame, drift_downweight: bool = False) -> DataFrame:
+    """Score, decision and position per ticker and day, each from its own row's votes."""
+    def weight(x: Column) -> Column:
+        plain = x["weight"] * x["multiplier"]
+        return plain * F.when(F.coalesce(x["drifting"], F.lit(False)), DOWNWEIGHT).otherwise(1.0) if drift_downweight else plain
+
+    def count(test) -> Column:
+        return total("votes", lambda x: test(x).cast("int")).cast("bigint")
+
+    first = F.element_at("votes", 1)
+    daily = votes.select(
+        "ticker", "day", "bar", total("votes", lambda x: weight(x) * x["vote"]).alias("_num"), total("votes", weight).alias("_den"),
+        *DAILY, *[first[c].alias(c) for c in ("limited", "train_days", "fitted_on")],
+        count(lambda x: x["train_sharpe"].isNotNull()).alias("eligible"), count(lambda x: x["weight"] > 0).alias("counted"),
+        count(lambda x: x["skipped"].isNotNull()).alias("left_out"))
     # Thresholds are compared on 12 decimals, so the order of summation cannot decide a tie.
     score = F.round(F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(0.0), 12)
-    w = Window.partitionBy(*keys).orderBy("day")
+    w = Window.partitionBy("ticker").orderBy("day")
     daily = daily.withColumn("score", score)
     decision = F.when(F.col("score") >= BUY_AT, "BUY").when(
         F.col("score") <= SELL_AT, "SELL").otherwise("HOLD")
@@ -235,14 +333,14 @@ def signals(vote_rows: DataFrame, drift_downweight: bool = False, keys=("ticker"
 def walk_forward(bars: DataFrame, regime_rule: str = "slope", refit_day: int = 0,
                  drift_downweight: bool = False) -> tuple[DataFrame, DataFrame]:
     """(votes, signals) of all tickers; the signals carry the day's prices and costs."""
-    v = votes(voting_returns(bars, regime_rule, drift_downweight), refit_day)
+    v = vote_runs(voting_runs(bars, regime_rule, drift_downweight), refit_day)
     return v, signals(v, drift_downweight)
 
 
-def voting_returns(bars: DataFrame, regime_rule: str = "slope", drift: bool = False) -> DataFrame:
-    """Every voter's daily returns with trailing figures and the regime label."""
+def voting_runs(bars: DataFrame, regime_rule: str = "slope", drift: bool = False) -> DataFrame:
+    """Every voter's runs with trailing figures and the regime label."""
     wide = rule_targets(bars).withColumn("regime", regime.classify(regime_rule))
-    return with_trailing(rule_returns(wide), drift)
+    return rule_runs(wide, drift=drift)
 
 
 def evidence(signal_rows: DataFrame) -> DataFrame:

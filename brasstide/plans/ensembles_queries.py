@@ -29,19 +29,27 @@ def query(name, sql=None):
 
 def positions_table(spark, sf):
     return written(spark, sf, "ensemble_positions",
-                   lambda: ensembles.ensemble_positions(base.votes_table(spark, sf)))
+                   lambda: ensembles.ensemble_positions(base.vote_table(spark, sf)))
+
+
+def position_rows(spark, sf):
+    return positions_table(spark, sf).select("ticker", "day", F.inline("runs"))
+
+
+_PRICED = ["open", "close", "buy_rate", "sell_rate", "per_sale"]
+
+
+def _entry(name, value, target):
+    return F.struct(value.alias(name), target.alias("target"))
 
 
 def metric_rows(spark, sf):
     """Figures of every ensemble and of holding over the evaluated window."""
     def make():
-        days = base.window_table(spark, sf).select("ticker", "day", "open", "close", "buy_rate",
-                                                   "sell_rate", "per_sale")
-        held = days.select("ticker", "day").withColumns({
-            "ensemble": F.lit("buy_and_hold"), "position": F.lit(1.0)})
-        p = positions_table(spark, sf).select("ticker", "day", "ensemble", "position").unionByName(held)
-        runs = days.join(p, ["ticker", "day"]).withColumnRenamed("position", "target")
-        return ensembles.full_metrics(runs, ["ticker", "ensemble"])
+        days = base.window_table(spark, sf).select("ticker", "day", *_PRICED).join(positions_table(spark, sf), ["ticker", "day"])
+        said = F.transform("runs", lambda x: _entry("ensemble", x["ensemble"], x["position"]))
+        held = F.array(_entry("ensemble", F.lit("buy_and_hold"), F.lit(1.0)))
+        return ensembles.full_metrics(days.withColumn("runs", F.concat(said, held)), "ensemble")
     return written(spark, sf, "ensemble_metrics", make)
 
 
@@ -72,7 +80,7 @@ C.add("ensemble_days", """
 
 @query("ensemble_positions", "SELECT ticker, day, ensemble, position FROM ensemble_days")
 def _positions(spark, sf):
-    return positions_table(spark, sf).select("ticker", "day", "ensemble", "position")
+    return position_rows(spark, sf).select("ticker", "day", "ensemble", "position")
 
 
 C.add("ensemble_runs", """
@@ -135,7 +143,7 @@ C.add("rule_corr", _corr_rows("wide_ret", "ticker"))
 
 @query("rule_correlation", f"SELECT ticker, e.a AS rule_a, e.b AS rule_b, {r('e.v', 5, 'corr')} FROM rule_corr")
 def _corr(spark, sf):
-    wide = ensembles.wide_returns(base.returns_table(spark, sf))
+    wide = ensembles.wide_returns(base.runs_table(spark, sf))
     return rounded(ensembles.correlations(wide, ["ticker"]), {"corr": 5})
 
 
@@ -143,15 +151,15 @@ def _corr(spark, sf):
   SELECT e.a AS rule_a, e.b AS rule_b, {r('avg(e.v)', 6, 'corr')}, count(e.v) AS tickers,
     coalesce(avg(e.v) > 0.8, false) AS redundant FROM rule_corr GROUP BY 1, 2""")
 def _average(spark, sf):
-    wide = ensembles.wide_returns(base.returns_table(spark, sf))
+    wide = ensembles.wide_returns(base.runs_table(spark, sf))
     return rounded(ensembles.average_correlation(ensembles.correlations(wide, ["ticker"])), {"corr": 6})
 
 
 def cluster_table(spark, sf):
     def make():
-        returns = base.returns_table(spark, sf)
-        f = signals.fits(returns)
-        pairs = ensembles.refit_correlations(ensembles.wide_returns(returns), f)
+        runs = base.runs_table(spark, sf)
+        f = signals.fits(runs)
+        pairs = ensembles.refit_correlations(ensembles.wide_returns(runs), f)
         return ensembles.clusters(f, pairs)
     return written(spark, sf, "clusters", make)
 
@@ -182,7 +190,7 @@ def _cluster_variant(spark, sf):
   FROM ensemble_days a JOIN ensemble_days b ON a.ticker = b.ticker AND a.day = b.day
     AND a.ensemble = 'regime' AND b.ensemble = 'equal' GROUP BY a.ticker""")
 def _agreement(spark, sf):
-    p = positions_table(spark, sf)
+    p = position_rows(spark, sf)
     out = ensembles.agreement(p.filter("ensemble = 'regime'"), p.filter("ensemble = 'equal'"))
     return rounded(out, {"agreement": 6})
 
@@ -199,7 +207,7 @@ _round_equity("rule_net")
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY coalesce(sharpe, -1e300) DESC, rule DESC) = 1""")
 def _hindsight(spark, sf):
     days = base.window_table(spark, sf).select("ticker", "day")
-    runs = base.returns_table(spark, sf).select("ticker", "rule", "day", "open", "close", "target", "buy_rate",
-                                                "sell_rate", "per_sale").join(days, ["ticker", "day"])
-    best = ensembles.best_in_hindsight(ensembles.full_metrics(runs, ["ticker", "rule"]))
+    runs = base.runs_table(spark, sf).select("ticker", "day", *_PRICED, F.transform(
+        "runs", lambda x: _entry("rule", x["rule"], x["target"])).alias("runs")).join(days, ["ticker", "day"])
+    best = ensembles.best_in_hindsight(ensembles.full_metrics(runs, "rule"))
     return rounded(best, {"sharpe": 4, "cagr": 4})

@@ -24,16 +24,20 @@ def query(name, sql=None):
 
 # -- shared tables: computed once per application, then scanned ---------------------------------
 
-def returns_table(spark, sf):
-    return written(spark, sf, "voting_returns", lambda: signals.voting_returns(bars(spark, sf), drift=True))
+def runs_table(spark, sf):
+    return written(spark, sf, "voting_runs", lambda: signals.voting_runs(bars(spark, sf), drift=True))
+
+
+def vote_table(spark, sf):
+    return written(spark, sf, "votes", lambda: signals.vote_runs(runs_table(spark, sf)))
 
 
 def votes_table(spark, sf):
-    return written(spark, sf, "votes", lambda: signals.votes(returns_table(spark, sf)))
+    return signals.vote_rows(vote_table(spark, sf))
 
 
 def signals_table(spark, sf):
-    return written(spark, sf, "signals", lambda: signals.signals(votes_table(spark, sf)))
+    return written(spark, sf, "signals", lambda: signals.signals(vote_table(spark, sf)))
 
 
 def window_table(spark, sf):
@@ -123,7 +127,7 @@ def _candidates(spark, sf):
     {r('sh', 6, 'train_sharpe')}, {r('CASE WHEN sh IS NOT NULL THEN greatest(sh, 0) END', 6, 'weight')}
   FROM voter_fit WHERE due""")
 def _fits(spark, sf):
-    f = signals.fits(returns_table(spark, sf)).drop("cusum", "drifting")
+    f = signals.fits(runs_table(spark, sf)).drop("cusum", "drifting")
     return rounded(f, {"train_sharpe": 6, "weight": 6})
 
 
@@ -161,13 +165,13 @@ C.add("drift_z", """
   SELECT ticker, rule, day AS fitted_on, round(greatest(max(s), 0), 3) + 0.0 AS cusum, greatest(max(s), 0) >= 4 AS drifting
   FROM sums GROUP BY ticker, rule, day""")
 def _drift(spark, sf):
-    f = signals.fits(returns_table(spark, sf)).filter(F.col("cusum").isNotNull())
+    f = signals.fits(runs_table(spark, sf)).filter(F.col("cusum").isNotNull())
     return rounded(f.select("ticker", "rule", "fitted_on", "cusum", "drifting"), {"cusum": 3})
 
 
 @query("drift_downweighted_signals")
 def _down(spark, sf):
-    s = signals.signals(votes_table(spark, sf), drift_downweight=True)
+    s = signals.signals(vote_table(spark, sf), drift_downweight=True)
     return rounded(s.select("ticker", "day", "score", "decision", "position"), {"score": 6})
 
 
@@ -331,9 +335,7 @@ def _watchlist(spark, sf):
 
 @query("refit_day_spread")
 def _refit_days(spark, sf):
-    # The schedule is a grouping key: every ticker under several refit days in one plan.
-    returns = returns_table(spark, sf).drop("cusum")
-    return assessment.refit_spread(returns, range(0, 20))
+    return assessment.refit_spread(runs_table(spark, sf), range(0, 20))
 
 
 @query("signal_report")
