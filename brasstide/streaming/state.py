@@ -133,35 +133,40 @@ def admissions_stream(requests: DataFrame, limit: int, window: float, delay: str
         SlidingLog(limit, window), "key bigint, request_id bigint, t double, allowed boolean, remaining int, reset double", "Append", "EventTime")
 
 
+# Fixed value: the pools of a day are dealt into so many keys of state.
+SLICES = 64
+
+
 class DailyCaps(Ordered):
-    """State of one (pool, day): requests each key has had, and all of them together."""
-    columns, kinds = ["us", "request_id", "key"], "us bigint, request_id bigint, key bigint"
+    """State of one (slice of the pools, day): requests each key of a pool has had. A key of state costs
+    its timers and calls however few rows it has, so a day's many small pools share one."""
+    columns, kinds = ["us", "request_id", "key", "pool", "pooled"], "us bigint, request_id bigint, key bigint, pool bigint, pooled boolean"
 
     def __init__(self, per_key: int | None, per_pool: int | None):
         self.per_key, self.per_pool = per_key, per_pool
 
     def start(self, handle):
-        self.used = handle.getMapState("used", "key bigint", "n int")
-        self.total = handle.getValueState("total", "n int, day_end bigint")
+        self.used = handle.getListState("used", "pool bigint, pooled boolean, key bigint, n int")
+        self.total = handle.getValueState("total", "day_end bigint")
 
     def decide(self, key, rows):
-        total = self.total.get()[0] if self.total.exists() else 0
-        end = (rows[0][0] // DAY_US + 1) * DAY_US
-        counts, out = {}, []
-        for _, request, who in rows:
-            if who not in counts:
-                counts[who] = self.used.getValue((who,))[0] if self.used.containsKey((who,)) else 0
-            ok = (self.per_key is None or counts[who] < self.per_key) and (self.per_pool is None or total < self.per_pool)
-            counts[who] += ok
-            total += ok
-            out.append((key[0], key[1], request, bool(ok)))
-        for who, n in counts.items():
-            self.used.updateValue((who,), (n,))
-        self.total.update((total, end))
-        return pd.DataFrame(out, columns=["pool", "day", "request_id", "admitted"])
+        counts, totals, out = {}, {}, []
+        for pool, pooled, who, n in (self.used.get() if self.used.exists() else ()):
+            counts[pool, pooled, who] = n
+            totals[pool, pooled] = totals.get((pool, pooled), 0) + n
+        for _, request, who, *pool in rows:
+            pool = tuple(pool)
+            used, total = counts.get((*pool, who), 0), totals.get(pool, 0)
+            ok = (self.per_key is None or used < self.per_key) and (self.per_pool is None or total < self.per_pool)
+            counts[*pool, who], totals[pool] = used + ok, total + ok
+            out.append((pool[0] if pool[1] else None, key[1], request, bool(ok)))
+        self.used.put([(*k, int(n)) for k, n in counts.items()])
+        self.total.update(((rows[0][0] // DAY_US + 1) * DAY_US,))
+        found = pd.DataFrame(out, columns=["pool", "day", "request_id", "admitted"])
+        return found.astype({"pool": "Int64"})
 
     def ends(self):
-        return self.total.get()[1] if self.total.exists() else None
+        return self.total.get()[0] if self.total.exists() else None
 
     def forget(self):
         self.used.clear()
@@ -172,12 +177,14 @@ def daily_caps_stream(requests: DataFrame, per_key: int | None, per_pool: int |
     """Requests (pool, key, request_id, ts) under two daily caps, all or nothing: one is admitted while both
     its key and its pool have room that UTC day, and a refused one counts for neither.
 
-    A key without a pool of its own is its pool. State of a (pool, day) goes when the watermark passes
+    A key without a pool of its own is its pool. State of a day goes when the watermark passes
     midnight; no request of that day is answered after that.
     """
     keep_in_rocksdb(requests.sparkSession)
-    rows = with_micros(requests.select("pool", "key", "request_id", "ts"), delay).withColumn("day", F.to_date("ts"))
-    return rows.groupBy("pool", "day").transformWithStateInPandas(
+    rows = with_micros(requests.select("pool", "key", "request_id", "ts"), delay).withColumns({
+        "day": F.to_date("ts"), "slice": F.pmod(F.xxhash64("pool"), F.lit(SLICES)),
+        "pooled": F.col("pool").isNotNull(), "pool": F.coalesce("pool", F.lit(0))})
+    return rows.groupBy("slice", "day").transformWithStateInPandas(
         DailyCaps(per_key, per_pool), "pool bigint, day date, request_id bigint, admitted boolean", "Append", "EventTime")
 
 

@@ -138,3 +138,14 @@ def test_views_have_one_row_a_key_after_a_replay(spark, tmp_path):
     want = [("v1", d, sum(range(max(1, d - 4), d + 1)) / min(5, d), min(5, d)) for d in range(1, 9)]
     assert got == [*want, ("v2", 8, 6.0, 5)]
     store(spark.createDataFrame([], "ticker string, day date, close double"), 9)
+
+
+def test_small_pools_of_a_day_share_a_key_of_state(spark, tmp_path):
+    rows = [(k, k, k, START + dt.timedelta(seconds=k)) for k in range(400)] + [(None, 1, 900, START), (0, 1, 901, START)]
+    schema = "pool bigint, key bigint, request_id bigint, ts timestamp"
+    fence = (77, 77, 10 ** 6, START + dt.timedelta(hours=2))
+    s = state.daily_caps_stream(streamed(spark, tmp_path, [rows, [fence]], schema), 1, 1, "30 minutes")
+    got = {r.request_id: (r.pool, r.admitted) for r in jobs.run_to_table(s, str(tmp_path)).collect()}
+    want = {r.request_id: (r.pool, r.admitted) for r in state.daily_caps(spark.createDataFrame(rows, schema), 1, 1).collect()}
+    assert got == want and len(got) == 402 and got[900] == (None, True)
+    assert 0 < rows_left(spark, tmp_path, "total") <= state.SLICES
