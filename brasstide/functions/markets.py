@@ -24,9 +24,9 @@ def normalize_ticker(raw: Column) -> Column:
 
 
 def exchange_of(ticker: Column) -> Column:
-    symbol = normalize_ticker(ticker)
-    listed = F.regexp_extract(symbol, r"\.([^.]*)$", 1)
-    out = F.when(listed == "NS", "NSE").when(listed == "BO", "BSE")
+    # A share class is one letter, so its spelling decides no listing: no pattern is matched here.
+    symbol = F.upper(F.trim(F.coalesce(ticker, F.lit(""))))
+    out = F.when(symbol.endswith(".NS"), "NSE").when(symbol.endswith(".BO"), "BSE")
     for index, exchange in INDEX_EXCHANGE.items():
         out = out.when(symbol == index, exchange)
     return out.otherwise("US")

@@ -33,8 +33,9 @@ def max_drawdown(prices: DataFrame, price: str = "adj_close", keys=("ticker",))
 
 
 def with_benchmark(prices: DataFrame, benchmark: DataFrame, price: str = "adj_close") -> DataFrame:
-    """Days both have, then returns on those days only. `benchmark` has benchmark, day, price."""
-    b = benchmark.select("benchmark", "day", F.col(price).alias("_b"))
+    """Days both have, then returns on those days only. `benchmark` has benchmark, day, price: the few
+    indices' days, which are sent to every task, so the prices are shuffled once, by ticker."""
+    b = F.broadcast(benchmark.select("benchmark", "day", F.col(price).alias("_b")))
     both = prices.select("ticker", "benchmark", "day", F.col(price).alias("_a")).join(
         b, ["benchmark", "day"])
     w = Window.partitionBy("ticker").orderBy("day")

@@ -193,7 +193,8 @@ C.add("paired", f"""
 def _beta(spark, sf):
     b = bars(spark, sf)
     marked = markets.with_market(b).filter(F.col("ticker") != F.col("benchmark"))
-    pairs = analytics.with_benchmark(marked, b.withColumnRenamed("ticker", "benchmark"))
+    index = markets.benchmark_bars(b).withColumnRenamed("ticker", "benchmark")
+    pairs = analytics.with_benchmark(marked, index)
     return rounded(analytics.beta_and_correlation(pairs), {"beta": 7, "correlation": 7})
 
 
