@@ -21,46 +21,12 @@ def rows(keys, order) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
 
 
-def sma(x: str, n: int, w: WindowSpec) -> Column:
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) >= n, F.avg(x).over(frame))
-
-
-def sd_population(x: str, n: int, w: WindowSpec) -> Column:
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) >= n, F.stddev_pop(x).over(frame))
-
-
-def sd_sample(x: str, n: int, w: WindowSpec) -> Column:
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) >= n, F.stddev_samp(x).over(frame))
-
-
-def highest_before(x: str, n: int, w: WindowSpec) -> Column:
-    """Largest of the n values before this row."""
-    frame = w.rowsBetween(-n, -1)
-    return F.when(F.count(x).over(frame) >= n, F.max(x).over(frame))
-
-
-def lowest_before(x: str, n: int, w: WindowSpec) -> Column:
-    frame = w.rowsBetween(-n, -1)
-    return F.when(F.count(x).over(frame) >= n, F.min(x).over(frame))
-
-
 def true_range(high: str, low: str, close: str, w: WindowSpec) -> Column:
     previous = F.lag(close).over(w)
     h, lo = F.col(high), F.col(low)
     return F.greatest(h - lo, F.abs(h - previous), F.abs(lo - previous))
 
 
-def percentile_rank(x: str, lookback: int, w: WindowSpec) -> Column:
-    """Share of the previous `lookback` rows' values that are <= this one (this row excluded)."""
-    past = F.collect_list(x).over(w.rowsBetween(-lookback, -1))
-    below = F.size(F.filter(past, lambda v: v <= F.col(x)))
-    return F.when(F.col(x).isNotNull() & (F.size(past) >= lookback // 2),
-                  below / F.size(past))
-
-
 def held_state(entry: str, exit_: str, out: str, w: WindowSpec) -> tuple[dict, dict]:
     """Two column sets for an enter/exit position (1 in, 0 out).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brasstide.functions import series
+from brasstide.functions import series, sliding
 from brasstide.operators.features import Features
 
 # Conventional thresholds and window lengths.
@@ -22,9 +22,9 @@ def request(f: Features) -> list[str]:
     f.column("adx", F.col(adx), adx)
     f.column("plus_di", F.col(plus), plus)
     f.column("minus_di", F.col(minus), minus)
-    f.column("slope", F.col(line) / F.lag(line, SLOPE_DAYS).over(f.w) - 1.0, line)
-    vol = f.column("volatility", series.sd_sample(ret, VOL_DAYS, f.w) * series.TRADING_DAYS ** 0.5, ret)
-    f.column("volatility_rank", series.percentile_rank(vol, VOL_PAST, f.w), vol)
+    f.slide("slope", sliding.growth(SLOPE_DAYS), SLOPE_DAYS, line)
+    vol = f.slide("volatility", sliding.deviation(VOL_DAYS, sample=True, times=series.TRADING_DAYS ** 0.5), VOL_DAYS - 1, ret)
+    f.slide("volatility_rank", sliding.percentile_rank(VOL_PAST), VOL_PAST, vol)
     return list(MEASURES)
 
 

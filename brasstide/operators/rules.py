@@ -3,7 +3,7 @@
 A rule asks `Features` for its inputs and answers with one of
   level(expr)         the target itself
   hold(entry, exit)   an enter/exit position (see functions.series.held_state)
-  trailing(...)       the one path-dependent rule, run per ticker on Arrow batches
+                      (a trailing stop's is walked row by row over each ticker's sorted bars)
 A target uses rows up to its own bar only; it is put on at the next bar's open.
 """
 
@@ -13,8 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from brasstide.functions import series
 from brasstide.operators.features import Features
@@ -37,13 +36,6 @@ class Hold:
     exit: Column
 
 
-@dataclass
-class Trailing:
-    trend: str
-    atr: str
-    multiple: float
-
-
 def _over(a, b) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     return F.coalesce(a > b, F.lit(False))
@@ -105,7 +97,9 @@ def _zscore(f, p):
 
 
 def _trailing(f, p):
-    return Trailing(f.sma("close", int(p["trend"])), f.atr(int(p["atr_period"])), p["multiple"])
+    trend, atr = f.sma("close", int(p["trend"])), f.atr(int(p["atr_period"]))
+    name = f"stop_{p['multiple']}_{trend}_{atr}".replace(".", "_")
+    return Level(F.col(f.walk(name, lambda: _stops(p["multiple"]), "close", trend, atr)))
 
 
 def _long_short(f, p):
@@ -143,7 +137,7 @@ def _obv(f, p):
 @dataclass(frozen=True)
 class Rule:
     key: str
-    build: Callable[[Features, dict], Level | Hold | Trailing] = field(repr=False)
+    build: Callable[[Features, dict], Level | Hold] = field(repr=False)
     defaults: dict
     style: str | None
     warmup: int
@@ -187,34 +181,31 @@ def parameters(key: str, overrides: dict | None = None) -> dict:
 
 def trailing_stop(close, trend, atr, multiple: float) -> np.ndarray:
     """1 while in: enter above the trend line, leave `multiple` ATRs below the best close."""
-    out = np.zeros(len(close))
+    return _stops(multiple)(np.arange(len(close)), close, trend, atr)
+
+
+def _stops(multiple: float) -> Callable[..., np.ndarray]:
+    """`trailing_stop` over batches of many keys' rows; row 0 of a key starts anew."""
     best = None
-    may_enter = close > trend                     # False where the trend line is undefined
-    may_enter &= ~np.isnan(atr)
-    for t, c in enumerate(close):
-        if best is None:
-            best = c if may_enter[t] else None
-        else:
-            best = max(best, c)
-            best = None if c < best - multiple * atr[t] else best
-        out[t] = best is not None
-    return out
-
-
-def _add_trailing(df: DataFrame, keys, order, stops: dict[str, Trailing]) -> DataFrame:
-    """One pass over each ticker's days for all trailing-stop variants."""
-    plan = {name: (s.trend, s.atr, s.multiple) for name, s in stops.items()}
-    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in plan])
-
-    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        close = pdf["close"].to_numpy(float)
-        for name, (trend, atr, multiple) in plan.items():
-            pdf[name] = trailing_stop(close, pdf[trend].to_numpy(float),
-                                      pdf[atr].to_numpy(float), multiple)
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(per_ticker, schema)
+
+    def batch(number, close, trend, atr) -> np.ndarray:
+        nonlocal best
+        out = np.zeros(len(close))
+        may_enter = close > trend                     # False where the trend line is undefined
+        may_enter &= ~np.isnan(atr)
+        leave = multiple * atr
+        for t, (n, c, enter, fall) in enumerate(zip(number.tolist(), close.tolist(), may_enter.tolist(), leave.tolist())):
+            if n == 0:
+                best = None
+            if best is None:
+                best = c if enter else None
+            else:
+                best = max(best, c)
+                best = None if c < best - fall else best
+            out[t] = best is not None
+        return out
+
+    return batch
 
 
 def wide_targets(prices: DataFrame, rules: dict[str, tuple[str, dict]], keys=("ticker",),
@@ -232,12 +223,12 @@ def wide_targets(prices: DataFrame, rules: dict[str, tuple[str, dict]], keys=("t
 
     holds = {label: b for label, b in built.items() if isinstance(b, Hold)}
     levels = {label: b.target for label, b in built.items() if isinstance(b, Level)}
-    stops = {label: b for label, b in built.items() if isinstance(b, Trailing)}
     signals = {}
     for label, b in holds.items():
         signals |= {f"_e_{label}": b.entry, f"_x_{label}": b.exit}
-    if signals or levels:
-        df = df.withColumns({**signals, **levels})
+    # From here on only what the targets need: the states' windows sort these rows once more.
+    df = df.select(*dict.fromkeys([*base, *kept, "_b", "_i"]),
+                   *[e.alias(n) for n, e in {**signals, **levels}.items()])
     flips, states = {}, {}
     for label in holds:
         a, b = series.held_state(f"_e_{label}", f"_x_{label}", label, f.w)
@@ -245,11 +236,6 @@ def wide_targets(prices: DataFrame, rules: dict[str, tuple[str, dict]], keys=("t
         states |= b
     if holds:
         df = df.withColumns(flips).withColumns(states)
-    inputs = sorted({c for s in stops.values() for c in (s.trend, s.atr)})
-    done = [label for label in built if label not in stops]
-    df = df.select(*dict.fromkeys([*base, *kept, *inputs, *done]))
-    if stops:
-        df = _add_trailing(df, keys, order, stops)
     clip = {}
     for label, (k, _) in rules.items():
         x = F.coalesce(F.col(label), F.lit(0.0))
