@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brasstide.functions import series
 from brasstide.operators.features import Features
@@ -28,6 +28,7 @@ def adjusted_prices(bars: DataFrame) -> DataFrame:
 @dataclass
 class Level:
     target: Column
+    walked: bool = False
 
 
 @dataclass
@@ -99,7 +100,7 @@ def _zscore(f, p):
 def _trailing(f, p):
     trend, atr = f.sma("close", int(p["trend"])), f.atr(int(p["atr_period"]))
     name = f"stop_{p['multiple']}_{trend}_{atr}".replace(".", "_")
-    return Level(F.col(f.walk(name, lambda: _stops(p["multiple"]), "close", trend, atr)))
+    return Level(F.col(f.walk(name, lambda: _stops(p["multiple"]), "close", trend, atr)), walked=True)
 
 
 def _long_short(f, p):
@@ -229,6 +230,10 @@ def wide_targets(prices: DataFrame, rules: dict[str, tuple[str, dict]], keys=("t
     # From here on only what the targets need: the states' windows sort these rows once more.
     df = df.select(*dict.fromkeys([*base, *kept, "_b", "_i"]),
                    *[e.alias(n) for n, e in {**signals, **levels}.items()])
+    # The walk takes rows without a day first, where its inputs are undefined; they hold what their key ends with.
+    whole = series.rows(keys, ["_b", "_i"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({label: F.when(F.col(order).isNull(), F.last(label).over(whole)).otherwise(F.col(label))
+                         for label, b in built.items() if isinstance(b, Level) and b.walked})
     flips, states = {}, {}
     for label in holds:
         a, b = series.held_state(f"_e_{label}", f"_x_{label}", label, f.w)

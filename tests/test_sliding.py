@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from brasstide.operators import features, regime
+from brasstide.operators import features, regime, rules
 
 
 def plan(df):
@@ -55,3 +55,11 @@ def test_the_last_rows_of_a_key_reach_over_batches(bars, walk):
             assert (pd.isna(g.volatility_rank[i]) if rank is None else g.volatility_rank[i] == pytest.approx(rank))
         flat = (c.rolling(20).max() == c.rolling(20).min()).to_numpy()
         assert (g["sd_20"].to_numpy(float)[flat] == 0.0).all()
+
+
+def test_rows_without_a_day_come_last_in_the_walk(spark):
+    close = [100.0 + i for i in range(80)]
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), c, c + 1, c - 1, c) for i, c in enumerate(close)]
+    df = spark.createDataFrame([*rows, ("A", None, 90.0, 91.0, 89.0, 90.0)], "ticker string, day date, open double, high double, low double, close double")
+    got = rules.wide_targets(df, rules.default_rules(["atr_trailing_stop"])).orderBy("day").toPandas()["atr_trailing_stop"]
+    assert got[0] == 1.0 and got[1] == 0.0 and got[80] == 1.0
