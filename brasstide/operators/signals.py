@@ -245,7 +245,10 @@ def vote_runs(runs: DataFrame, refit_day: int = 0) -> DataFrame:
     drift = _has(runs, "cusum")
     fit = F.transform("runs", lambda run: F.struct(*[e.alias(n) for n, e in _fit_columns(run, drift).items()]))
     names = list(_fit_columns(drift=drift))
-    df = runs.withColumn("_fit", F.last(F.when(_due(refit_day), fit), ignorenulls=True).over(w)).filter(F.col("bar") >= FIRST_BAR)
+    # A row takes only its rules and targets to its ticker's days, and its fits where it is a refit.
+    df = runs.select("ticker", "day", "bar", "allows_short", *DAILY, F.arrays_zip("runs.rule", "runs.target").alias("runs"),
+                     F.when(_due(refit_day), fit).alias("_fit"))
+    df = df.withColumn("_fit", F.last("_fit", ignorenulls=True).over(w)).filter(F.col("bar") >= FIRST_BAR)
     styles = {k: rules.CATALOGUE[k].style for k in VOTERS}
 
     def vote(run: Column, fitted: Column) -> Column:

@@ -129,3 +129,14 @@ def test_wide_returns_shuffle_nothing(spark):
     wide = ensembles.wide_returns(runs, ["x", "y", "z"])
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
     assert tuple(wide.first())[3:] == (0.5, -0.25, None)
+
+
+def test_votes_take_fits_of_refit_days_only_to_their_ticker(spark):
+    """Trailing figures of the other days are not shuffled: below the exchange they are gone."""
+    runs = signals.rule_runs(signals.rule_targets(walk(spark, ("A",))).withColumn("regime", regime.classify("slope")))
+    path = runs.limit(5).localCheckpoint()
+    plan = signals.vote_runs(path)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window ["):]
+    assert "sharpe_long" in window and "arrays_zip" in window
+    got = signals.vote_runs(path).schema["votes"].dataType.elementType.names
+    assert got[:2] == ["rule", "target"] and "train_sharpe" in got and "equity" not in got
