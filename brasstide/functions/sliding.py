@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Tuple
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 Pair = tuple[np.ndarray, np.ndarray]
 
@@ -97,17 +97,17 @@ def percentile_rank(lookback: int) -> Callable[..., Pair]:
     return of
 
 
-def _pair(batch: pa.RecordBatch, name: str) -> Pair:
-    column = batch.column(batch.schema.get_field_index(name))
-    values = pc.fill_null(pc.cast(column, pa.float64()), 0.0)
-    return values.to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+def _pair(column: pd.Series) -> Pair:
+    values = column.to_numpy(float)
+    known = ~np.isnan(values)
+    return np.where(known, values, 0.0), known
 
 
 def add(df: DataFrame, slides: dict[str, Slide], walks: dict[str, Walk], number: str = "_i") -> DataFrame:
     """One column each, in order: a slide may read the slides before it, a walk all of them.
 
     `df` must be partitioned by key and sorted within its partitions by key and `number`, the row's
-    place within its key from 0. Rows stay where they are.
+    place within its key from 0. Rows stay where they are, and only the columns read go to Python.
     """
     if not slides and not walks:
         return df
@@ -117,28 +117,28 @@ def add(df: DataFrame, slides: dict[str, Slide], walks: dict[str, Walk], number:
     for name, x in slides.items():
         tail[name] = x.reach + max((tail.get(s, 0) for s in x.sources), default=0)
     keep = max(tail.values(), default=0)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in (*slides, *walks)]])
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in (*slides, *walks)])
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         before: dict[str, Pair] | None = None
         walking = {n: x.start() for n, x in walks.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: _pair(batch, c) for c in (number, *read)}
+        for columns in batches:
+            size = len(columns[0])
+            now = {c: _pair(x) for c, x in zip((number, *read), columns)}
             if before is not None:
                 now = {c: tuple(np.concatenate(x) for x in zip(before[c], now[c])) for c in now}
             before = {c: (v[max(0, len(v) - keep):], d[max(0, len(d) - keep):]) for c, (v, d) in now.items()}
-            at, size = now[number][0], batch.num_rows
+            at = now[number][0]
             found: dict[str, Pair] = dict(now)
             with np.errstate(all="ignore"):
                 for name, x in slides.items():
                     v, known = x.of(at, *[found[s] for s in x.sources])
                     found[name] = np.where(known, v, 0.0), known
-            made = [pa.array(found[n][0][-size:], mask=~found[n][1][-size:]) for n in slides]
+            plain = {n: np.where(d, v, np.nan)[len(at) - size:] for n, (v, d) in found.items()}
             for name, x in walks.items():
-                columns = [np.where(d, v, np.nan)[-size:] for v, d in (found[s] for s in x.sources)]
-                made.append(pa.array(walking[name](at[-size:], *columns)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+                plain[name] = walking[name](at[len(at) - size:], *[plain[s] for s in x.sources])
+            yield pd.DataFrame({n: plain[n] for n in (*slides, *walks)})
 
-    return df.mapInArrow(stream, schema)
+    # Not deterministic by row: what it gives hangs on the rows before, so no filter may go below it.
+    made = F.pandas_udf(stream, schema).asNondeterministic()(number, *read)
+    return df.withColumn("_made", made).withColumns({n: F.col(f"_made.{n}") for n in (*slides, *walks)}).drop("_made")
