@@ -21,22 +21,20 @@ def _mean_vote(weight: Column) -> Column:
     return F.round(F.when(den > 0, F.sum(weight * F.col("vote")) / den).otherwise(0.0), 12)
 
 
-def _mean_of(weight) -> Column:
-    """`_mean_vote` over the votes of one row."""
-    den = total("votes", weight)
-    return F.round(F.when(den > 0, total("votes", lambda x: weight(x) * x["vote"]) / den).otherwise(0.0), 12)
-
-
 def ensemble_positions(votes: DataFrame) -> DataFrame:
     """(ticker, day, bar, runs): the position of every way of combining, from the day's own votes."""
     eligible = lambda x: x["skipped"].isNull()                                        # noqa: E731
     trusted = F.array_max(F.transform(F.filter("votes", eligible), lambda x: F.struct(
         F.round(x["train_sharpe"], 4).alias("s"), x["rule"].alias("rule"), x["target"].alias("target"))))
-    daily = votes.select(
-        "ticker", "day", "bar", total("votes", lambda x: eligible(x).cast("int")).alias("_n"),
-        _mean_of(lambda x: x["weight"] * x["multiplier"]).alias("regime"), _mean_of(lambda x: x["weight"]).alias("performance"),
-        _mean_of(lambda x: F.when(eligible(x), 1.0)).alias("equal"),
+    weights = {"regime": lambda x: x["weight"] * x["multiplier"], "performance": lambda x: x["weight"],
+               "equal": lambda x: F.when(eligible(x), 1.0)}
+    # Each sum over a day's votes is taken once: the number of eligible votes is the weight of the equal ones.
+    sums = votes.select(
+        "ticker", "day", "bar", *[total("votes", w).alias(f"_den_{k}") for k, w in weights.items()],
+        *[total("votes", lambda x, w=w: w(x) * x["vote"]).alias(f"_num_{k}") for k, w in weights.items()],
         total("votes", lambda x: (eligible(x) & (x["target"] > 0)).cast("int")).alias("_ins"), trusted["target"].alias("_best"))
+    daily = sums.select("ticker", "day", "bar", F.col("_den_equal").alias("_n"), "_ins", "_best", *[F.round(F.when(
+        F.col(f"_den_{k}") > 0, F.col(f"_num_{k}") / F.col(f"_den_{k}")).otherwise(0.0), 12).alias(k) for k in weights])
     voted = F.col("_n") > 0
     order = Window.partitionBy("ticker").orderBy("day")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -73,8 +73,8 @@ def rule_targets(bars: DataFrame, names=None, with_regime: bool = True) -> DataF
     return with_market_costs(with_market(wide))
 
 
-def _traded(bars: pa.Table, names: list[str], kept: list[str], drift: bool) -> pa.Table:
-    """One ticker's bars in order, each with the rules' runs beside each other.
+def _traded(bars: pa.Table, names: list[str], kept: list[str], drift: bool, refit_day: int | None = None) -> pa.Table:
+    """One ticker's bars in order, each with the rules' runs beside each other, or with their votes.
 
     A run is its rule traded alone over the whole history: net return per bar from the equity curve
     rounded to 4 decimals, and its trailing figures.
@@ -90,38 +90,87 @@ def _traded(bars: pa.Table, names: list[str], kept: list[str], drift: bool) -> p
         ret[1:] = equity[1:] / equity[:-1] - 1.0
     total, square = np.cumsum(ret, axis=0), np.cumsum(ret * ret, axis=0)
     columns = {"target": targets, "held": sim["held"], "equity": equity, "ret": ret,
-               "sharpe_long": _each(_window_sharpe, total, square, TRAIN),
-               "sharpe_short": _each(_window_sharpe, total, square, SHORT_TRAIN)}
+               "sharpe_long": _window_sharpe(total, square, TRAIN), "sharpe_short": _window_sharpe(total, square, SHORT_TRAIN)}
     if drift:
-        columns["cusum"] = np.column_stack([_cusum(t, bars["bar"].to_numpy()) for t in total.T])
-    rows, k = targets.shape
-    runs = pa.StructArray.from_arrays(
-        [pa.array(names * rows), *(pa.array(c.ravel(), from_pandas=True) for c in columns.values())], names=["rule", *columns])
-    offsets = pa.array(np.arange(0, (rows + 1) * k, k, dtype=np.int32))
-    return bars.select(kept).append_column("runs", pa.ListArray.from_arrays(offsets, runs))
+        columns["cusum"] = _cusum(total, bars["bar"].to_numpy())
+    if refit_day is not None:
+        return _voted(bars, names, kept, columns, refit_day)
+    return bars.select(kept).append_column("runs", _beside({"rule": _named(names, len(bars)), **columns}, len(bars)))
+
+
+def _voted(bars: pa.Table, names: list[str], kept: list[str], runs: dict[str, np.ndarray], refit_day: int) -> pa.Table:
+    """`vote_runs` of one ticker's ordered bars, from its runs: a row per bar, a column per rule."""
+    bar, month_day = (bars[c].to_numpy() for c in ("bar", "month_day"))
+    k, size = len(names), bar + 1
+    due = (bar >= FIRST_BAR) & ((bar == FIRST_BAR) | (month_day == refit_day))
+    fitted = np.maximum.accumulate(np.where(due, np.arange(len(bar)), -1))
+    voting = np.nonzero(bar >= FIRST_BAR)[0]
+    at = fitted[voting]                                # the row of the fit in force
+    limited = size < FULL_HISTORY
+    train = np.where(limited, SHORT_TRAIN, TRAIN)
+    warm = np.array([rules.CATALOGUE[n].warmup for n in names])
+    few, early = limited[:, None] & (warm > size[:, None] / 3), warm + train[:, None] > size[:, None]
+    skipped = np.where(few, 0, np.where(early, 1, -1))
+    sharpe = np.where(skipped >= 0, np.nan, np.where(limited[:, None], runs["sharpe_short"], runs["sharpe_long"]))
+    styles = [rules.CATALOGUE[n].style for n in names]
+    mult, regimes = np.ones((len(bar), k)), bars["regime"].to_numpy()
+    for (label, kind), value in FIT.items():
+        mult[np.ix_(regimes == label, [s == kind for s in styles])] = value
+    target = runs["target"]
+    own = np.array([n == "sma_cross_long_short" for n in names]) & bars["allows_short"][0].as_py()
 
+    def of_day(values) -> pa.Array:
+        return pa.chunked_array(values).combine_chunks().take(pa.array(np.repeat(at, k)))
+
+    columns = {"rule": _named(names, len(voting)), "target": target[voting], "fitted_on": of_day(bars["day"]), "fit_bar": of_day(bars["bar"]),
+               "limited": np.repeat(limited[at], k), "train_days": np.repeat(train[at], k).astype(np.int32),
+               "skipped": pa.array(["limited history", "warming up"]).take(pa.array(skipped[at].ravel(), mask=skipped[at].ravel() < 0)),
+               "train_sharpe": sharpe[at], "weight": np.maximum(sharpe, 0.0)[at] + 0.0}
+    if "cusum" in runs:
+        cusum = np.where((skipped >= 0) | limited[:, None], np.nan, runs["cusum"])
+        columns |= {"cusum": cusum[at], "drifting": (cusum >= THRESHOLD)[at]}
+    columns |= {"style": _named(styles, len(voting)), "multiplier": mult[voting], "vote": np.where(own, target, 2.0 * target - 1.0)[voting]}
+    return bars.select(kept).take(pa.array(voting)).append_column("votes", _beside(columns, len(voting)))
 
-def _doubles(table: pa.Table, name: str) -> np.ndarray:
-    return pc.cast(table[name], pa.float64()).to_numpy()
 
+def _named(names: list[str], rows: int) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), rows)))
 
-def _each(figure, total: np.ndarray, square: np.ndarray, n: int) -> np.ndarray:
-    return np.column_stack([figure(t, q, n) for t, q in zip(total.T, square.T)])
+
+def _beside(columns: dict[str, np.ndarray | pa.Array], rows: int) -> pa.Array:
+    """A list per row of structs of the columns, which have as many entries for every row; NaN is null."""
+    fields = [c if isinstance(c, pa.Array) else pa.array(c.ravel(), from_pandas=True) for c in columns.values()]
+    items = pa.StructArray.from_arrays(fields, names=list(columns))
+    k = len(items) // rows if rows else 0
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * k), items)
+
+
+def _doubles(table: pa.Table, name: str) -> np.ndarray:
+    return pc.cast(table[name], pa.float64()).to_numpy()
 
 
-def rule_runs(wide: DataFrame, names=None, drift: bool = True) -> DataFrame:
+def rule_runs(wide: DataFrame, names=None, drift: bool = True, refit_day: int | None = None) -> DataFrame:
     """One row per bar, `runs` holding each rule traded alone with its trailing figures.
 
     A ticker's bars are bounded and read once for all rules, so each ticker is one Arrow table; a
-    bar's prices, costs and regime leave the task once, not once per rule.
+    bar's prices, costs and regime leave the task once, not once per rule. With a `refit_day` the same
+    task goes on to the votes: the rows are those of `vote_runs`, and no run leaves it.
     """
     names = list(names or VOTERS)
     kept = ["ticker", "day", "bar", "month_day", "allows_short", *[c for c in DAILY if c in wide.columns]]
     fields = ["target", "held", "equity", "ret", "sharpe_long", "sharpe_short", *(["cusum"] if drift else [])]
     run = T.StructType([T.StructField("rule", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in fields)])
     rows = wide.select(*kept, *names)
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("runs", T.ArrayType(run))])
-    return rows.groupBy("ticker").applyInArrow(lambda bars: _traded(bars, names, kept, drift), schema)
+    made = T.StructField("runs", T.ArrayType(run))
+    if refit_day is not None:
+        kept.remove("month_day")
+        double, flag, text = T.DoubleType(), T.BooleanType(), T.StringType()
+        vote = {"rule": text, "target": double, "fitted_on": rows.schema["day"].dataType, "fit_bar": rows.schema["bar"].dataType,
+                "limited": flag, "train_days": T.IntegerType(), "skipped": text, "train_sharpe": double, "weight": double,
+                **({"cusum": double, "drifting": flag} if drift else {}), "style": text, "multiplier": double, "vote": double}
+        made = T.StructField("votes", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in vote.items()])))
+    schema = T.StructType([rows.schema[c] for c in kept] + [made])
+    return rows.groupBy("ticker").applyInArrow(lambda bars: _traded(bars, names, kept, drift, refit_day), schema)
 
 
 def run_rows(runs: DataFrame) -> DataFrame:
@@ -138,31 +187,36 @@ def _window_sharpe(total: np.ndarray, square: np.ndarray, n: int) -> np.ndarray:
 
 
 def _before(x: np.ndarray, n: int) -> np.ndarray:
-    return np.concatenate([np.zeros(min(n, len(x))), x[:max(0, len(x) - n)]])
+    return np.concatenate([np.zeros((min(n, len(x)), *x.shape[1:])), x[:max(0, len(x) - n)]])
 
 
 def _cusum(total: np.ndarray, bar: np.ndarray) -> np.ndarray:
-    """The drift statistic at each row, NaN where the history is too short or does not vary."""
-    out = np.full(len(bar), np.nan)
-    five = np.where(bar >= BLOCK - 1, total - _before(total, BLOCK), np.nan)
+    """The drift statistic at each row, NaN where the history is too short or does not vary.
+    `total` has a row per bar and, for runs beside each other, a column per run."""
+    out = np.full(total.shape, np.nan)
+    if len(bar) == 0 or bar.max() + 1 < MIN_HISTORY + RECENT:
+        return out
+    whole = (bar >= BLOCK - 1).reshape(-1, *[1] * (total.ndim - 1))
+    five = np.where(whole, total - _before(total, BLOCK), np.nan)
     recent, history = RECENT // BLOCK, (TRAIN - RECENT) // BLOCK
     # Blocks of 5 returns ending at a bar are rows 5 apart: one phase of the bar number.
     for phase in range(BLOCK):
         at = np.nonzero(bar % BLOCK == phase)[0]
         if not len(at):
             continue
-        padded = np.concatenate([np.full(recent + history - 1, np.nan), five[at]])
-        spans = np.lib.stride_tricks.sliding_window_view(padded, recent + history)
-        past, known = spans[:, :history], ~np.isnan(spans[:, :history])
-        n = known.sum(axis=1)
+        padded = np.concatenate([np.full((recent + history - 1, *total.shape[1:]), np.nan), five[at]])
+        spans = np.lib.stride_tricks.sliding_window_view(padded, recent + history, axis=0)
+        past, known = spans[..., :history], ~np.isnan(spans[..., :history])
+        n = known.sum(axis=-1)
         with np.errstate(all="ignore"):
-            mean = np.where(known, past, 0.0).sum(axis=1) / n
-            sd = np.sqrt((np.where(known, past - mean[:, None], 0.0) ** 2).sum(axis=1) / (n - 1))
-            now, worst = np.zeros(len(at)), np.zeros(len(at))
-            for x in spans[:, history:].T:
-                step = now - (x - mean) / sd - ALLOWANCE
+            mean = np.where(known, past, 0.0).sum(axis=-1) / n
+            sd = np.sqrt((np.where(known, past - mean[..., None], 0.0) ** 2).sum(axis=-1) / (n - 1))
+            now, worst = np.zeros(n.shape), np.zeros(n.shape)
+            for j in range(history, history + recent):
+                step = now - (spans[..., j] - mean) / sd - ALLOWANCE
                 now, worst = np.maximum(0.0, step), np.maximum(worst, step)
-            fit = (bar[at] + 1 >= MIN_HISTORY + RECENT) & (n > 1) & (sd > 1e-15)
+            old = (bar[at] + 1 >= MIN_HISTORY + RECENT).reshape(-1, *[1] * (total.ndim - 1))
+            fit = old & (n > 1) & (sd > 1e-15)
         out[at] = np.where(fit, worst, np.nan)
     return out
 
@@ -240,7 +294,10 @@ def vote_runs(runs: DataFrame, refit_day: int = 0) -> DataFrame:
     vote and regime multiplier. Needs the `regime` label on every row.
 
     The rules of a ticker are refitted on the same days, so their fits travel along the days together.
+    Runs made with a refit day have been fitted and have voted in their own pass: nothing is shuffled.
     """
+    if "votes" in runs.columns:
+        return runs.select("ticker", "day", "bar", "allows_short", *DAILY, "votes")
     w = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     drift = _has(runs, "cusum")
     fit = F.transform("runs", lambda run: F.struct(*[e.alias(n) for n, e in _fit_columns(run, drift).items()]))
@@ -336,14 +393,14 @@ def signals(votes: DataFrame, drift_downweight: bool = False) -> DataFrame:
 def walk_forward(bars: DataFrame, regime_rule: str = "slope", refit_day: int = 0,
                  drift_downweight: bool = False) -> tuple[DataFrame, DataFrame]:
     """(votes, signals) of all tickers; the signals carry the day's prices and costs."""
-    v = vote_runs(voting_runs(bars, regime_rule, drift_downweight), refit_day)
+    v = vote_runs(voting_runs(bars, regime_rule, drift_downweight, refit_day))
     return v, signals(v, drift_downweight)
 
 
-def voting_runs(bars: DataFrame, regime_rule: str = "slope", drift: bool = False) -> DataFrame:
-    """Every voter's runs with trailing figures and the regime label."""
+def voting_runs(bars: DataFrame, regime_rule: str = "slope", drift: bool = False, refit_day: int | None = None) -> DataFrame:
+    """Every voter's runs with trailing figures and the regime label, or with a `refit_day` their votes."""
     wide = rule_targets(bars).withColumn("regime", regime.classify(regime_rule))
-    return rule_runs(wide, drift=drift)
+    return rule_runs(wide, drift=drift, refit_day=refit_day)
 
 
 def evidence(signal_rows: DataFrame) -> DataFrame:

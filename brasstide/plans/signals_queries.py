@@ -29,7 +29,8 @@ def runs_table(spark, sf):
 
 
 def vote_table(spark, sf):
-    return written(spark, sf, "votes", lambda: signals.vote_runs(runs_table(spark, sf)))
+    """Made from the bars: of the runs only the votes are kept, so that table is neither written nor shuffled here."""
+    return written(spark, sf, "votes", lambda: signals.vote_runs(signals.voting_runs(bars(spark, sf), drift=True, refit_day=0)))
 
 
 def votes_table(spark, sf):
