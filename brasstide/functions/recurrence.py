@@ -1,20 +1,16 @@
-"""Exponential smoothing over many keys as a two-level scan.
+"""Exponential smoothing: what is asked for, and the row numbers it goes by.
 
-The recurrence level = a*x + (1-a)*level is split into blocks of BLOCK rows. Inside a
-block it is a closed form (a running sum of rescaled values); a block inherits the level
-at the end of the blocks before it, folded over as many of them as still carry weight in
-a double. No key is ever gathered into one value, and nothing leaves the JVM.
+The recurrence level = a*x + (1-a)*level is carried from row to row by `functions.sliding.Scan`, in the
+pass over the sorted rows that makes all other figures of the last rows.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 64
-_NEGLIGIBLE = 42.0        # exp(-42) is below half a unit in the last place
 
 
 @dataclass(frozen=True)
@@ -35,57 +31,11 @@ def wilder_spec(out: str, src: str, n: int) -> Smooth:
     return Smooth(out, src, 1.0 / n, n)
 
 
-def _fold(block_sums: Column, decay: float) -> Column:
-    return F.aggregate(block_sums, F.lit(0.0), lambda acc, x: acc * F.lit(decay) + x)
-
-
 def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Row number `_i` within the key and its block `_b`.
 
-    Windows ordered by (_b, _i) see the order of `order`, and the block windows need the same
-    sort: one sort serves every indicator.
+    Windows ordered by (_b, _i) see the order of `order`: one sort serves every indicator.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     return (df.withColumn("_i", F.row_number().over(w) - 1)
             .withColumn("_b", F.floor(F.col("_i") / BLOCK)))
-
-
-def smooth(df: DataFrame, specs: list[Smooth], keys: list[str]) -> DataFrame:
-    """Add one smoothed column per spec to numbered rows. Nulls may only precede a series'
-    first value."""
-    if not specs:
-        return df
-    by_key = Window.partitionBy(*keys)
-    at = F.col("_i") % BLOCK
-    upto = by_key.orderBy("_b", "_i").rowsBetween(Window.unboundedPreceding, 0)
-    in_block = (Window.partitionBy(*keys, "_b").orderBy("_i")
-                .rowsBetween(Window.unboundedPreceding, 0))
-
-    def seen(src):
-        return F.count(src).over(upto)
-
-    part: dict[str, Column] = {f"_n_{s}": seen(s) for s in sorted({x.src for x in specs})}
-    for s in specs:
-        left = 1.0 - s.alpha
-        if left <= 0.0:
-            part[f"_p_{s.out}"] = F.col(s.src)
-            continue
-        # The first value of a series weighs 1, the others alpha.
-        weight = F.when(F.col(s.src).isNotNull() & (seen(s.src) == 1), 1.0).otherwise(s.alpha)
-        part[f"_w_{s.out}"] = weight * F.col(s.src) * F.pow(F.lit(left), -at)
-    df = df.withColumns(part)
-    df = df.withColumns({
-        f"_p_{s.out}": F.coalesce(F.sum(f"_w_{s.out}").over(in_block), F.lit(0.0))
-        * F.pow(F.lit(1.0 - s.alpha), at) for s in specs if s.alpha < 1.0})
-
-    level: dict[str, Column] = {}
-    for s in specs:
-        left, value = 1.0 - s.alpha, F.col(f"_p_{s.out}")
-        if left > 0.0:
-            reach = max(1, math.ceil(_NEGLIGIBLE / (-math.log(left) * BLOCK)))
-            before = by_key.orderBy("_b").rangeBetween(-reach, -1)
-            ends = F.collect_list(F.when(at == BLOCK - 1, value)).over(before)
-            value = value + _fold(ends, left ** BLOCK) * F.pow(F.lit(left), at + 1)
-        level[s.out] = F.when(F.col(f"_n_{s.src}") >= s.n, value)
-    spare = [c for s in specs for c in (f"_n_{s.src}", f"_w_{s.out}", f"_p_{s.out}")]
-    return df.withColumns(level).drop(*spare)

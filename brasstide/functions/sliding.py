@@ -30,6 +30,16 @@ class Slide:
     reach: int
 
 
+@dataclass(frozen=True)
+class Scan:
+    """`sources[0]` smoothed exponentially with factor `alpha`, shown from its n-th value on. Undefined entries
+    after the first value add nothing; what came before weighs less and less."""
+
+    alpha: float
+    n: int
+    sources: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Walk:
     """`start()` gives a function of (number, *columns), called with the rows of one batch after the
@@ -97,48 +107,97 @@ def percentile_rank(lookback: int) -> Callable[..., Pair]:
     return of
 
 
+#: exp(-42) is below half a unit in the last place.
+_NEGLIGIBLE = 42.0
+
+
+class _Smoothing:
+    """A scan over batch after batch: the level and the number of values of the key that the last one ended in."""
+
+    def __init__(self, scan: Scan):
+        self.alpha, self.n = scan.alpha, scan.n
+        self.level, self.seen = 0.0, 0
+
+    def __call__(self, number: np.ndarray, x: Pair) -> Pair:
+        v, known = x
+        left = 1.0 - self.alpha
+        if left <= 0.0 or not len(v):
+            return v, known & self._count(number, known)[1]
+        seen, shown = self._count(number, known)
+        level = np.where(known, v, 0.0) * np.where(known & (seen == 1), 1.0, self.alpha)
+        if number[0] > 0:
+            level[0] += left * self.level
+        # Each step adds what lies k rows before, which by then stands for the k rows up to there.
+        k, decay = 1, left
+        while k < len(level) and -np.log(left) * k < _NEGLIGIBLE:
+            level[k:] += np.where(number[k:] >= k, decay, 0.0) * level[:-k]
+            k, decay = 2 * k, decay * decay
+        self.level = level[-1]
+        return level, shown
+
+    def _count(self, number: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values the key has had up to each row, and whether they are enough."""
+        if not len(number):
+            return number, known
+        total = np.cumsum(known)
+        begun = np.maximum.accumulate(np.where(number == 0, np.arange(len(number)), -1))
+        seen = total - np.where(begun > 0, total[begun - 1], np.where(begun == 0, 0, -self.seen))
+        self.seen = seen[-1]
+        return seen, seen >= self.n
+
+
 def _pair(column: pd.Series) -> Pair:
     values = column.to_numpy(float)
     known = ~np.isnan(values)
     return np.where(known, values, 0.0), known
 
 
-def add(df: DataFrame, slides: dict[str, Slide], walks: dict[str, Walk], number: str = "_i") -> DataFrame:
-    """One column each, in order: a slide may read the slides before it, a walk all of them.
+def add(df: DataFrame, figures: dict[str, Slide | Scan], walks: dict[str, Walk], number: str = "_i") -> DataFrame:
+    """One column each, in order: a figure may read the figures before it, a walk all of them.
 
     `df` must be partitioned by key and sorted within its partitions by key and `number`, the row's
     place within its key from 0. Rows stay where they are, and only the columns read go to Python.
     """
-    if not slides and not walks:
+    if not figures and not walks:
         return df
-    read = list(dict.fromkeys(s for x in [*slides.values(), *walks.values()] for s in x.sources
-                              if s not in slides and s not in walks))
+    read = list(dict.fromkeys(s for x in [*figures.values(), *walks.values()] for s in x.sources
+                              if s not in figures and s not in walks))
+    # A slide is made anew for the rows that are kept; a scan goes on from where it was, so its figures are kept.
+    scans = [n for n, x in figures.items() if isinstance(x, Scan)]
     tail: dict[str, int] = {}
-    for name, x in slides.items():
-        tail[name] = x.reach + max((tail.get(s, 0) for s in x.sources), default=0)
+    for name, x in figures.items():
+        tail[name] = 0 if name in scans else x.reach + max((tail.get(s, 0) for s in x.sources), default=0)
     keep = max(tail.values(), default=0)
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in (*slides, *walks)])
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in (*figures, *walks)])
 
     def stream(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         before: dict[str, Pair] | None = None
         walking = {n: x.start() for n, x in walks.items()}
+        smoothing = {n: _Smoothing(figures[n]) for n in scans}
+
+        def after(name: str, new: Pair) -> Pair:
+            return new if before is None else tuple(np.concatenate(x) for x in zip(before[name], new))
+
         for columns in batches:
             size = len(columns[0])
-            now = {c: _pair(x) for c, x in zip((number, *read), columns)}
-            if before is not None:
-                now = {c: tuple(np.concatenate(x) for x in zip(before[c], now[c])) for c in now}
-            before = {c: (v[max(0, len(v) - keep):], d[max(0, len(d) - keep):]) for c, (v, d) in now.items()}
-            at = now[number][0]
-            found: dict[str, Pair] = dict(now)
+            found = {c: after(c, _pair(x)) for c, x in zip((number, *read), columns)}
+            at = found[number][0]
+            first = len(at) - size
             with np.errstate(all="ignore"):
-                for name, x in slides.items():
-                    v, known = x.of(at, *[found[s] for s in x.sources])
-                    found[name] = np.where(known, v, 0.0), known
-            plain = {n: np.where(d, v, np.nan)[len(at) - size:] for n, (v, d) in found.items()}
+                for name, x in figures.items():
+                    sources = [found[s] for s in x.sources]
+                    if name in smoothing:
+                        v, known = smoothing[name](at[first:], tuple(y[first:] for y in sources[0]))
+                    else:
+                        v, known = x.of(at, *sources)
+                    made = np.where(known, v, 0.0), known
+                    found[name] = after(name, made) if name in smoothing else made
+            before = {c: tuple(y[max(0, len(at) - keep):] for y in found[c]) for c in (number, *read, *scans)}
+            plain = {n: np.where(d, v, np.nan)[first:] for n, (v, d) in found.items()}
             for name, x in walks.items():
-                plain[name] = walking[name](at[len(at) - size:], *[plain[s] for s in x.sources])
-            yield pd.DataFrame({n: plain[n] for n in (*slides, *walks)})
+                plain[name] = walking[name](at[first:], *[plain[s] for s in x.sources])
+            yield pd.DataFrame({n: plain[n] for n in (*figures, *walks)})
 
     # Not deterministic by row: what it gives hangs on the rows before, so no filter may go below it.
     made = F.pandas_udf(stream, schema).asNondeterministic()(number, *read)
-    return df.withColumn("_made", made).withColumns({n: F.col(f"_made.{n}") for n in (*slides, *walks)}).drop("_made")
+    return df.withColumn("_made", made).withColumns({n: F.col(f"_made.{n}") for n in (*figures, *walks)}).drop("_made")
