@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from brasstide.functions.series import TRADING_DAYS, spread
 from brasstide.operators import backtest, signals
@@ -21,7 +23,10 @@ CARRY = ["ticker", "day", "bar", "open", "close", "buy_rate", "sell_rate", "per_
 
 
 def window(signal_rows: DataFrame, years: int = 5) -> DataFrame:
-    """Signal rows of the evaluated window; tickers with too few are left out."""
+    """Signal rows of the evaluated window; tickers with too few are left out.
+    Rows of a pass that made the columns of WINDOW know whether they are in it."""
+    if "trading_days" in signal_rows.columns:
+        return signal_rows.filter(F.col("trading_days").isNotNull())
     whole = Window.partitionBy("ticker")
     wanted = F.date_sub(F.max("day").over(whole), round(365.25 * years))
     df = signal_rows.withColumns({
@@ -33,6 +38,29 @@ def window(signal_rows: DataFrame, years: int = 5) -> DataFrame:
     return df.withColumn("trading_days", n).filter(F.col("trading_days") >= MIN_BARS).drop("_wanted")
 
 
+def _ahead(v, bars: pa.Table) -> pa.Array:
+    """`ahead` of `window` on one ticker's signal rows (signals._Votes)."""
+    close = pc.cast(bars["close"], pa.float64()).to_numpy()[v.rows]
+    out = np.full(len(close), np.nan)
+    with np.errstate(all="ignore"):
+        out[:max(0, len(close) - HORIZON)] = close[HORIZON:] / close[:max(0, len(close) - HORIZON)] - 1.0
+    return pa.array(out, from_pandas=True)
+
+
+def _trading_days(v, bars: pa.Table, years: int = 5) -> pa.Array:
+    """`trading_days` of `window`; null outside of it."""
+    day = bars["day"].combine_chunks().take(pa.array(v.rows))
+    known = pc.is_valid(day).to_numpy(zero_copy_only=False)
+    at = pc.cast(day, pa.int32()).fill_null(0).to_numpy()
+    inside = known & (at >= at[known].max() - round(365.25 * years)) if known.any() else known
+    n = int(inside.sum())
+    return pa.array(np.full(len(inside), n), mask=~inside if n >= MIN_BARS else np.ones(len(inside), dtype=bool))
+
+
+#: Columns of days for `signals.rule_runs`: they tell `window` which rows it wants.
+WINDOW = {"ahead": (T.DoubleType(), _ahead), "trading_days": (T.LongType(), _trading_days)}
+
+
 def _runs(rows: DataFrame, targets: dict[str, Column], carry=CARRY) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(n).alias("run"), e.cast("double").alias("target"))
                       for n, e in targets.items()])
@@ -234,13 +262,10 @@ def verdict(df: DataFrame) -> DataFrame:
                  F.coalesce(short, F.lit(""))).alias("statement"))
 
 
-def refit_spread(runs: DataFrame, refit_days, years: int = 5) -> DataFrame:
-    """How much the choice of refit day matters: spread of Sharpe and CAGR over schedules.
-
-    A ticker's bars are bounded and read once for all schedules: the schedules' positions and holding are
-    simulated beside each other, and one row per schedule leaves the task.
-    """
-    schedules = list(refit_days)
+def schedule_figures(refit_days, years: int = 5) -> tuple[Callable[[pd.DataFrame], pd.DataFrame], str]:
+    """What `refit_spread` wants of one ticker's bars and runs: a row per schedule of its signal's Sharpe and CAGR
+    and those of holding, and the schema of these rows. For `signals.rule_runs`, where no bar leaves the task."""
+    schedules, figures = list(refit_days), ["sharpe", "cagr", "_hs", "_hc"]
 
     def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar")
@@ -248,21 +273,33 @@ def refit_spread(runs: DataFrame, refit_days, years: int = 5) -> DataFrame:
         day = pd.to_datetime(pdf["day"])
         at = ((pdf["bar"] >= FIRST_BAR) & (day >= day.max() - pd.Timedelta(days=round(365.25 * years)))).to_numpy()
         if at.sum() < MIN_BARS:
-            return pd.DataFrame(columns=["ticker", "schedule", *figures])
+            return pd.DataFrame({"ticker": pd.Series(dtype=str), "schedule": pd.Series(dtype="int32"), **{n: pd.Series(dtype=float) for n in figures}})
         targets = np.column_stack([position[at], np.ones(at.sum())])
         columns = [pdf[c].to_numpy(float)[at] for c in ("open", "close", "buy_rate", "sell_rate", "per_sale")]
         with np.errstate(all="ignore"):
             sim = backtest.simulate_key(columns[0], columns[1], targets, *columns[2:], cash=NOTIONAL)
             found = backtest.risk_figures(np.round(sim["equity"], 4), sim["held"])
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "schedule": schedules, "sharpe": found["sharpe"][:-1], "cagr": found["cagr"][:-1],
-                             "_hs": found["sharpe"][-1], "_hc": found["cagr"][-1]})
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "schedule": np.array(schedules, dtype=np.int32), "sharpe": found["sharpe"][:-1],
+                             "cagr": found["cagr"][:-1], "_hs": found["sharpe"][-1], "_hc": found["cagr"][-1]})
+
+    return per_ticker, "ticker string, schedule int, " + ", ".join(f"{n} double" for n in figures)
 
+
+def refit_spread(runs: DataFrame, refit_days, years: int = 5) -> DataFrame:
+    """How much the choice of refit day matters: spread of Sharpe and CAGR over schedules.
+
+    A ticker's bars are bounded and read once for all schedules: the schedules' positions and holding are
+    simulated beside each other, and one row per schedule leaves the task. Runs of a pass that ended with
+    `schedule_figures` are those rows already.
+    """
     figures = ["sharpe", "cagr", "_hs", "_hc"]
-    rows = runs.select(*CARRY, "month_day", "allows_short", "regime", *[F.col(f"runs.{c}").alias(c) for c in (
-        "rule", "target", "sharpe_long", "sharpe_short")])
-    df = spread(rows, "ticker").groupBy("ticker").applyInPandas(
-        per_ticker, "ticker string, schedule int, " + ", ".join(f"{n} double" for n in figures)).withColumns(backtest.defined(*figures))
-    df = df.withColumns({n: F.round(n, 4) for n in figures})
+    if "schedule" in runs.columns:
+        df = runs
+    else:
+        rows = runs.select(*CARRY, "month_day", "allows_short", "regime", *[F.col(f"runs.{c}").alias(c) for c in (
+            "rule", "target", "sharpe_long", "sharpe_short")])
+        df = spread(rows, "ticker").groupBy("ticker").applyInPandas(*schedule_figures(refit_days, years))
+    df = df.withColumns(backtest.defined(*figures)).withColumns({n: F.round(n, 4) for n in figures})
     x, c = F.col("sharpe"), F.col("cagr")
     return df.groupBy("ticker").agg(
         F.min(x).alias("sharpe_min"), F.percentile(x, 0.5).alias("sharpe_median"), F.max(x).alias("sharpe_max"),

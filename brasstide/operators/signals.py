@@ -12,11 +12,14 @@ Trailing sums are differences of running sums, so a 504-row window costs the sam
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from brasstide.functions.markets import with_market, with_market_costs
 from brasstide.functions.series import TRADING_DAYS
@@ -64,73 +67,196 @@ def rule_targets(bars: DataFrame, names=None, with_regime: bool = True) -> DataF
     """Wide targets on adjusted prices, with market and cost columns and the bar number."""
     names = list(names or VOTERS)
     wide = rules.wide_targets(rules.adjusted_prices(bars), rules.default_rules(names),
-                              carry=regime.request if with_regime else None)
-    w = Window.partitionBy("ticker").orderBy("day")
-    wide = wide.withColumns({
-        "bar": F.row_number().over(w) - 1,
-        "month_day": F.row_number().over(Window.partitionBy(
-            "ticker", F.trunc("day", "month")).orderBy("day")) - 1})
+                              carry=lambda f: [*(regime.request(f) if with_regime else []), "_b", "_i"])
+    # The rows are in the order of these windows already; a month begins where the row before is of another.
+    w, month = Window.partitionBy("ticker").orderBy("_b", "_i"), F.trunc("day", "month")
+    wide = wide.withColumn("_begins", F.when(~month.eqNullSafe(F.lag(month).over(w)), F.col("_i")))
+    begun = F.last("_begins", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    wide = wide.withColumns({"bar": F.col("_i"), "month_day": F.col("_i") - F.coalesce(begun, F.lit(0))}).drop("_b", "_i", "_begins")
     return with_market_costs(with_market(wide))
 
 
-def _traded(bars: pa.Table, names: list[str], kept: list[str], drift: bool, refit_day: int | None = None) -> pa.Table:
-    """One ticker's bars in order, each with the rules' runs beside each other, or with their votes.
+#: What a run is known by; the trailing figures of a row are made from the rows up to it.
+FIGURES = ("target", "held", "equity", "ret", "sharpe_long", "sharpe_short", "cusum")
 
-    A run is its rule traded alone over the whole history: net return per bar from the equity curve
-    rounded to 4 decimals, and its trailing figures.
-    """
-    bars = bars.take(pc.sort_indices(bars, sort_keys=[("bar", "ascending")]))
-    names = [k for k in names if k != "sma_cross_long_short" or bars["allows_short"][0].as_py()]
+
+def _trade(bars: pa.Table, names: list[str], wanted: set[str], rows: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The wanted figures of one ticker's runs over its ordered bars: a row per bar, a column per rule. The
+    drift statistic is made for the chosen `rows` only."""
     targets = np.column_stack([_doubles(bars, k) for k in names])
+    columns = {"target": targets}
+    if wanted <= {"target"}:
+        return columns
     with np.errstate(all="ignore"):
         sim = backtest.simulate_key(*(_doubles(bars, c) for c in ("open", "close")), targets,
                                     *(_doubles(bars, c) for c in ("buy_rate", "sell_rate", "per_sale")), cash=NOTIONAL)
         equity = np.round(sim["equity"], 4)
         ret = np.zeros_like(equity)
         ret[1:] = equity[1:] / equity[:-1] - 1.0
-    total, square = np.cumsum(ret, axis=0), np.cumsum(ret * ret, axis=0)
-    columns = {"target": targets, "held": sim["held"], "equity": equity, "ret": ret,
-               "sharpe_long": _window_sharpe(total, square, TRAIN), "sharpe_short": _window_sharpe(total, square, SHORT_TRAIN)}
-    if drift:
-        columns["cusum"] = _cusum(total, bars["bar"].to_numpy())
-    if refit_day is not None:
-        return _voted(bars, names, kept, columns, refit_day)
-    return bars.select(kept).append_column("runs", _beside({"rule": _named(names, len(bars)), **columns}, len(bars)))
+    columns |= {"held": sim["held"], "equity": equity, "ret": ret}
+    total = np.cumsum(ret, axis=0)
+    if wanted & {"sharpe_long", "sharpe_short"}:
+        square = np.cumsum(ret * ret, axis=0)
+        columns |= {"sharpe_long": _window_sharpe(total, square, TRAIN), "sharpe_short": _window_sharpe(total, square, SHORT_TRAIN)}
+    if "cusum" in wanted:
+        columns["cusum"] = _cusum(total, bars["bar"].to_numpy(), rows)
+    return columns
 
 
-def _voted(bars: pa.Table, names: list[str], kept: list[str], runs: dict[str, np.ndarray], refit_day: int) -> pa.Table:
-    """`vote_runs` of one ticker's ordered bars, from its runs: a row per bar, a column per rule."""
+def _refits(bars: pa.Table, refit_day: int) -> np.ndarray:
+    """Rows where weights are set."""
     bar, month_day = (bars[c].to_numpy() for c in ("bar", "month_day"))
-    k, size = len(names), bar + 1
-    due = (bar >= FIRST_BAR) & ((bar == FIRST_BAR) | (month_day == refit_day))
-    fitted = np.maximum.accumulate(np.where(due, np.arange(len(bar)), -1))
-    voting = np.nonzero(bar >= FIRST_BAR)[0]
-    at = fitted[voting]                                # the row of the fit in force
-    limited = size < FULL_HISTORY
-    train = np.where(limited, SHORT_TRAIN, TRAIN)
-    warm = np.array([rules.CATALOGUE[n].warmup for n in names])
-    few, early = limited[:, None] & (warm > size[:, None] / 3), warm + train[:, None] > size[:, None]
-    skipped = np.where(few, 0, np.where(early, 1, -1))
-    sharpe = np.where(skipped >= 0, np.nan, np.where(limited[:, None], runs["sharpe_short"], runs["sharpe_long"]))
-    styles = [rules.CATALOGUE[n].style for n in names]
-    mult, regimes = np.ones((len(bar), k)), bars["regime"].to_numpy()
-    for (label, kind), value in FIT.items():
-        mult[np.ix_(regimes == label, [s == kind for s in styles])] = value
-    target = runs["target"]
-    own = np.array([n == "sma_cross_long_short" for n in names]) & bars["allows_short"][0].as_py()
+    return (bar >= FIRST_BAR) & ((bar == FIRST_BAR) | (month_day == refit_day))
+
+
+def _ordered(bars: pa.Table, names: list[str]) -> tuple[pa.Table, list[str]]:
+    """One ticker's bars in order, and the rules that may vote on it."""
+    bars = bars.take(pc.sort_indices(bars, sort_keys=[("bar", "ascending")]))
+    return bars, [k for k in names if k != "sma_cross_long_short" or bars["allows_short"][0].as_py()]
+
+
+def _traded(bars: pa.Table, names: list[str], kept: list[str], fields: list[str], due: int | None = None) -> pa.Table:
+    """One ticker's bars in order, each with the rules' runs beside each other; with `due` those of that refit day.
+
+    A run is its rule traded alone over the whole history: net return per bar from the equity curve
+    rounded to 4 decimals, and its trailing figures.
+    """
+    bars, names = _ordered(bars, names)
+    chosen = None if due is None else _refits(bars, due)
+    columns = _trade(bars, names, set(fields), chosen)
+    if due is not None:
+        bars, columns = bars.take(pa.array(np.nonzero(chosen)[0])), {n: c[chosen] for n, c in columns.items()}
+    return bars.select(kept).append_column("runs", _beside({"rule": _named(names, len(bars)), **{n: columns[n] for n in fields}}, len(bars)))
+
+
+def _ended(bars: pa.Table, names: list[str], kept: list[str], fields: Iterable[str], function: Callable, types: pa.Schema) -> pa.Table:
+    bars, names = _ordered(bars, names)
+    columns = _trade(bars, names, set(fields))
+    pdf = bars.select(kept).to_pandas()
+    made = function(pdf.assign(rule=[names] * len(pdf), **{n: list(columns[n]) for n in fields}))
+    return pa.Table.from_pandas(made, schema=types, preserve_index=False)
+
+
+class _Votes:
+    """The votes of one ticker's ordered bars from the first signal on, from its runs: a row per bar, a column per rule."""
+
+    def __init__(self, bars: pa.Table, names: list[str], drift: bool, refit_day: int):
+        bar, k = bars["bar"].to_numpy(), len(names)
+        size, due = bar + 1, _refits(bars, refit_day)
+        runs = _trade(bars, names, {"sharpe_long", "sharpe_short", *(["cusum"] if drift else [])}, due)
+        fitted = np.maximum.accumulate(np.where(due, np.arange(len(bar)), -1))
+        self.names, self.rows = names, np.nonzero(bar >= FIRST_BAR)[0]
+        self.at = fitted[self.rows]                        # the row of the fit in force
+        self.limited = size < FULL_HISTORY
+        self.train = np.where(self.limited, SHORT_TRAIN, TRAIN)
+        warm, limited = np.array([rules.CATALOGUE[n].warmup for n in names]), self.limited[:, None]
+        few, early = limited & (warm > size[:, None] / 3), warm + self.train[:, None] > size[:, None]
+        self.skipped = np.where(few, 0, np.where(early, 1, -1))
+        self.sharpe = np.where(self.skipped >= 0, np.nan, np.where(limited, runs["sharpe_short"], runs["sharpe_long"]))
+        self.cusum = np.where((self.skipped >= 0) | limited, np.nan, runs["cusum"]) if drift else None
+        self.styles = [rules.CATALOGUE[n].style for n in names]
+        mult, regimes = np.ones((len(bar), k)), bars["regime"].to_numpy()
+        for (label, kind), value in FIT.items():
+            mult[np.ix_(regimes == label, [s == kind for s in self.styles])] = value
+        target = runs["target"]
+        own = np.array([n == "sma_cross_long_short" for n in names]) & bars["allows_short"][0].as_py()
+        self.target, self.multiplier = target[self.rows], mult[self.rows]
+        self.vote = np.where(own, target, 2.0 * target - 1.0)[self.rows]
+        self.weight = np.maximum(self.sharpe, 0.0)[self.at] + 0.0
+        self.eligible = self.skipped[self.at] < 0
+
 
-    def of_day(values) -> pa.Array:
-        return pa.chunked_array(values).combine_chunks().take(pa.array(np.repeat(at, k)))
+    def beside(self, bars: pa.Table, rows: np.ndarray) -> pa.Array:
+        """A list per chosen row of its votes, as `vote_runs` has them."""
+        k, at = len(self.names), self.at[rows]
 
-    columns = {"rule": _named(names, len(voting)), "target": target[voting], "fitted_on": of_day(bars["day"]), "fit_bar": of_day(bars["bar"]),
-               "limited": np.repeat(limited[at], k), "train_days": np.repeat(train[at], k).astype(np.int32),
-               "skipped": pa.array(["limited history", "warming up"]).take(pa.array(skipped[at].ravel(), mask=skipped[at].ravel() < 0)),
-               "train_sharpe": sharpe[at], "weight": np.maximum(sharpe, 0.0)[at] + 0.0}
-    if "cusum" in runs:
-        cusum = np.where((skipped >= 0) | limited[:, None], np.nan, runs["cusum"])
-        columns |= {"cusum": cusum[at], "drifting": (cusum >= THRESHOLD)[at]}
-    columns |= {"style": _named(styles, len(voting)), "multiplier": mult[voting], "vote": np.where(own, target, 2.0 * target - 1.0)[voting]}
-    return bars.select(kept).take(pa.array(voting)).append_column("votes", _beside(columns, len(voting)))
+        def of_day(values) -> pa.Array:
+            return pa.chunked_array(values).combine_chunks().take(pa.array(np.repeat(at, k)))
+
+        skipped = self.skipped[at].ravel()
+        columns = {"rule": _named(self.names, len(rows)), "target": self.target[rows], "fitted_on": of_day(bars["day"]),
+                   "fit_bar": of_day(bars["bar"]), "limited": np.repeat(self.limited[at], k),
+                   "train_days": np.repeat(self.train[at], k).astype(np.int32),
+                   "skipped": pa.array(["limited history", "warming up"]).take(pa.array(skipped, mask=skipped < 0)),
+                   "train_sharpe": self.sharpe[at], "weight": self.weight[rows]}
+        if self.cusum is not None:
+            columns |= {"cusum": self.cusum[at], "drifting": (self.cusum >= THRESHOLD)[at]}
+        columns |= {"style": _named(self.styles, len(rows)), "multiplier": self.multiplier[rows], "vote": self.vote[rows]}
+        return _beside(columns, len(rows))
+
+
+def _vote_type(day: T.DataType, bar: T.DataType, drift: bool) -> T.ArrayType:
+    double, flag, text = T.DoubleType(), T.BooleanType(), T.StringType()
+    vote = {"rule": text, "target": double, "fitted_on": day, "fit_bar": bar, "limited": flag, "train_days": T.IntegerType(),
+            "skipped": text, "train_sharpe": double, "weight": double, **({"cusum": double, "drifting": flag} if drift else {}),
+            "style": text, "multiplier": double, "vote": double}
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in vote.items()]))
+
+
+def _voted(bars: pa.Table, names: list[str], kept: list[str], drift: bool, refit_day: int) -> pa.Table:
+    """`vote_runs` of one ticker's bars."""
+    bars, names = _ordered(bars, names)
+    v = _Votes(bars, names, drift, refit_day)
+    return bars.select(kept).take(pa.array(v.rows)).append_column("votes", v.beside(bars, np.arange(len(v.rows))))
+
+
+def _latest(v: _Votes, bars: pa.Table) -> pa.Array:
+    """The votes of the last day; null on the days before."""
+    day = bars["day"].combine_chunks().take(pa.array(v.rows))
+    last = np.nonzero(pc.equal(day, day[-1]).to_numpy(zero_copy_only=False))[0] if len(day) and day[-1].is_valid else np.zeros(0, dtype=int)
+    votes = v.beside(bars, last)
+    return pa.concat_arrays([pa.nulls(len(day) - len(last), votes.type), votes])
+
+
+#: Columns of days for `rule_runs` with `signal`: what the rules held, and the last day's votes.
+TARGETS = {"targets": (T.ArrayType(T.DoubleType()), lambda v, bars: _lists(v.target))}
+LATEST = {"votes": (_vote_type(T.DateType(), T.IntegerType(), False), _latest)}
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def carried(said: np.ndarray) -> np.ndarray:
+    """What was said last, row by row, where NaN says nothing; 0 at first."""
+    last = np.maximum.accumulate(np.where(np.isnan(said), -1, np.arange(len(said))))
+    return np.where(last >= 0, said[last], 0.0)
+
+
+def between(score: np.ndarray) -> np.ndarray:
+    """What a score says: in at BUY, out at SELL, otherwise nothing (NaN)."""
+    return np.where(score >= BUY_AT, 1.0, np.where(score <= SELL_AT, 0.0, np.nan))
+
+
+def mean_vote(weight: np.ndarray, vote: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each row's votes on 12 decimals, and the weight behind it; NaN weighs nothing."""
+    w = np.nan_to_num(weight)
+    den = w.sum(axis=1)
+    with np.errstate(all="ignore"):
+        return np.round(np.where(den > 0, (w * vote).sum(axis=1) / den, 0.0), 12) + 0.0, den
+
+
+#: A signal's own columns beside those of its bar (DAILY), as they follow these.
+SIGNAL = {"limited": "boolean", "train_days": "int", "fitted_on": "date", "eligible": "bigint", "counted": "bigint",
+          "left_out": "bigint", "score": "double", "decision": "string", "position": "double"}
+
+
+def _signalled(bars: pa.Table, names: list[str], kept: list[str], refit_day: int, more: dict) -> pa.Table:
+    """`signals` of the votes of one ticker's bars, with the columns of `more` made from the same votes."""
+    bars, names = _ordered(bars, names)
+    v = _Votes(bars, names, False, refit_day)
+    score, den = mean_vote(v.weight * v.multiplier, v.vote)
+    said = between(score)
+    at = pa.array(v.at)
+    columns = {"limited": v.limited[v.at], "train_days": v.train[v.at].astype(np.int32), "fitted_on": bars["day"].combine_chunks().take(at),
+               "eligible": (~np.isnan(v.sharpe[v.at])).sum(axis=1), "counted": (v.weight > 0).sum(axis=1), "left_out": (~v.eligible).sum(axis=1),
+               "score": score, "decision": pa.array(["HOLD", "BUY", "SELL"]).take(pa.array(np.where(said == 1, 1, np.where(said == 0, 2, 0)))),
+               "position": carried(said), **{n: make(v, bars) for n, (_, make) in more.items()}}
+    out = bars.select(kept).take(pa.array(v.rows))
+    for name, values in {"_den": den, **columns}.items():
+        values = values if isinstance(values, pa.Array) else pa.array(values)
+        out = out.add_column(3, name, values) if name == "_den" else out.append_column(name, values)
+    return out
 
 
 def _named(names: list[str], rows: int) -> pa.Array:
@@ -149,28 +275,42 @@ def _doubles(table: pa.Table, name: str) -> np.ndarray:
     return pc.cast(table[name], pa.float64()).to_numpy()
 
 
-def rule_runs(wide: DataFrame, names=None, drift: bool = True, refit_day: int | None = None) -> DataFrame:
+def rule_runs(wide: DataFrame, names=None, drift: bool = True, refit_day: int | None = None, fields: Iterable[str] | None = None,
+              due: int | None = None, signal: dict | None = None, ended: tuple[Callable, str] | None = None) -> DataFrame:
     """One row per bar, `runs` holding each rule traded alone with its trailing figures.
 
     A ticker's bars are bounded and read once for all rules, so each ticker is one Arrow table; a
-    bar's prices, costs and regime leave the task once, not once per rule. With a `refit_day` the same
-    task goes on to the votes: the rows are those of `vote_runs`, and no run leaves it.
+    bar's prices, costs and regime leave the task once, not once per rule. Of the runs, the figures named in
+    `fields` leave it (without, all); with `due`, only the rows on which weights are set by that refit day.
+    With a `refit_day` the same task goes on to the votes: the rows are those of `vote_runs`, and no run leaves
+    it. With `signal` it goes on to the signals, and no vote leaves it either: `signal` names further columns
+    of the day and for each its type and what makes it of the ticker's votes. With `ended`, a function and the
+    schema of its rows, only what it makes of a ticker's ordered bars and runs (pandas) leaves the task.
     """
     names = list(names or VOTERS)
     kept = ["ticker", "day", "bar", "month_day", "allows_short", *[c for c in DAILY if c in wide.columns]]
-    fields = ["target", "held", "equity", "ret", "sharpe_long", "sharpe_short", *(["cusum"] if drift else [])]
-    run = T.StructType([T.StructField("rule", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in fields)])
     rows = wide.select(*kept, *names)
-    made = T.StructField("runs", T.ArrayType(run))
+    double = T.DoubleType()
+
+    def schema(*added: T.StructField) -> T.StructType:
+        return T.StructType([rows.schema[c] for c in kept] + list(added))
+
+    if signal is not None:
+        kept = [c for c in kept if c not in ("month_day", "allows_short")]
+        made = [*T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in SIGNAL.items())), *[T.StructField(n, t) for n, (t, _) in signal.items()]]
+        whole = schema(*made).fields
+        whole = T.StructType([*whole[:3], T.StructField("_den", double), *whole[3:]])
+        return rows.groupBy("ticker").applyInArrow(lambda bars: _signalled(bars, names, kept, refit_day or 0, signal), whole)
     if refit_day is not None:
         kept.remove("month_day")
-        double, flag, text = T.DoubleType(), T.BooleanType(), T.StringType()
-        vote = {"rule": text, "target": double, "fitted_on": rows.schema["day"].dataType, "fit_bar": rows.schema["bar"].dataType,
-                "limited": flag, "train_days": T.IntegerType(), "skipped": text, "train_sharpe": double, "weight": double,
-                **({"cusum": double, "drifting": flag} if drift else {}), "style": text, "multiplier": double, "vote": double}
-        made = T.StructField("votes", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in vote.items()])))
-    schema = T.StructType([rows.schema[c] for c in kept] + [made])
-    return rows.groupBy("ticker").applyInArrow(lambda bars: _traded(bars, names, kept, drift, refit_day), schema)
+        made = T.StructField("votes", _vote_type(rows.schema["day"].dataType, rows.schema["bar"].dataType, drift))
+        return rows.groupBy("ticker").applyInArrow(lambda bars: _voted(bars, names, kept, drift, refit_day), schema(made))
+    if ended is not None:
+        function, types = ended[0], to_arrow_schema(T.StructType.fromDDL(ended[1]))
+        return rows.groupBy("ticker").applyInArrow(lambda bars: _ended(bars, names, kept, fields, function, types), ended[1])
+    held = [n for n in FIGURES if n in (FIGURES if fields is None else set(fields)) and (drift or n != "cusum")]
+    run = T.StructType([T.StructField("rule", T.StringType()), *(T.StructField(n, double) for n in held)])
+    return rows.groupBy("ticker").applyInArrow(lambda bars: _traded(bars, names, kept, held, due), schema(T.StructField("runs", T.ArrayType(run))))
 
 
 def run_rows(runs: DataFrame) -> DataFrame:
@@ -190,9 +330,9 @@ def _before(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([np.zeros((min(n, len(x)), *x.shape[1:])), x[:max(0, len(x) - n)]])
 
 
-def _cusum(total: np.ndarray, bar: np.ndarray) -> np.ndarray:
-    """The drift statistic at each row, NaN where the history is too short or does not vary.
-    `total` has a row per bar and, for runs beside each other, a column per run."""
+def _cusum(total: np.ndarray, bar: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """The drift statistic at each of the chosen `rows` (without, all), NaN where the history is too short or
+    does not vary. `total` has a row per bar and, for runs beside each other, a column per run."""
     out = np.full(total.shape, np.nan)
     if len(bar) == 0 or bar.max() + 1 < MIN_HISTORY + RECENT:
         return out
@@ -202,10 +342,12 @@ def _cusum(total: np.ndarray, bar: np.ndarray) -> np.ndarray:
     # Blocks of 5 returns ending at a bar are rows 5 apart: one phase of the bar number.
     for phase in range(BLOCK):
         at = np.nonzero(bar % BLOCK == phase)[0]
-        if not len(at):
+        chosen = slice(None) if rows is None else np.nonzero(rows[at])[0]
+        if not len(at[chosen]):
             continue
         padded = np.concatenate([np.full((recent + history - 1, *total.shape[1:]), np.nan), five[at]])
-        spans = np.lib.stride_tricks.sliding_window_view(padded, recent + history, axis=0)
+        spans = np.lib.stride_tricks.sliding_window_view(padded, recent + history, axis=0)[chosen]
+        at = at[chosen]
         past, known = spans[..., :history], ~np.isnan(spans[..., :history])
         n = known.sum(axis=-1)
         with np.errstate(all="ignore"):
@@ -296,6 +438,8 @@ def vote_runs(runs: DataFrame, refit_day: int = 0) -> DataFrame:
     The rules of a ticker are refitted on the same days, so their fits travel along the days together.
     Runs made with a refit day have been fitted and have voted in their own pass: nothing is shuffled.
     """
+    if "decision" in runs.columns:                        # gone on to the signals
+        return runs
     if "votes" in runs.columns:
         return runs.select("ticker", "day", "bar", "allows_short", *DAILY, "votes")
     w = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
@@ -349,12 +493,7 @@ def positions_of_schedules(bars: pd.DataFrame, refit_days: list[int]) -> np.ndar
         due = (size > FIRST_BAR) & ((size == FIRST_BAR + 1) | (month_day == day))
         fitted = np.maximum.accumulate(np.where(due, rows, -1))
         w = np.where(fitted[:, None] >= 0, weight[fitted], 0.0) * mult
-        den = w.sum(axis=1)
-        with np.errstate(all="ignore"):
-            score = np.round(np.where(den > 0, (w * vote).sum(axis=1) / den, 0.0), 12)
-        said = np.where(fitted < 0, np.nan, np.where(score >= BUY_AT, 1.0, np.where(score <= SELL_AT, 0.0, np.nan)))
-        last = np.maximum.accumulate(np.where(np.isnan(said), -1, rows))
-        out.append(np.where(last >= 0, said[last], 0.0))
+        out.append(carried(np.where(fitted < 0, np.nan, between(mean_vote(w, vote)[0]))))
     return np.column_stack(out)
 
 
@@ -366,7 +505,10 @@ def hold_between(score: Column, w) -> Column:
 
 
 def signals(votes: DataFrame, drift_downweight: bool = False) -> DataFrame:
-    """Score, decision and position per ticker and day, each from its own row's votes."""
+    """Score, decision and position per ticker and day, each from its own row's votes.
+    Votes of a pass that went on to the signals have been counted there."""
+    if "decision" in votes.columns:
+        return votes
     def weight(x: Column) -> Column:
         plain = x["weight"] * x["multiplier"]
         return plain * F.when(F.coalesce(x["drifting"], F.lit(False)), DOWNWEIGHT).otherwise(1.0) if drift_downweight else plain
@@ -397,10 +539,10 @@ def walk_forward(bars: DataFrame, regime_rule: str = "slope", refit_day: int = 0
     return v, signals(v, drift_downweight)
 
 
-def voting_runs(bars: DataFrame, regime_rule: str = "slope", drift: bool = False, refit_day: int | None = None) -> DataFrame:
-    """Every voter's runs with trailing figures and the regime label, or with a `refit_day` their votes."""
+def voting_runs(bars: DataFrame, regime_rule: str = "slope", drift: bool = False, refit_day: int | None = None, **options) -> DataFrame:
+    """Every voter's runs with trailing figures and the regime label, or what `rule_runs` goes on to from them."""
     wide = rule_targets(bars).withColumn("regime", regime.classify(regime_rule))
-    return rule_runs(wide, drift=drift, refit_day=refit_day)
+    return rule_runs(wide, drift=drift, refit_day=refit_day, **options)
 
 
 def evidence(signal_rows: DataFrame) -> DataFrame:

@@ -28,8 +28,7 @@ def query(name, sql=None):
 
 
 def positions_table(spark, sf):
-    return written(spark, sf, "ensemble_positions",
-                   lambda: ensembles.ensemble_positions(base.vote_table(spark, sf)))
+    return ensembles.ensemble_positions(base.day_table(spark, sf))
 
 
 def position_rows(spark, sf):
@@ -46,7 +45,8 @@ def _entry(name, value, target):
 def metric_rows(spark, sf):
     """Figures of every ensemble and of holding over the evaluated window."""
     def make():
-        days = base.window_table(spark, sf).select("ticker", "day", *_PRICED).join(positions_table(spark, sf), ["ticker", "day"])
+        # The window holds its days' positions: they are named, not joined to it.
+        days = base.window_table(spark, sf).withColumn("runs", ensembles.position_runs())
         said = F.transform("runs", lambda x: _entry("ensemble", x["ensemble"], x["position"]))
         held = F.array(_entry("ensemble", F.lit("buy_and_hold"), F.lit(1.0)))
         return ensembles.full_metrics(days.withColumn("runs", F.concat(said, held)), "ensemble")
@@ -143,7 +143,7 @@ C.add("rule_corr", _corr_rows("wide_ret", "ticker"))
 
 @query("rule_correlation", f"SELECT ticker, e.a AS rule_a, e.b AS rule_b, {r('e.v', 5, 'corr')} FROM rule_corr")
 def _corr(spark, sf):
-    wide = ensembles.wide_returns(base.runs_table(spark, sf))
+    wide = ensembles.wide_returns(base.traded(spark, sf, fields=("ret",)))
     return rounded(ensembles.correlations(wide, ["ticker"]), {"corr": 5})
 
 
@@ -151,15 +151,14 @@ def _corr(spark, sf):
   SELECT e.a AS rule_a, e.b AS rule_b, {r('avg(e.v)', 6, 'corr')}, count(e.v) AS tickers,
     coalesce(avg(e.v) > 0.8, false) AS redundant FROM rule_corr GROUP BY 1, 2""")
 def _average(spark, sf):
-    wide = ensembles.wide_returns(base.runs_table(spark, sf))
+    wide = ensembles.wide_returns(base.traded(spark, sf, fields=("ret",)))
     return rounded(ensembles.average_correlation(ensembles.correlations(wide, ["ticker"])), {"corr": 6})
 
 
 def cluster_table(spark, sf):
     def make():
-        runs = base.runs_table(spark, sf)
-        f = signals.fits(runs)
-        pairs = ensembles.refit_correlations(ensembles.wide_returns(runs), f)
+        f = written(spark, sf, "fits", lambda: signals.fits(base.fit_runs(spark, sf)))
+        pairs = ensembles.refit_correlations(ensembles.wide_returns(base.traded(spark, sf, fields=("ret",))), f)
         return ensembles.clusters(f, pairs)
     return written(spark, sf, "clusters", make)
 
@@ -180,7 +179,7 @@ def _variant(spark, sf):
 
 @query("variant_one_vote_per_cluster")
 def _cluster_variant(spark, sf):
-    v = ensembles.variant_positions(base.votes_table(spark, sf), leader_rows=cluster_table(spark, sf))
+    v = ensembles.variant_positions(base.vote_table(spark, sf), leader_rows=cluster_table(spark, sf))
     return rounded(v.select("ticker", "day", "score", "position"), {"score": 6})
 
 
@@ -206,8 +205,9 @@ _round_equity("rule_net")
   SELECT ticker, rule, sharpe, cagr FROM m
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY coalesce(sharpe, -1e300) DESC, rule DESC) = 1""")
 def _hindsight(spark, sf):
-    days = base.window_table(spark, sf).select("ticker", "day")
-    runs = base.runs_table(spark, sf).select("ticker", "day", *_PRICED, F.transform(
-        "runs", lambda x: _entry("rule", x["rule"], x["target"])).alias("runs")).join(days, ["ticker", "day"])
+    # The window holds what each of its days' rules held, in the voters' order; some may not vote on every market.
+    names = [k for k in signals.VOTERS if k != "sma_cross_long_short"]
+    named = F.when(F.size("targets") == len(signals.VOTERS), F.array(*map(F.lit, signals.VOTERS))).otherwise(F.array(*map(F.lit, names)))
+    runs = base.window_table(spark, sf).withColumn("runs", F.zip_with(named, "targets", lambda k, x: _entry("rule", k, x)))
     best = ensembles.best_in_hindsight(ensembles.full_metrics(runs, "rule"))
     return rounded(best, {"sharpe": 4, "cagr": 4})

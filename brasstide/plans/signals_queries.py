@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brasstide.operators import analytics, assessment, backtest, rules, signals
+from brasstide.operators import analytics, assessment, backtest, ensembles, rules, signals
 from brasstide.plans.market_sql import C, EXCHANGE, RISK, STATS, simulate
 from brasstide.plans.shared import rounded
 from brasstide.plans.sqltext import r
@@ -24,25 +24,42 @@ def query(name, sql=None):
 
 # -- shared tables: computed once per application, then scanned ---------------------------------
 
-def runs_table(spark, sf):
-    return written(spark, sf, "voting_runs", lambda: signals.voting_runs(bars(spark, sf), drift=True))
+def traded(spark, sf, **options):
+    """What `signals.rule_runs` makes of the bars; not stored: of a bar's runs only what is asked for leaves the task."""
+    return signals.voting_runs(bars(spark, sf), **options)
+
+
+def fit_runs(spark, sf):
+    """The runs on refit rows."""
+    return traded(spark, sf, drift=True, fields=("sharpe_long", "sharpe_short", "cusum"), due=0)
 
 
 def vote_table(spark, sf):
-    """Made from the bars: of the runs only the votes are kept, so that table is neither written nor shuffled here."""
-    return written(spark, sf, "votes", lambda: signals.vote_runs(signals.voting_runs(bars(spark, sf), drift=True, refit_day=0)))
+    """Made from the bars: of the runs only the votes are kept."""
+    return written(spark, sf, "votes", lambda: signals.vote_runs(traded(spark, sf, drift=True, refit_day=0)))
 
 
 def votes_table(spark, sf):
     return signals.vote_rows(vote_table(spark, sf))
 
 
+def day_table(spark, sf):
+    """The signals, and of the same votes what the rules and the ensembles hold, the last day's votes, and the
+    evaluated window, which is read from here and not stored again."""
+    return written(spark, sf, "signals", lambda: signals.signals(signals.vote_runs(traded(
+        spark, sf, refit_day=0, signal={**signals.TARGETS, **ensembles.POSITIONS, **signals.LATEST, **assessment.WINDOW}))))
+
+
 def signals_table(spark, sf):
-    return written(spark, sf, "signals", lambda: signals.signals(vote_table(spark, sf)))
+    return day_table(spark, sf).drop("targets", "ensembles", "votes", *assessment.WINDOW)
+
+
+def last_votes(spark, sf):
+    return signals.vote_rows(day_table(spark, sf).filter("votes IS NOT NULL").select("ticker", "day", "bar", "votes"))
 
 
 def window_table(spark, sf):
-    return written(spark, sf, "assessed", lambda: assessment.window(signals_table(spark, sf)))
+    return assessment.window(day_table(spark, sf).drop("votes"))
 
 
 # -- the same chain in SQL ---------------------------------------------------------------------
@@ -128,7 +145,7 @@ def _candidates(spark, sf):
     {r('sh', 6, 'train_sharpe')}, {r('CASE WHEN sh IS NOT NULL THEN greatest(sh, 0) END', 6, 'weight')}
   FROM voter_fit WHERE due""")
 def _fits(spark, sf):
-    f = signals.fits(runs_table(spark, sf)).drop("cusum", "drifting")
+    f = signals.fits(fit_runs(spark, sf)).drop("cusum", "drifting")
     return rounded(f, {"train_sharpe": 6, "weight": 6})
 
 
@@ -166,7 +183,7 @@ C.add("drift_z", """
   SELECT ticker, rule, day AS fitted_on, round(greatest(max(s), 0), 3) + 0.0 AS cusum, greatest(max(s), 0) >= 4 AS drifting
   FROM sums GROUP BY ticker, rule, day""")
 def _drift(spark, sf):
-    f = signals.fits(runs_table(spark, sf)).filter(F.col("cusum").isNotNull())
+    f = signals.fits(fit_runs(spark, sf)).filter(F.col("cusum").isNotNull())
     return rounded(f.select("ticker", "rule", "fitted_on", "cusum", "drifting"), {"cusum": 3})
 
 
@@ -206,7 +223,7 @@ C.add("last_votes", """
     {r('train_sharpe', 4, 'train_sharpe')}, {r('weight', 4, 'weight')}, mult AS regime_multiplier,
     {r('share', 4, 'share_of_vote')} FROM last_votes""")
 def _shares(spark, sf):
-    return rounded(signals.latest_votes(votes_table(spark, sf)), {"share_of_vote": 4, "train_sharpe": 4, "weight": 4})
+    return rounded(signals.latest_votes(last_votes(spark, sf)), {"share_of_vote": 4, "train_sharpe": 4, "weight": 4})
 
 
 @query("signal_switches", """
@@ -336,7 +353,9 @@ def _watchlist(spark, sf):
 
 @query("refit_day_spread")
 def _refit_days(spark, sf):
-    return assessment.refit_spread(runs_table(spark, sf), range(0, 20))
+    days = range(0, 20)
+    runs = traded(spark, sf, fields=("target", "sharpe_long", "sharpe_short"), ended=assessment.schedule_figures(days))
+    return assessment.refit_spread(runs, days)
 
 
 @query("signal_report")
@@ -347,7 +366,7 @@ def _report(spark, sf):
     marks = signals.switches(signals_table(spark, sf)).groupBy("ticker").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("day").cast("string"), "action"))), ", ")
         .alias("markers"))
-    top = (signals.latest_votes(votes_table(spark, sf)).filter("rank <= 4").groupBy("ticker")
+    top = (signals.latest_votes(last_votes(spark, sf)).filter("rank <= 4").groupBy("ticker")
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rule"))),
                                          lambda x: x["rule"]), ", ").alias("heaviest_rules")))
     return (ev.join(v.select("ticker", "verdict", "statement"), "ticker", "left")
