@@ -8,8 +8,12 @@ sale), so a run's equity is a product window and a sum window; no run is walked
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from brasstide.functions.markets import DeliveryRates
@@ -35,12 +39,25 @@ def _legs(df: DataFrame, w) -> DataFrame:
                            "_buy": bought + sold - selling})
 
 
-def simulate(runs: DataFrame, keys: list[str], order: str = "day", cash: float = START_CASH,
-             slippage_bps: float | Column = SLIPPAGE_BPS) -> DataFrame:
+@dataclass(frozen=True)
+class Beside:
+    """Runs that share their bars: `rows` has a target column for each of `labels`, and what `simulate` needs of a
+    bar. They are traded in the pass that takes their figures, so neither a bar nor an equity is repeated for a run."""
+
+    rows: DataFrame
+    labels: list[str]
+    cash: float = START_CASH
+    slippage_bps: float = SLIPPAGE_BPS
+
+
+def simulate(runs: DataFrame | Beside, keys: list[str], order: str = "day", cash: float = START_CASH,
+             slippage_bps: float | Column = SLIPPAGE_BPS) -> DataFrame | Beside:
     """Equity, position and costs per bar.
 
     `runs` needs keys, `order`, open, close, target, buy_rate, sell_rate, per_sale.
     """
+    if isinstance(runs, Beside):
+        return replace(runs, cash=cash, slippage_bps=slippage_bps)
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     slip = slippage_bps if isinstance(slippage_bps, Column) else F.lit(slippage_bps / 1e4)
@@ -88,7 +105,38 @@ def simulate_key(open_: np.ndarray, close: np.ndarray, targets: np.ndarray, buy_
     growth = np.cumprod(np.where(np.isnan(factor), 1.0, factor), axis=0)
     charge = np.where(fixed > 0, -fixed * day / growth, 0.0)
     equity = growth * (cash + np.cumsum(np.where(np.isnan(charge), 0.0, charge), axis=0))
-    return {"held": held, "equity": equity, "fee": _later(equity, 1, cash) * night * share + fixed}
+    before = _later(equity, 1, cash) * night
+    return {"held": held, "equity": equity, "fee": before * share + fixed, "was": was, "moved": moved, "selling": selling,
+            "fixed": fixed, "before": before}
+
+
+def simulate_levels(open_: np.ndarray, close: np.ndarray, levels: np.ndarray, code: np.ndarray, buy_rate: np.ndarray, sell_rate: np.ndarray,
+                    per_sale: np.ndarray, cash: float = START_CASH, slippage_bps: float = SLIPPAGE_BPS) -> dict[str, np.ndarray]:
+    """Equity, position and fees of `simulate_key` for many runs whose targets, `levels[code]`, are few levels, as in
+    and out: what a bar does to a run hangs on what it holds and held before, so it is worked out once per bar and
+    pair of levels. `levels` are in order, 0 among them."""
+    k = len(levels)
+    if k > 4:
+        return simulate_key(open_, close, levels[code], buy_rate, sell_rate, per_sale, cash, slippage_bps)
+    zero, code = np.searchsorted(levels, 0.0), code.astype(np.int32)
+    now, before = (np.concatenate([np.full((min(n, len(code)), code.shape[1]), zero, dtype=np.int32), code[:max(0, len(code) - n)]]) for n in (1, 2))
+    was, held = (x.ravel()[None, :] for x in np.meshgrid(levels, levels, indexing="ij"))
+    bought, sold = np.maximum(0.0, held - was), np.maximum(0.0, was - held)
+    selling = np.minimum(sold, np.maximum(was, 0.0)) + np.minimum(bought, np.maximum(-was, 0.0))
+    moved = bought + sold
+    night = 1.0 + was * (open_ / _later(close, 1, np.nan) - 1.0)[:, None]
+    day = 1.0 + held * (close / open_ - 1.0)[:, None]
+    night[:1] = day[:1] = 1.0
+    share = selling * sell_rate[:, None] + (moved - selling) * buy_rate[:, None] + moved * (slippage_bps / 1e4)
+    fixed = np.where(selling > 0, per_sale[:, None], 0.0)
+    factor = night * (1.0 - share) * day
+    at = before * np.int32(k) + now + np.arange(len(code), dtype=np.int32)[:, None] * np.int32(k * k)
+    growth = np.cumprod(np.where(np.isnan(factor), 1.0, factor).ravel().take(at), axis=0)
+    equity = growth * cash
+    if (fixed > 0).any():
+        charge = np.where(fixed > 0, -fixed * day, 0.0).ravel().take(at) / growth
+        equity = growth * (cash + np.cumsum(np.where(np.isnan(charge), 0.0, charge), axis=0))
+    return {"held": levels[now], "equity": equity, "fee": _later(equity, 1, cash) * (night * share).ravel().take(at) + fixed.ravel().take(at)}
 
 
 def risk_figures(equity: np.ndarray, held: np.ndarray) -> dict[str, np.ndarray]:
@@ -241,8 +289,72 @@ def run_stats(simulated: DataFrame, keys: list[str], order: str = "day") -> Data
         *_equity_aggs(order)))
 
 
-def backtest_stats(simulated: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
+def _trade_figures(sim: dict[str, np.ndarray], open_: np.ndarray, buy_rate: np.ndarray, sell_rate: np.ndarray, per_sale: np.ndarray,
+                   slip: float) -> dict[str, np.ndarray]:
+    """The trade figures of `backtest_stats` for runs beside each other (`simulate_key`)."""
+    open_, buy_rate, sell_rate, per_sale = (x[:, None] for x in (open_, buy_rate, sell_rate, per_sale))
+    side, before = np.sign(sim["held"]), np.sign(sim["was"])
+    opens, closes = (side != before) & (side != 0), (side != before) & (before != 0)
+    sale = sim["before"] * sim["selling"] * sell_rate + sim["fixed"]
+    purchase = sim["before"] * (sim["moved"] - sim["selling"]) * buy_rate
+    stake = (sim["before"] - sim["fee"]) * np.abs(sim["held"])
+    own = np.where(side > 0, stake * buy_rate, stake * sell_rate + np.where(stake != 0, per_sale, 0.0))
+    fees_in = np.where(opens & closes, own, np.where(side > 0, purchase, sale))
+    fees_out = np.where(before > 0, sale, purchase)
+    # The entry is the last opening before the bar that closes.
+    last = np.maximum.accumulate(np.where(opens, np.arange(len(opens))[:, None], -1), axis=0)
+    at = np.maximum(np.concatenate([np.full((1, last.shape[1]), -1), last[:-1]]), 0)
+    price, fees, put = (np.take_along_axis(x, at, axis=0) for x in (open_ * (1 + side * slip), fees_in, stake))
+    net = np.where(closes, before * (open_ * (1 - before * slip) / price - 1) - (fees + fees_out) / (put + fees), np.nan)
+    closed = (~np.isnan(net)).sum(axis=0)
+    return {"trades": opens.sum(axis=0), "closed_trades": closes.sum(axis=0), "win_rate": (net > 0).sum(axis=0) / closed,
+            "average_trade_return": np.nansum(net, axis=0) / closed}
+
+
+def _stats_beside(runs: Beside, keys: list[str], order: str) -> DataFrame:
+    """`backtest_stats` of runs beside each other; `keys` are those of a bar and the name of a run."""
+    *by, name = keys
+    labels, cash, bps = list(runs.labels), runs.cash, runs.slippage_bps
+    figures = ["_v0", "final_equity", "annualised_volatility", "max_drawdown", "exposure", "turnover", "costs_paid",
+               "win_rate", "average_trade_return"]
+    rows = runs.rows.select(*by, order, "open", "close", "buy_rate", "sell_rate", "per_sale", *labels)
+    schema = T.StructType([*[rows.schema[k] for k in by], T.StructField(name, T.StringType()), T.StructField("_n", T.LongType()),
+                           *[T.StructField(n, T.DoubleType()) for n in figures],
+                           *[T.StructField(n, T.LongType()) for n in ("trades", "closed_trades")]])
+
+    def per_key(bars: pa.Table) -> pa.Table:
+        bars = bars.take(pc.sort_indices(bars, sort_keys=[(order, "ascending")], null_placement="at_start"))
+
+        def doubles(column: str) -> np.ndarray:
+            return pc.cast(bars[column], pa.float64()).to_numpy()
+
+        open_, close, *rates = (doubles(c) for c in ("open", "close", "buy_rate", "sell_rate", "per_sale"))
+        with np.errstate(all="ignore"):
+            sim = simulate_key(open_, close, np.column_stack([doubles(k) for k in labels]), *rates, cash=cash, slippage_bps=bps)
+            equity, n, k = sim["equity"], len(bars) - 1, len(labels)
+            none = np.full(k, np.nan)
+            r = equity[1:] / equity[:-1] - 1.0
+            known = np.nonzero(pc.is_valid(bars[order]).to_numpy())[0]
+            first, last = (equity[known[0]], equity[known[-1]]) if len(known) else (none, none)
+            found = {"_n": np.full(k, n), "_v0": first, "final_equity": last,
+                     "annualised_volatility": r.std(axis=0, ddof=1) * TRADING_DAYS ** 0.5 if n > 1 else none,
+                     "max_drawdown": (equity / np.maximum.accumulate(equity, axis=0) - 1.0).min(axis=0),
+                     "exposure": (np.abs(sim["held"][1:]) > 0).mean(axis=0) if n else none,
+                     "turnover": sim["moved"].sum(axis=0), "costs_paid": np.nansum(sim["fee"], axis=0),
+                     **_trade_figures(sim, open_, *rates, bps / 1e4)}
+        whole = [bars[c].combine_chunks().take(pa.array(np.zeros(k, dtype=int))) for c in by]
+        return pa.table([*whole, pa.array(labels), *[pa.array(found[f.name], from_pandas=True) for f in schema.fields[len(by) + 1:]]],
+                        names=schema.names)
+
+    made = rows.groupBy(*by).applyInArrow(per_key, schema)
+    last = ["trades", "closed_trades", "win_rate", "average_trade_return"]
+    return _equity_figures(made.select(*keys, "_n", *[n for n in figures if n not in last], *last))
+
+
+def backtest_stats(simulated: DataFrame | Beside, keys: list[str], order: str = "day") -> DataFrame:
     """Equity and trade figures together, in one pass over the simulated bars."""
+    if isinstance(simulated, Beside):
+        return _stats_beside(simulated, keys, order)
     w = Window.partitionBy(*keys).orderBy(order)
     df = _fills(_with_returns(simulated, keys, order))
     entry = F.when(F.col("_opens"), F.struct(

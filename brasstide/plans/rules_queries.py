@@ -173,18 +173,25 @@ simulate("all_sim", "market_runs", "ticker, rule", 10000.0)
 _trade_sql("all_sim", "ticker, rule")
 
 
+def _all_wide(spark, sf):
+    return markets.with_market_costs(markets.with_market(_wide(spark, sf)))
+
+
+def _allowed(target):
+    """A market without overnight shorts turns a short into flat."""
+    return F.when(F.col("allows_short"), F.col(target)).otherwise(F.greatest(target, F.lit(0.0)))
+
+
 def _all_runs(spark, sf):
-    wide = markets.with_market_costs(markets.with_market(_wide(spark, sf)))
     carry = ["ticker", "day", "open", "close", "allows_short", "buy_rate", "sell_rate", "per_sale"]
-    runs = rules.long_targets(wide, list(rules.CATALOGUE), carry)
-    # A market without overnight shorts turns a short into flat.
-    return runs.withColumn("target", F.when(F.col("allows_short"), F.col("target")).otherwise(
-        F.greatest("target", F.lit(0.0))))
+    runs = rules.long_targets(_all_wide(spark, sf), list(rules.CATALOGUE), carry)
+    return runs.withColumn("target", _allowed("target"))
 
 
 @query("backtest_all_rules", _stats_sql("all_sim", "ticker, rule"))
 def _all_stats(spark, sf):
-    return rounded(backtest.backtest_stats(backtest.simulate(_all_runs(spark, sf), RUN), RUN), _FIGURES)
+    runs = backtest.Beside(_all_wide(spark, sf).withColumns({k: _allowed(k) for k in rules.CATALOGUE}), list(rules.CATALOGUE))
+    return rounded(backtest.backtest_stats(backtest.simulate(runs, RUN), RUN), _FIGURES)
 
 
 @query("trade_list", f"""
