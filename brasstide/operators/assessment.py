@@ -78,16 +78,22 @@ def risk(curve_rows: DataFrame) -> DataFrame:
                                  ["ticker", "run"])
 
 
-def index_curve(rows: DataFrame, bars: DataFrame) -> DataFrame:
-    """The ticker's benchmark index held, free of cost, from the window's first day."""
-    from brasstide.functions.markets import benchmark_bars, with_market
+def index_starts(rows: DataFrame) -> DataFrame:
+    """(ticker, benchmark, day0): each ticker's index and the first day of its window."""
+    from brasstide.functions.markets import with_market
+    return with_market(rows.groupBy("ticker").agg(F.min("day").alias("day0"))).select("ticker", "benchmark", "day0")
+
+
+def index_curve(starts: DataFrame, bars: DataFrame) -> DataFrame:
+    """The benchmark index held, free of cost, from a first day on: a curve for every (benchmark, day0) of `starts`.
+    Tickers that share both share the curve, so there are no more than an index has days."""
+    from brasstide.functions.markets import benchmark_bars
     from brasstide.operators.rules import adjusted_prices
-    starts = with_market(rows.groupBy("ticker").agg(F.min("day").alias("day0")))
     index = adjusted_prices(benchmark_bars(bars)).select(F.col("ticker").alias("benchmark"), "day", "open", "close")
-    runs = starts.join(index, "benchmark").filter(F.col("day") >= F.col("day0"))
+    runs = starts.select("benchmark", "day0").distinct().join(index, "benchmark").filter(F.col("day") >= F.col("day0"))
     runs = runs.withColumns({"target": F.lit(1.0), "buy_rate": F.lit(0.0),
                              "sell_rate": F.lit(0.0), "per_sale": F.lit(0.0)})
-    out = backtest.simulate(runs, ["ticker"], cash=NOTIONAL, slippage_bps=0.0)
+    out = backtest.simulate(runs, ["benchmark", "day0"], cash=NOTIONAL, slippage_bps=0.0)
     return out.withColumn("run", F.lit("index"))
 
 
@@ -109,10 +115,12 @@ def _retimed(rows: DataFrame, runs: int, figures: Callable[[dict], dict], schema
         n, position = len(pdf), pdf["position"].to_numpy(float)
         offsets = shifts(n, runs)
         at = (np.arange(n)[:, None] - offsets[None, :]) % n
-        targets = np.column_stack([position, np.ones(n), position[at]])
+        levels, code = np.unique(np.concatenate([[0.0, 1.0], np.nan_to_num(position)]), return_inverse=True)
+        own = code[2:]
+        codes = np.column_stack([own, np.full(n, code[1]), own[at]])
         columns = [pdf[c].to_numpy(float) for c in ("buy_rate", "sell_rate", "per_sale")]
         with np.errstate(all="ignore"):
-            sim = backtest.simulate_key(pdf["open"].to_numpy(float), pdf["close"].to_numpy(float), targets, *columns, cash=NOTIONAL)
+            sim = backtest.simulate_levels(pdf["open"].to_numpy(float), pdf["close"].to_numpy(float), levels, codes, *columns, cash=NOTIONAL)
             found = figures(sim)
         return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "trading_days": pdf["trading_days"].iloc[0],
                              "shift": np.concatenate([[0, -1], offsets]), **found})

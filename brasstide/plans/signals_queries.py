@@ -266,8 +266,9 @@ simulate("index_sim", "index_runs", "ticker", 100000.0, slip=0.0, costs="flat:0.
 
 @query("index_benchmark", f"SELECT ticker, {RISK} FROM (SELECT ticker, {STATS} FROM index_sim GROUP BY ticker)")
 def _index(spark, sf):
-    rows = assessment.index_curve(window_table(spark, sf), bars(spark, sf))
-    m = backtest.risk_metrics(rows, ["ticker"])
+    starts, curve = assessment.index_starts(window_table(spark, sf)), ["benchmark", "day0"]
+    each = backtest.risk_metrics(assessment.index_curve(starts, bars(spark, sf)), curve)
+    m = starts.join(each, curve).drop(*curve)
     return rounded(m, {c: 4 for c in ("cagr", "max_drawdown", "sharpe", "sortino", "calmar", "time_in_market")})
 
 
