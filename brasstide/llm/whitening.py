@@ -170,6 +170,9 @@ def contour(matrix: np.ndarray, low: float, high: float, count: int) -> tuple[np
         values, inner = np.linalg.eigh((small + small.T) / 2)
         y = basis @ inner
         inside = (values > low) & (values < high)
+        if inside.sum() > count:
+            # Directions left to rounding may have a Rayleigh quotient in between, but they are no eigenvectors.
+            inside &= np.linalg.norm(matrix @ y - y * values, axis=0) <= 1e-8 * scale
         if inside.sum() == count:
             left = np.linalg.norm(matrix @ y[:, inside] - y[:, inside] * values[inside], axis=0).max() if count else 0.0
             if left <= 1e-11 * scale and left > 0.5 * before or left <= 4e-16 * scale:
