@@ -107,10 +107,6 @@ def percentile_rank(lookback: int) -> Callable[..., Pair]:
     return of
 
 
-#: exp(-42) is below half a unit in the last place.
-_NEGLIGIBLE = 42.0
-
-
 class _Smoothing:
     """A scan over batch after batch: the level and the number of values of the key that the last one ended in."""
 
@@ -129,7 +125,7 @@ class _Smoothing:
             level[0] += left * self.level
         # Each step adds what lies k rows before, which by then stands for the k rows up to there.
         k, decay = 1, left
-        while k < len(level) and -np.log(left) * k < _NEGLIGIBLE:
+        while k < len(level) and decay > 1e-300:       # old rows count however small newer ones are
             level[k:] += np.where(number[k:] >= k, decay, 0.0) * level[:-k]
             k, decay = 2 * k, decay * decay
         self.level = level[-1]
